@@ -181,3 +181,24 @@ NOTICE_DATE = (
 WEEK_TITLE_DATE = r"(\d{1,2})[./-](\d{1,2})(?:\s*~\s*(\d{1,2})[./-](\d{1,2}))?"
 NOTICE_TOPICS = ("수강신청", "휴학", "복학", "등록", "졸업")
 DATE_LABELS = ("행사일", "신청 기간", "신청 마감", "기간")
+
+# fixed values: student page words -------------------------------------------------------------------
+STUDENT_WORDS = (
+    "학사", "수강", "성적", "시험", "휴학", "복학", "졸업", "전과", "등록금", "장학", "학생", "생활", "편의", "복지",
+    "시설", "주차", "교통", "통학", "버스", "식당", "식단", "기숙", "생활관", "도서관", "증명", "보건", "상담", "취업",
+    "진로", "동아리", "학자금", "외국인", "유학생", "캠퍼스", "안내",
+)
+
+# fixed values: telemetry ---------------------------------------------------------------------------------
+ERROR_KINDS = ("js_error", "unhandled_rejection", "sse_disconnect", "map_load", "calendar_fetch")
+ERROR_PAGES = ("chat", "tips", "calendar")
+CLIENT_NOISE = r"ResizeObserver|^Script error\.?$"
+EXTENSION_FILE = r"^(chrome|moz|safari(-web)?)-extension:"
+
+# fixed values: event lists -----------------------------------------------------------------------------
+SOON_DAYS, UPCOMING_LIMIT = 7, 12
+SCAN_MAX_ATTEMPTS = 3
+EVENT_LOOKBACK_DAYS, NOTICE_LOOKBACK_DAYS, EXPIRED_DAYS = 60, 90, 30
+PLACEHOLDERS = ("♥", "-", "·")
+
+RULE_OUT_OF_SCOPE = ("대학원",)

@@ -216,3 +216,56 @@ SELECT l_orderkey AS turn_id, l_orderkey * 100 + ln AS fact_id, ln AS idx, l_par
   cast(l_shipdate AS DATE) AS ship_day, qty, l_partkey AS part, l_suppkey AS supp, l_returnflag AS flag
 FROM (SELECT *, l_linenumber AS ln, cast(floor(l_quantity) AS INTEGER) AS qty FROM lineitem)
 """)
+
+
+# ── sections: one per line of a document ──────────────────────────────────────────────────────
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = F.col("doc_id")
+    return (
+        table(spark, sf_dir, "documents")
+        .select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "body"))
+        .select(
+            F.concat(doc.cast("string"), F.lit("_main_"), F.col("line_no").cast("string")).alias("section_id"),
+            "doc_id",
+            "line_no",
+            "lang",
+            "source",
+            pick(("rule", "guide", "notice"), doc % 3).alias("source_kind"),
+            F.when(doc % 13 == 0, "private").otherwise("public").alias("access"),
+            "body",
+        )
+    )
+
+
+view("sections", """
+SELECT doc_id || '_main_' || line_no AS section_id, doc_id, line_no, lang, source,
+  ['rule', 'guide', 'notice'][doc_id % 3 + 1] AS source_kind, CASE WHEN doc_id % 13 = 0 THEN 'private' ELSE 'public' END AS access, body
+FROM (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS body,
+  cast(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line_no FROM documents)
+""")
+
+
+# ── tips: one per order ─────────────────────────────────────────────────────────────────────────
+TIP_STATUS = ("approved", "student_approved", "verifying", "rejected")
+
+
+def tips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, ts = F.col("o_orderkey"), F.col("o_orderdate")
+    later = lambda mod: F.date_add(F.to_date(ts), (n % mod).cast("int")).cast("timestamp")
+    return table(spark, sf_dir, "orders").select(
+        n.alias("tip_id"),
+        pick(TIP_STATUS, n % 4).alias("status"),
+        ts.alias("approved_at"),
+        later(200).alias("confirm_1"),
+        later(120).alias("confirm_2"),
+        (n % 5).cast("int").alias("n_votes"),
+        F.col("o_custkey").alias("author"),
+    )
+
+
+view("tips", f"""
+SELECT o_orderkey AS tip_id, {sql_array(TIP_STATUS)}[o_orderkey % 4 + 1] AS status, o_orderdate AS approved_at,
+  cast(cast(o_orderdate AS DATE) + cast(o_orderkey % 200 AS INTEGER) AS TIMESTAMP) AS confirm_1,
+  cast(cast(o_orderdate AS DATE) + cast(o_orderkey % 120 AS INTEGER) AS TIMESTAMP) AS confirm_2,
+  cast(o_orderkey % 5 AS INTEGER) AS n_votes, o_custkey AS author FROM orders
+""")
