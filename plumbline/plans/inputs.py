@@ -269,3 +269,85 @@ SELECT o_orderkey AS tip_id, {sql_array(TIP_STATUS)}[o_orderkey % 4 + 1] AS stat
   cast(cast(o_orderdate AS DATE) + cast(o_orderkey % 120 AS INTEGER) AS TIMESTAMP) AS confirm_2,
   cast(o_orderkey % 5 AS INTEGER) AS n_votes, o_custkey AS author FROM orders
 """)
+
+
+# ── ballots: votes on tips, one tip per order ─────────────────────────────────────────────────────
+def ballots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qty = F.floor("l_quantity").cast("int")
+    return table(spark, sf_dir, "lineitem").select(
+        (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 1000 + qty * 10 + F.col("l_linenumber")).alias("event_id"),
+        F.col("l_orderkey").alias("tip_id"),
+        (F.col("l_linenumber") % 5).cast("long").alias("token"),
+        (F.col("l_suppkey") % 4).cast("int").alias("net"),
+        F.when(qty % 9 == 0, "flag").when(qty % 3 == 1, "dispute").otherwise("confirm").alias("action"),
+        F.col("l_shipdate").alias("ts"),
+    )
+
+
+view("ballots", """
+SELECT l_partkey * 1000000 + l_suppkey * 1000 + qty * 10 + l_linenumber AS event_id, l_orderkey AS tip_id, cast(l_linenumber % 5 AS BIGINT) AS token,
+  cast(l_suppkey % 4 AS INTEGER) AS net, CASE WHEN qty % 9 = 0 THEN 'flag' WHEN qty % 3 = 1 THEN 'dispute' ELSE 'confirm' END AS action, l_shipdate AS ts
+FROM (SELECT *, cast(floor(l_quantity) AS INTEGER) AS qty FROM lineitem)
+""")
+
+
+# ── item_days: one evaluation result per question and day ───────────────────────────────────────────
+def item_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        table(spark, sf_dir, "events")
+        .groupBy(F.col("user_id").alias("item_id"), day_text("ts").alias("day"))
+        .agg((F.max("value") > 90).alias("ok"), F.min(F.get_json_object("props", "$.k").cast("int")).alias("low"))
+        .select(
+            "item_id",
+            "day",
+            "ok",
+            pick(("seed", "unanswered", "report"), F.col("item_id") % 3).alias("source"),
+            F.when(F.col("low") == 3, "quota_exceeded").when(F.col("ok"), "ok").otherwise("no_evidence").alias("reason"),
+        )
+    )
+
+
+view("item_days", """
+SELECT item_id, day, ok, ['seed', 'unanswered', 'report'][item_id % 3 + 1] AS source,
+  CASE WHEN low = 3 THEN 'quota_exceeded' WHEN ok THEN 'ok' ELSE 'no_evidence' END AS reason
+FROM (SELECT user_id AS item_id, strftime(ts, '%Y-%m-%d') AS day, max(value) > 90 AS ok, min(cast(json_extract_string(props, '$.k') AS INTEGER)) AS low FROM events GROUP BY 1, 2)
+""")
+
+
+# ── eval_results: labelled items with the turn that answered them ─────────────────────────────────────
+ITEM_TYPES = ("rule", "procedure", "notice", "calendar", "menu", "location", "oos")
+
+
+def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    ids = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda j: (n * 31 + j * 17) % 50)
+    return table(spark, sf_dir, "labels").select(
+        n.alias("item_id"),
+        pick(ITEM_TYPES, n % 7).alias("type"),
+        ids.alias("retrieved"),
+        F.array((n * 7) % 50, F.when(n % 3 == 0, (n * 31 + 51) % 50).otherwise((n * 7) % 50)).alias("any_of"),
+        F.when(n % 4 == 0, F.array((n * 31) % 50)).otherwise(F.array().cast("array<bigint>")).alias("all_of"),
+        pick(("rule", "guide"), n % 2).alias("want_kind"),
+        pick(("article", "guide", "article"), n % 3).alias("kind"),
+        pick(("answer", "answer", "answer", "fallback"), (n / 7).cast("long") % 4).alias("outcome"),
+        pick(("out_of_scope", "no_evidence"), n % 2).alias("reason"),
+        (n % 5 != 0).alias("cited"),
+        (n % 3 != 0).alias("has_actions"),
+        (F.col("quality") == 1).alias("facts_ok"),
+        (F.col("toxic") == 0).alias("errors_ok"),
+        (n % 11 != 0).alias("labeled"),
+        F.lit(5).alias("verify_total"),
+        (n % 6).cast("int").alias("verify_kept"),
+    )
+
+
+view("eval_results", f"""
+SELECT doc_id AS item_id, {sql_array(ITEM_TYPES)}[doc_id % 7 + 1] AS type,
+  list_transform(range(0, 7), lambda j: (doc_id * 31 + j * 17) % 50) AS retrieved,
+  [(doc_id * 7) % 50, CASE WHEN doc_id % 3 = 0 THEN (doc_id * 31 + 51) % 50 ELSE (doc_id * 7) % 50 END] AS any_of,
+  CASE WHEN doc_id % 4 = 0 THEN [(doc_id * 31) % 50] ELSE [] END AS all_of,
+  ['rule', 'guide'][doc_id % 2 + 1] AS want_kind, ['article', 'guide', 'article'][doc_id % 3 + 1] AS kind,
+  ['answer', 'answer', 'answer', 'fallback'][(doc_id // 7) % 4 + 1] AS outcome, ['out_of_scope', 'no_evidence'][doc_id % 2 + 1] AS reason,
+  doc_id % 5 <> 0 AS cited, doc_id % 3 <> 0 AS has_actions, quality = 1 AS facts_ok, toxic = 0 AS errors_ok, doc_id % 11 <> 0 AS labeled,
+  5 AS verify_total, cast(doc_id % 6 AS INTEGER) AS verify_kept FROM labels
+""")
