@@ -351,3 +351,48 @@ SELECT doc_id AS item_id, {sql_array(ITEM_TYPES)}[doc_id % 7 + 1] AS type,
   doc_id % 5 <> 0 AS cited, doc_id % 3 <> 0 AS has_actions, quality = 1 AS facts_ok, toxic = 0 AS errors_ok, doc_id % 11 <> 0 AS labeled,
   5 AS verify_total, cast(doc_id % 6 AS INTEGER) AS verify_kept FROM labels
 """)
+
+
+# ── regulation lines: document lines with heads, addenda and appendices put in by line number ─────────
+def regulation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, doc, body = F.col("line_no"), F.col("doc_id"), F.col("body")
+    s = lambda c: c.cast("string")
+    chapter = F.concat(F.lit("제"), s(F.floor(n / 29) + 1), F.lit("장 총칙"))
+    number = s(F.floor(n / 6) + 1)
+    line = (
+        F.when((n % 23 == 9) & (doc % 2 == 0), F.lit("부칙 (2023. 9. 1.)"))
+        .when(n % 23 == 9, F.lit("부 칙"))
+        .when((n % 23 == 10) & (doc % 2 == 1), F.concat(F.lit("99. 3. 2. 시행 "), body))
+        .when(n % 23 == 15, F.concat(F.lit("[별표 1] <개정 2024. 1. 1.> "), s(doc)))
+        .when(n % 23 == 18, F.lit("[별표 1]"))
+        .when((n % 23).isin(16, 17, 19, 20, 21), body)
+        .when(n % 29 == 1, chapter)
+        .when(n % 29 == 7, F.lit("제1절  통칙"))
+        .when((n % 12 == 2) & (doc % 5 == 0), F.concat(F.lit("제"), number, F.lit("조 <삭제> <개정 2020. 1. 1.>")))
+        .when((n % 12 == 8) & (doc % 3 == 0), F.concat(F.lit("제"), number, F.lit("조의2(특례) "), body))
+        .when(n % 6 == 2, F.concat(F.lit("제"), number, F.lit("조(목적) "), body, F.lit(" <개정 2024. 3. 5.>")))
+        .when((n % 6 == 4) & (doc % 4 != 0), F.concat(F.substring(F.lit("①②③④⑤⑥⑦⑧⑨⑩"), F.floor(n / 6).cast("int") % 10 + 1, F.lit(1)), F.lit(" "), body))
+        .when(n % 6 == 5, F.concat(F.lit("  "), body, F.lit(" \t 끝 ")))
+        .otherwise(body)
+    )
+    return sections(spark, sf_dir).select(doc.alias("rule_no"), "line_no", line.alias("raw"))
+
+
+view("regulation_lines", """
+SELECT doc_id AS rule_no, n AS line_no, CASE
+ WHEN n % 23 = 9 AND doc_id % 2 = 0 THEN '부칙 (2023. 9. 1.)'
+ WHEN n % 23 = 9 THEN '부 칙'
+ WHEN n % 23 = 10 AND doc_id % 2 = 1 THEN '99. 3. 2. 시행 ' || body
+ WHEN n % 23 = 15 THEN '[별표 1] <개정 2024. 1. 1.> ' || doc_id
+ WHEN n % 23 = 18 THEN '[별표 1]'
+ WHEN n % 23 IN (16, 17, 19, 20, 21) THEN body
+ WHEN n % 29 = 1 THEN '제' || (n // 29 + 1) || '장 총칙'
+ WHEN n % 29 = 7 THEN '제1절  통칙'
+ WHEN n % 12 = 2 AND doc_id % 5 = 0 THEN '제' || (n // 6 + 1) || '조 <삭제> <개정 2020. 1. 1.>'
+ WHEN n % 12 = 8 AND doc_id % 3 = 0 THEN '제' || (n // 6 + 1) || '조의2(특례) ' || body
+ WHEN n % 6 = 2 THEN '제' || (n // 6 + 1) || '조(목적) ' || body || ' <개정 2024. 3. 5.>'
+ WHEN n % 6 = 4 AND doc_id % 4 <> 0 THEN substr('①②③④⑤⑥⑦⑧⑨⑩', (n // 6) % 10 + 1, 1) || ' ' || body
+ WHEN n % 6 = 5 THEN '  ' || body || ' ' || chr(9) || ' 끝 '
+ ELSE body END AS raw
+FROM (SELECT *, line_no AS n FROM sections)
+""", ("sections",))
