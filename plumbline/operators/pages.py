@@ -19,8 +19,7 @@ HWP_NAME = r"(?i)/reg(\d+)_(\d+)\.hwp$"
 
 def content(tokens: DataFrame) -> DataFrame:
     """Tokens inside the best content element of their page."""
-    best = tokens.where("root >= 0").groupBy("page_id").agg(F.min("root").alias("_best"))
-    return tokens.join(best, "page_id").where(F.col("root") == F.col("_best")).drop("_best")
+    return tokens.where("inside")
 
 
 def _squeeze(text: Column) -> Column:
@@ -42,21 +41,21 @@ def table_rows(cells: DataFrame) -> DataFrame:
     grid = filled.groupBy(*keys, "row", "col").agg(
         F.max_by("text", "pos").alias("text"), F.max((F.col("cs") > 1).cast("int")).alias("spanned"), F.min("pos").alias("pos")
     )
-    size = grid.groupBy(*keys).agg(
-        F.max("col").alias("last_col"), F.min("pos").alias("table_pos"),
-        F.max(F.when(F.col("row") == 0, F.col("spanned"))).alias("top_span"),
+    whole = Window.partitionBy(*keys)
+    grid = grid.select(
+        "*", F.max("col").over(whole).alias("last_col"), F.min("pos").over(whole).alias("table_pos"),
+        F.max(F.when(F.col("row") == 0, F.col("spanned"))).over(whole).alias("top_span"),
+    )
+    lines = grid.groupBy(*keys, "row").agg(
+        F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("by_col"),
+        *[F.first(c).alias(c) for c in ("last_col", "table_pos", "top_span")],
     )
-    lines = grid.groupBy(*keys, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("by_col"))
-    lines = lines.join(size, keys)
     values = F.transform(F.sequence(F.lit(0), F.col("last_col")), lambda i: F.coalesce(F.try_element_at("by_col", i), F.lit("")))
     lines = lines.withColumn("values", values).where(F.exists("values", lambda v: v != ""))
-    by_table = Window.partitionBy(*keys).orderBy("row")
-    lines = lines.withColumn("n", F.row_number().over(by_table))
+    lines = lines.withColumn("n", F.row_number().over(whole.orderBy("row")))
     numeric = lambda row: F.exists(row, lambda v: (v != "") & v.rlike(NUMERIC_CELL))
-    heads = lines.groupBy(*keys).agg(
-        F.count("*").alias("rows"), F.max(F.when(F.col("n") == 1, F.col("values"))).alias("h1"), F.max(F.when(F.col("n") == 2, F.col("values"))).alias("h2"),
-    )
-    lines = lines.join(heads, keys)
+    nth = lambda k: F.max(F.when(F.col("n") == k, F.col("values"))).over(whole)
+    lines = lines.select("*", F.count("*").over(whole).alias("rows"), nth(1).alias("h1"), nth(2).alias("h2"))
     head = (
         F.when((F.col("rows") < 2) | (F.size("h1") < 2) | numeric(F.col("h1")), 0)
         .when((F.col("top_span") == 1) & (F.col("rows") >= 3) & ~numeric(F.col("h2")), 2)

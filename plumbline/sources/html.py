@@ -19,13 +19,13 @@ DROP_TAGS = ("script", "style", "noscript", "iframe", "header", "footer", "nav",
 MAX_ROWSPAN, MAX_COLSPAN = 65534, 1000
 
 TOKEN_SCHEMA = (
-    "page_id long, pos int, root int, kind string, text string, href string, tbl int, r int, c int, rs int, cs int"
+    "page_id long, pos int, inside boolean, kind string, text string, href string, tbl int, r int, c int, rs int, cs int"
 )
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
 class _Tokens(HTMLParser):
-    """Collects tokens; `root` is the best content element each one lies in (-1 when none)."""
+    """Collects tokens with the best content element each one lies in (-1 when none)."""
 
     def __init__(self, base: str, headings: tuple[str, ...], drop: tuple[str, ...]) -> None:
         super().__init__(convert_charrefs=True)
@@ -112,16 +112,21 @@ class _Tokens(HTMLParser):
 def html_tokens(
     pages: DataFrame, headings: tuple[str, ...] = ("h1", "h2", "h3"), drop: tuple[str, ...] = DROP_TAGS
 ) -> DataFrame:
-    """Tokens of every page of (page_id, url, html); nothing inside the `drop` elements."""
+    """Tokens of every page of (page_id, url, html); nothing inside the `drop` elements.
+
+    `inside` marks the tokens of the page's best content element.
+    """
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["pos", "root", "kind", "text", "href", "tbl", "r", "c", "rs", "cs"]
+        names = ["pos", "inside", "kind", "text", "href", "tbl", "r", "c", "rs", "cs"]
         for batch in batches:
             for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"], strict=True):
                 parser = _Tokens(url or "", headings, drop)
                 parser.feed(html or "")
                 parser.close()
                 out = pd.DataFrame(parser.rows, columns=names)
+                best = out["inside"][out["inside"] >= 0].min()
+                out["inside"] = out["inside"] == best
                 out.insert(0, "page_id", page_id)
                 yield out
 
