@@ -123,18 +123,17 @@ def polarity(text: Column) -> Column:
     return F.when(text.rlike(rules.NEGATIVE), "neg").when(text.rlike(rules.POSITIVE), "pos")
 
 
-def _flip_on(marker: str, holder: Column, other: Column) -> Column:
-    before = F.when(F.instr(holder, marker) > 0, F.substring_index(holder, marker, 1))
-    word = F.regexp_extract(before, r"([가-힣]{2,})\s*$", 1)
+def _flip_on(marker: Column, holder: Column, other: Column) -> Column:
+    """The marker stands in one text only, and the other text has the verb stem before it."""
+    word = F.regexp_extract(F.split_part(holder, marker, F.lit(1)), r"([가-힣]{2,})\s*$", 1)
     stem = F.when(F.length(word) > 2, F.left(word, F.length(word) - 1)).otherwise(word)
-    return F.coalesce(holder.contains(marker) & ~other.contains(marker) & (word != "") & F.contains(other, stem), F.lit(False))
+    return F.contains(holder, marker) & ~F.contains(other, marker) & (word != "") & F.contains(other, stem)
 
 
 def narrow_flip(sentence: Column, quotes: Column) -> Column:
     """One side negates the same verb stem, or obligation and permission are swapped."""
-    flipped = F.lit(False)
-    for marker in rules.NEGATION:
-        flipped = flipped | _flip_on(marker, sentence, quotes) | _flip_on(marker, quotes, sentence)
+    markers = F.array(*[F.lit(m) for m in rules.NEGATION])
+    flipped = F.exists(markers, lambda m: _flip_on(m, sentence, quotes) | _flip_on(m, quotes, sentence))
     only = lambda token, x, y: x.contains(token) & ~y.contains(token)
     must, may = rules.OBLIGATION, rules.PERMISSION
     return (
@@ -145,10 +144,8 @@ def narrow_flip(sentence: Column, quotes: Column) -> Column:
 
 
 def risky_mismatch(sentence: Column, quotes: Column) -> Column:
-    differs = F.lit(False)
-    for token in rules.RISKY:
-        differs = differs | (sentence.contains(token) != quotes.contains(token))
-    return differs
+    tokens = F.array(*[F.lit(t) for t in rules.RISKY])
+    return F.exists(tokens, lambda t: F.contains(sentence, t) != F.contains(quotes, t))
 
 
 def phone_number(raw: Column) -> Column:

@@ -77,7 +77,7 @@ SELECT doc_id, loc AS location, '055-249-7777' AS phone, substr(t, start + 1, p
 def contact_page(spark, d):
     plain = F.replace("text", F.lit("\n"), F.lit(" "))
     t = F.concat(plain, F.lit(" 위치 "), inputs.pick(_ROOMS, F.col("doc_id") % 5), F.lit(" 전화 055-249-7777 끝"))
-    docs = inputs.table(spark, d, "documents").where(~F.col("text").rlike(r"\(?0\d{1,2}\)?[-\s]?\d{3,4}-\d{4}")).select("doc_id", t.alias("t"))
+    docs = inputs.wide(spark, d, "documents").where(~F.col("text").rlike(r"\(?0\d{1,2}\)?[-\s]?\d{3,4}-\d{4}")).select("doc_id", t.alias("t"))
     return pl.contact_page(docs, "t", pattern()).drop("t")
 
 
@@ -102,7 +102,7 @@ def place_alternation(spark, d):
     found = pl.place_alternation(buildings, "name")
     text = F.concat_ws(" ", "text", F.lit("NATION_"), F.lit(""))
     text = F.concat(F.col("text"), F.lit(" NATION_"), (F.col("doc_id") % 25).cast("string"), F.lit("관 3층"))
-    return inputs.table(spark, d, "documents").select("doc_id", F.regexp_extract(text, f"({found})", 1).alias("phrase"))
+    return inputs.wide(spark, d, "documents").select("doc_id", F.regexp_extract(text, f"({found})", 1).alias("phrase"))
 
 
 def menu_fragments(spark, d):

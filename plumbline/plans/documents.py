@@ -197,7 +197,7 @@ def appendix_source(spark, d):
     """Whole documents as appendices, every seventh line a year sub-heading."""
     body = F.filter(F.split("text", "\n"), lambda b: F.trim(b) != "")
     marked = F.transform(body, lambda b, i: F.when(i % 7 == 3, F.concat((F.lit(2020) + i).cast("string"), F.lit("학년도 정원"))).otherwise(b))
-    docs = inputs.table(spark, d, "documents")
+    docs = inputs.wide(spark, d, "documents")
     return docs.select(
         F.concat(F.col("doc_id").cast("string"), F.lit("_app_1")).alias("article_id"), F.lit("appendix").alias("mode"), F.lit(1).alias("number"),
         F.lit(None).cast("int").alias("branch"), F.lit("입학정원").alias("title"), marked.alias("body_lines"), F.array_join(marked, "\n").alias("body"),
@@ -218,7 +218,7 @@ SELECT doc_id, part, arg_max(buf, i) AS body FROM walk GROUP BY doc_id, part
 """)
 def chunk_greedy_lines(spark, d):
     parts = rg.pack_lines(F.filter(F.split("text", "\n"), lambda x: x != ""), rules.WEB_CHUNK)
-    return inputs.table(spark, d, "documents").select("doc_id", F.posexplode(parts).alias("part", "body")).withColumn("part", F.col("part") + 1)
+    return inputs.wide(spark, d, "documents").select("doc_id", F.posexplode(parts).alias("part", "body")).withColumn("part", F.col("part") + 1)
 
 
 def paragraph_text():
@@ -230,7 +230,7 @@ def paragraph_text():
 @query("chunk_paragraph_pack")
 def chunk_paragraph_pack(spark, d):
     parts = rg.pack_paragraphs(paragraph_text())
-    return inputs.table(spark, d, "documents").select("doc_id", F.posexplode(parts).alias("part", "body"))
+    return inputs.wide(spark, d, "documents").select("doc_id", F.posexplode(parts).alias("part", "body"))
 
 
 # ── document tables ────────────────────────────────────────────────────────────────────────────
@@ -302,7 +302,7 @@ FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total FROM chunks)
 """)
 def upload_documents(spark, d):
     parts = rg.pack_lines(F.filter(F.split("text", "\n"), lambda x: x != ""), rules.WEB_CHUNK)
-    docs = inputs.table(spark, d, "documents").select("doc_id", parts.alias("parts"))
+    docs = inputs.wide(spark, d, "documents").select("doc_id", parts.alias("parts"))
     rows = docs.select("doc_id", F.size("parts").cast("string").alias("total"), F.posexplode("parts").alias("pos", "body"))
     n = (F.col("pos") + 1).cast("string")
     doc = F.col("doc_id").cast("string")
@@ -358,7 +358,7 @@ SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN '앞 <표> 중간 <표> 뒤' ELSE '
 def fill_table_tokens(spark, d):
     """The n-th placeholder takes the n-th table's rows; a text whose counts differ stays as it is."""
     key = F.col("doc_id")
-    docs = inputs.table(spark, d, "documents").select("doc_id", F.lit("앞 <표> 중간 < 표 > 뒤").alias("text"))
+    docs = inputs.wide(spark, d, "documents").select("doc_id", F.lit("앞 <표> 중간 < 표 > 뒤").alias("text"))
     tables = docs.select("doc_id", F.explode(F.sequence(F.lit(1), F.when(key % 4 == 2, 3).otherwise(2))).alias("n")).select(
         "doc_id", "n", F.concat(F.lit("[표] "), F.when(F.col("n") == 1, "가").otherwise("나"), F.lit(": "), (key + F.col("n") - 1).cast("string")).alias("rows")
     )
@@ -370,4 +370,4 @@ def fill_table_tokens(spark, d):
 SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', chr(10), 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t]*\n[ \t\n]*', chr(10), 'g'), '[ \t]+', ' ', 'g'), chr(10) || ' ') AS text FROM pages
 """)
 def html_text(spark, d):
-    return inputs.table(spark, d, "pages").select("page_id", rg.html_text(F.col("html")).alias("text"))
+    return inputs.wide(spark, d, "pages").select("page_id", rg.html_text(F.col("html")).alias("text"))

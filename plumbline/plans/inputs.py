@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.rules import FALLBACK_REASONS
 from plumbline.registry import sql_array, view
+from plumbline.session import spread
 
 TOPICS = ("휴학", "복학", "장학", "수강신청", "졸업")
 STEMS = (
@@ -23,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows carry heavy work, on all cores even when it is one file split."""
+    key = {"lineitem": "l_orderkey", "documents": "doc_id", "pages": "page_id", "orders": "o_orderkey"}[name]
+    return spread(table(spark, sf_dir, name), key)
+
+
 def pick(values, index) -> F.Column:
     """The index-th (0-based) of a fixed list of strings."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
@@ -109,7 +116,7 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(start.cast("string"), F.lit(" ~ "), end.cast("string")))
     )
     topic = pick(TOPICS, n % 5)
-    return table(spark, sf_dir, "orders").select(
+    return wide(spark, sf_dir, "orders").select(
         n.alias("notice_id"),
         F.col("o_orderpriority").alias("board"),
         topic.alias("topic"),
@@ -187,7 +194,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(ln % 7 == 6, F.lit("전혀 없는 문장을 인용한다"))
         .otherwise(quote)
     )
-    return table(spark, sf_dir, "lineitem").select(
+    return wide(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("turn_id"),
         (F.col("l_orderkey") * 100 + ln).alias("fact_id"),
         ln.alias("idx"),
@@ -222,7 +229,7 @@ FROM (SELECT *, l_linenumber AS ln, cast(floor(l_quantity) AS INTEGER) AS qty FR
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
     return (
-        table(spark, sf_dir, "documents")
+        wide(spark, sf_dir, "documents")
         .select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "body"))
         .select(
             F.concat(doc.cast("string"), F.lit("_main_"), F.col("line_no").cast("string")).alias("section_id"),
@@ -274,7 +281,7 @@ SELECT o_orderkey AS tip_id, {sql_array(TIP_STATUS)}[o_orderkey % 4 + 1] AS stat
 # ── ballots: votes on tips, one tip per order ─────────────────────────────────────────────────────
 def ballots(spark: SparkSession, sf_dir: str) -> DataFrame:
     qty = F.floor("l_quantity").cast("int")
-    return table(spark, sf_dir, "lineitem").select(
+    return wide(spark, sf_dir, "lineitem").select(
         (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 1000 + qty * 10 + F.col("l_linenumber")).alias("event_id"),
         F.col("l_orderkey").alias("tip_id"),
         (F.col("l_linenumber") % 5).cast("long").alias("token"),
@@ -396,3 +403,31 @@ SELECT doc_id AS rule_no, n AS line_no, CASE
  ELSE body END AS raw
 FROM (SELECT *, line_no AS n FROM sections)
 """, ("sections",))
+
+
+# ── drafts and their evidence ─────────────────────────────────────────────────────────────────────────
+def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("part") % 29
+    none = F.array().cast("array<string>")
+    return facts(spark, sf_dir).select(
+        F.concat_ws("-", *[F.col(c).cast("string") for c in ("turn_id", "idx", "part", "supp")]).alias("sid"),
+        "turn_id",
+        pick(("sentences", "sentences", "checklist", "next_actions"), F.col("supp") % 4).alias("section"),
+        F.col("sentence").alias("text"),
+        F.when(p == 0, none).when(p == 2, F.array(F.concat("evidence_id", F.lit("x")))).otherwise(F.array("evidence_id")).alias("cite_ids"),
+        F.when(p == 1, none).when(p == 3, F.array(F.col("quote"), F.lit("원이고 접수는"))).otherwise(F.array("quote")).alias("quotes"),
+    )
+
+
+view("drafts", """
+SELECT turn_id || '-' || idx || '-' || part || '-' || supp AS sid, turn_id, ['sentences', 'sentences', 'checklist', 'next_actions'][supp % 4 + 1] AS section, sentence AS text,
+  CASE WHEN part % 29 = 0 THEN [] WHEN part % 29 = 2 THEN [evidence_id || 'x'] ELSE [evidence_id] END AS cite_ids,
+  CASE WHEN part % 29 = 1 THEN [] WHEN part % 29 = 3 THEN [quote, '원이고 접수는'] ELSE [quote] END AS quotes FROM facts
+""", ("facts",))
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts(spark, sf_dir).groupBy("turn_id", "evidence_id").agg(F.max("evidence_text").alias("text"), F.max("qty").alias("qty"))
+
+
+view("evidence", "SELECT turn_id, evidence_id, max(evidence_text) AS text, max(qty) AS qty FROM facts GROUP BY 1, 2", ("facts",))

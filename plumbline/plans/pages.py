@@ -23,7 +23,7 @@ _EXTRA = (
 def pages(spark, d):
     """The page table with a fee table, a calendar, a rule listing and files put before </article>."""
     extra = F.replace(F.replace(F.lit(_EXTRA), F.lit("{n}"), F.col("page_id").cast("string")), F.lit("{d}"), (F.col("page_id") % 9 + 1).cast("string"))
-    return inputs.table(spark, d, "pages").withColumn("html", F.replace("html", F.lit("</article>"), F.concat(extra, F.lit("</article>"))))
+    return inputs.wide(spark, d, "pages").withColumn("html", F.replace("html", F.lit("</article>"), F.concat(extra, F.lit("</article>"))))
 
 
 def tokens(spark, d):
@@ -102,6 +102,6 @@ SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY pos)::INTE
 """, "raw_links")
 def page_links(spark, d):
     site = F.regexp_extract("url", _SITE, 1)
-    source = inputs.table(spark, d, "pages")
+    source = inputs.wide(spark, d, "pages")
     linked = html_tokens(source, drop=("script", "style")).join(source.select("page_id", site.alias("site")), "page_id")
     return pg.page_links(linked, "^/[^/]", r"(?i)login|\.pdf$").select("page_id", "url", "place")

@@ -30,7 +30,7 @@ def allowed_url(spark, d):
         .when(key == 2, F.replace("url", F.lit("example.com"), F.lit("example.com:443")))
         .otherwise(F.col("url"))
     )
-    return inputs.table(spark, d, "pages").select(
+    return inputs.wide(spark, d, "pages").select(
         "page_id", F.coalesce(ops.normalized_url(url, DOMAINS), F.lit("")).alias("url")
     )
 
@@ -60,7 +60,7 @@ SELECT page_id, CASE WHEN regexp_matches(t, {sql_text('|'.join(rules.EXCLUDE_WOR
 FROM (SELECT page_id, {sql_array(_MENU)}[page_id % 6 + 1] || ' ' || url AS t FROM pages)
 """)
 def student_page_class(spark, d):
-    rows = inputs.table(spark, d, "pages").select("page_id", inputs.pick(_MENU, F.col("page_id") % 6).alias("link"), "url")
+    rows = inputs.wide(spark, d, "pages").select("page_id", inputs.pick(_MENU, F.col("page_id") % 6).alias("link"), "url")
     joined = F.concat_ws(" ", "link", "url")
     return rows.select(
         "page_id",
@@ -102,7 +102,7 @@ def screen_text(spark, d):
         .when(key % 9 == 6, "짧음")
         .otherwise(F.concat_ws(" ", "text", inputs.pick(_TIP_TEXTS, key % 9)))
     )
-    return inputs.table(spark, d, "documents").select("doc_id", ops.screen(text).alias("v")).select("doc_id", "v.*")
+    return inputs.wide(spark, d, "documents").select("doc_id", ops.screen(text).alias("v")).select("doc_id", "v.*")
 
 
 @query("safety_flag", f"""
@@ -110,7 +110,7 @@ SELECT doc_id, regexp_matches(text || ' ' || {sql_array(_TIP_TEXTS)}[doc_id % 9
 """)
 def safety_flag(spark, d):
     text = F.concat_ws(" ", "text", inputs.pick(_TIP_TEXTS, F.col("doc_id") % 9))
-    return inputs.table(spark, d, "documents").select("doc_id", text.rlike(rules.SAFETY).alias("safety"))
+    return inputs.wide(spark, d, "documents").select("doc_id", text.rlike(rules.SAFETY).alias("safety"))
 
 
 _BODIES = ("요금은 따로 정하여 고지한다", "기간은 매년 공고한다", "휴학은 신청하여야 한다", "인원을 별도로 정하여 공고하고")

@@ -30,7 +30,7 @@ FROM (SELECT doc_id, text || ' 제 이름은 홍길동 010-1234-5678, ' || (2020
 """)
 def mask_pii(spark, d):
     body = F.concat("text", F.lit(" 제 이름은 홍길동 010-1234-5678, "), (F.col("doc_id") + 20200000).cast("string"))
-    return inputs.table(spark, d, "documents").select("doc_id", text.mask_pii(body).alias("masked"))
+    return inputs.wide(spark, d, "documents").select("doc_id", text.mask_pii(body).alias("masked"))
 
 
 @query("norm_text", r"""
@@ -444,7 +444,7 @@ SELECT page_id, ['image/jpeg', 'image/png', 'image/gif', 'image/webp', 'image/jp
 """)
 def image_type(spark, d):
     head = F.hex(F.unhex(inputs.pick(_HEADS, F.col("page_id") % 5)))
-    return inputs.table(spark, d, "pages").select("page_id", labels.image_type(head).alias("mime"))
+    return inputs.wide(spark, d, "pages").select("page_id", labels.image_type(head).alias("mime"))
 
 
 @query("client_address", """

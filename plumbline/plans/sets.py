@@ -55,7 +55,7 @@ def eval_collect(spark, d):
 SELECT url FROM pages WHERE page_id % 3 = 0 UNION SELECT url FROM pages WHERE page_id % 2 = 0
 """)
 def known_union(spark, d):
-    pages = inputs.table(spark, d, "pages")
+    pages = inputs.wide(spark, d, "pages")
     return pages.where("page_id % 3 = 0").select("url").union(pages.where("page_id % 2 = 0").select("url")).distinct()
 
 
@@ -64,7 +64,7 @@ SELECT DISTINCT source FROM documents WHERE source IN ('src1', 'src3', 'nowhere'
 """)
 def source_selection(spark, d):
     """The requested sources that exist, or every source when none of the requested ones does."""
-    sources = inputs.table(spark, d, "documents").select("source").distinct()
+    sources = inputs.wide(spark, d, "documents").select("source").distinct()
     wanted = sources.where(F.col("source").isin("src1", "src3", "nowhere"))
     default = sources.where(F.lit(wanted.isEmpty()))
     return wanted.union(default).orderBy("source")
@@ -74,7 +74,7 @@ def source_selection(spark, d):
 SELECT url FROM pages WHERE contains(url, '/en/') EXCEPT SELECT url FROM pages WHERE page_id % 4 = 0
 """)
 def contact_pages_left(spark, d):
-    pages = inputs.table(spark, d, "pages")
+    pages = inputs.wide(spark, d, "pages")
     return pages.where(F.col("url").contains("/en/")).select("url").subtract(pages.where("page_id % 4 = 0").select("url"))
 
 

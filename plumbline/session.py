@@ -51,3 +51,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     a lost executor never forces earlier rounds to run again."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread an input that has fewer partitions than the session has cores.
+
+    Meant for inputs of a single file split ahead of heavy per-row work.  Data of many splits
+    comes back as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
