@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.functions import rules
 from plumbline.functions.dates import semester_of
@@ -39,42 +40,43 @@ def denied(sections: DataFrame, denylist: DataFrame) -> DataFrame:
 
 
 def score(queries: DataFrame, sections: DataFrame) -> DataFrame:
-    """BM25 of every (query, section) pair that shares a telling word.
+    """BM25 of every (query, section) pair that shares a telling word; queries may hold extra keys.
 
     A word of half the sections or more weighs nothing (its idf is not positive), so it is dropped
     before the join; no pair is built from it.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("word"))
-    listed = sections.select("section_id", "source_kind", words(F.col("body")).alias("words"))
-    listed = listed.select("section_id", "source_kind", F.size("words").alias("length"), F.explode("words").alias("word"))
-    size = sections.agg(F.count("*")).scalar()
-    mean = sections.agg(F.avg(F.size(words(F.col("body"))).cast("double"))).scalar()
+    keys = [c for c in queries.columns if c != "query"]
+    asked = queries.select(*keys, F.explode(F.array_distinct(words(F.col("query")))).alias("word"))
+    index = sections.select("section_id", "source_kind", words(F.col("body")).alias("words"))
+    index = index.withColumn("length", F.size("words").cast("double"))
+    stats = index.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("mean"))).scalar()
+    listed = index.select("section_id", "source_kind", "length", F.explode("words").alias("word"))
     vocabulary = asked.select("word").distinct()
     counts = listed.join(vocabulary, "word", "left_semi").groupBy("section_id", "source_kind", "length", "word").agg(F.count("*").alias("tf"))
     found_in = counts.groupBy("word").agg(F.count("*").alias("df"))
-    weights = found_in.select("word", F.log((size - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).where("idf > 0")
+    weights = found_in.select("word", F.log((stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).where("idf > 0")
     tf = F.col("tf").cast("double")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / mean))
+    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / stats["mean"]))
     parts = counts.join(weights, "word").select("section_id", "source_kind", "word", F.round(part * UNIT).cast("long").alias("part"))
-    return parts.join(asked, "word").groupBy("query_id", "source_kind", "section_id").agg(F.sum("part").alias("score"))
+    return parts.join(asked, "word").groupBy(*keys, "source_kind", "section_id").agg(F.sum("part").alias("score"))
 
 
 def search(queries: DataFrame, sections: DataFrame, k: int = 5) -> DataFrame:
-    """First k sections per (query, kind); pairs without a hit are asked again in the original wording.
+    """First k sections per (query, kind); pairs without a hit take those of the original wording.
 
-    `queries` holds query_id, query, original and kind, one row per wanted kind.
+    `queries` holds query_id, query, original and kind, one row per wanted kind.  Both wordings are
+    scored in one pass over the sections.
     """
-    order = [F.desc("score"), F.col("section_id")]
-
-    def run(asked: DataFrame, wording: str) -> DataFrame:
-        texts = asked.select("query_id", F.left(wording, F.lit(100)).alias("query")).distinct()
-        hits = score(texts, sections).join(asked.select("query_id", F.col("kind").alias("source_kind")), ["query_id", "source_kind"], "left_semi")
-        return top_per_key(hits, ["query_id", "source_kind"], order, k)
-
-    first = run(queries, "query")
-    hit = first.select("query_id", F.col("source_kind").alias("kind")).distinct()
-    missed = queries.join(hit, ["query_id", "kind"], "left_anti").where(F.col("original").isNotNull() & (F.col("original") != F.col("query")))
-    return first.withColumn("fallback", F.lit(False)).unionByName(run(missed, "original").withColumn("fallback", F.lit(True)))
+    cut = lambda wording: F.left(wording, F.lit(100)).alias("query")
+    original = queries.where(F.col("original").isNotNull() & (F.col("original") != F.col("query")))
+    texts = queries.select("query_id", F.lit(False).alias("fallback"), cut("query")).unionByName(
+        original.select("query_id", F.lit(True).alias("fallback"), cut("original"))
+    )
+    wanted = queries.select("query_id", F.col("kind").alias("source_kind"))
+    hits = score(texts.distinct(), sections).join(wanted, ["query_id", "source_kind"], "left_semi")
+    best = top_per_key(hits, ["query_id", "fallback", "source_kind"], [F.desc("score"), F.col("section_id")], k)
+    used = F.min("fallback").over(Window.partitionBy("query_id", "source_kind"))
+    return best.withColumn("_used", used).where(F.col("fallback") == F.col("_used")).drop("_used")
 
 
 def merged(hits: DataFrame, k: int = 5) -> DataFrame:
@@ -127,25 +129,21 @@ def corpus_match(passages: DataFrame, corpus: DataFrame) -> DataFrame:
     """(item_id, doc_id) of every passage that occurs, after normalisation, in a document's text.
 
     Candidates come from an equi join on sampled grams and are then checked exactly.  Passages too
-    short to be sampled are looked up by their first six characters among all six-character windows.
+    short to be sampled are looked up by their first six characters (all of them when fewer) among all
+    windows of that size.
     """
     asked = passages.select("item_id", norm_compact(F.col("text")).alias("norm")).where("norm <> ''")
     docs = corpus.select("doc_id", norm_compact(F.col("text")).alias("norm"))
     long = asked.where(F.length("norm") >= SHORTEST)
     smallest = lambda text: _grams(text, GRAM).min(keepdims=True)
     pairs = _hash_rows(docs, "doc_id", _sampled).join(_hash_rows(long, "item_id", smallest), "gram").select("doc_id", "item_id")
-    short = asked.where(F.length("norm") < SHORTEST)
-    if not short.isEmpty():
-        head = short.select("item_id", F.left("norm", F.lit(rules.MIN_QUOTE_CHARS)).alias("gram"))
-        chars = F.split("norm", "")
-        windows = docs.where(F.length("norm") > 0).select(
-            "doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("norm")), lambda i: F.array_join(F.slice(chars, i, rules.MIN_QUOTE_CHARS), "")))).alias("gram")
+    short = asked.where(F.length("norm") < SHORTEST).withColumn("size", F.least(F.length("norm"), F.lit(rules.MIN_QUOTE_CHARS)))
+    for size in sorted(r["size"] for r in short.select("size").distinct().collect()):
+        every = lambda text, n=size: np.unique(_grams(text, n))
+        head = lambda text, n=size: _grams(text[:n], n)
+        pairs = pairs.unionByName(
+            _hash_rows(docs, "doc_id", every).join(_hash_rows(short.where(F.col("size") == size), "item_id", head), "gram").select("doc_id", "item_id")
         )
-        tiny = head.where(F.length("gram") < rules.MIN_QUOTE_CHARS)
-        pairs = pairs.unionByName(windows.join(head, "gram").select("doc_id", "item_id"))
-        for size in range(1, rules.MIN_QUOTE_CHARS):
-            cut = windows.select("doc_id", F.left("gram", F.lit(size)).alias("gram")).distinct()
-            pairs = pairs.unionByName(cut.join(tiny.where(F.length("gram") == size), "gram").select("doc_id", "item_id"))
     checked = pairs.distinct().join(asked.withColumnRenamed("norm", "_passage"), "item_id").join(docs, "doc_id")
     return checked.where(F.contains("norm", F.col("_passage"))).select("item_id", "doc_id")
 
