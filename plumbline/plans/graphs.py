@@ -1 +1,110 @@
-"""Queries."""
+"""Graph and geometry queries."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from plumbline.operators import graph as gr
+from plumbline.plans import inputs
+from plumbline.registry import query, view
+
+
+@query("link_frontier", r"""
+WITH RECURSIVE edges AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS path FROM pages), both_ways AS (SELECT 'p' || page_id AS src, path AS dst FROM edges UNION SELECT path, 'p' || page_id FROM edges),
+walk(node, depth) AS (SELECT 'p0', 0 UNION SELECT dst, depth + 1 FROM walk JOIN both_ways ON src = node WHERE depth < 4)
+SELECT node, min(depth) AS depth FROM walk GROUP BY node
+""")
+def link_frontier(spark, d):
+    """Pages and link targets reached from page 0 over the stored links, four steps deep."""
+    links = inputs.table(spark, d, "pages").select(
+        F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("page"), F.explode(F.regexp_extract_all("html", F.lit('<a href="(/[^"]*)"'), F.lit(1))).alias("path")
+    ).distinct()
+    edges = links.select(F.col("page").alias("src"), F.col("path").alias("dst")).unionByName(links.select(F.col("path").alias("src"), F.col("page").alias("dst")))
+    starts = inputs.table(spark, d, "pages").where("page_id = 0").select(F.lit("p0").alias("node"))
+    return gr.link_frontier(edges, starts, 4)
+
+
+def nation_edges(spark, d):
+    """Edges between nations that trade and are close in number, weighted by the smallest quantity."""
+    li, o = inputs.table(spark, d, "lineitem"), inputs.table(spark, d, "orders")
+    c, su = inputs.table(spark, d, "customer"), inputs.table(spark, d, "supplier")
+    joined = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(su, F.col("l_suppkey") == F.col("s_suppkey"))
+    near = F.abs(F.col("s_nationkey") - F.col("c_nationkey")).between(1, 2)
+    return joined.where(near).groupBy(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).agg(
+        (F.min("l_quantity") + F.abs(F.col("s_nationkey") * 7 - F.col("c_nationkey") * 3) % 11).alias("weight")
+    )
+
+
+view("nation_edges", """
+SELECT s_nationkey AS src, c_nationkey AS dst, min(l_quantity) + abs(s_nationkey * 7 - c_nationkey * 3) % 11 AS weight FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey
+WHERE abs(s_nationkey - c_nationkey) BETWEEN 1 AND 2 GROUP BY 1, 2
+""")
+
+
+@query("shortest_paths", """
+WITH RECURSIVE walk(source, node, dist, hops) AS (SELECT n_nationkey, n_nationkey, 0.0::DOUBLE, 0 FROM nation
+ UNION SELECT source, node, dist, hops FROM (SELECT w.source, e.dst AS node, min(w.dist + e.weight) AS dist, w.hops + 1 AS hops FROM walk w JOIN nation_edges e ON e.src = w.node WHERE w.hops < 24 GROUP BY w.source, e.dst, w.hops))
+SELECT source, node, dist AS meters, cast(greatest(1, ceil(dist / 67)) AS INTEGER) AS minutes FROM (SELECT source, node, min(dist) AS dist FROM walk GROUP BY 1, 2)
+""", "nation_edges")
+def shortest_paths(spark, d):
+    sources = inputs.table(spark, d, "nation").select(F.col("n_nationkey").alias("node"))
+    best = gr.shortest_paths(nation_edges(spark, d), sources)
+    return best.select("source", "node", F.col("dist").alias("meters"), gr.walking_minutes(F.col("dist")).alias("minutes"))
+
+
+@query("prune_spurs")
+def prune_spurs(spark, d):
+    """Trade edges between customers and suppliers without their short dead ends."""
+    li, o = inputs.table(spark, d, "lineitem"), inputs.table(spark, d, "orders")
+    edges = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(
+        F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("a"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("b")
+    ).agg(F.min("l_quantity").alias("length"))
+    return gr.prune_spurs(edges)
+
+
+def points(spark, d):
+    k = F.col("s_suppkey")
+    return inputs.table(spark, d, "supplier").select(k.alias("point_id"), (k * 37 % 1000).cast("double").alias("px"), (k * 91 % 1000).cast("double").alias("py"))
+
+
+def nodes(spark, d):
+    k = F.col("c_custkey")
+    return inputs.table(spark, d, "customer").select(k.alias("node_id"), (k * 53 % 1009).cast("double").alias("x"), (k * 97 % 1009).cast("double").alias("y"))
+
+
+view("points", "SELECT s_suppkey AS point_id, (s_suppkey * 37 % 1000)::DOUBLE AS px, (s_suppkey * 91 % 1000)::DOUBLE AS py FROM supplier")
+view("nodes", "SELECT c_custkey AS node_id, (c_custkey * 53 % 1009)::DOUBLE AS x, (c_custkey * 97 % 1009)::DOUBLE AS y FROM customer")
+
+
+@query("nearest_node", """
+SELECT point_id, node_id, round(dist, 3) AS distance FROM (SELECT point_id, node_id, sqrt((px - x) * (px - x) + (py - y) * (py - y)) AS dist FROM points, nodes) QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY dist, node_id) = 1
+""", ("points", "nodes"))
+def nearest_node(spark, d):
+    found = gr.nearest(points(spark, d), nodes(spark, d), ("x", "y"), ("x", "y"), gr.point_distance("x", "y"), "node_id", 8.0)
+    return found.select("point_id", F.col("shape").alias("node_id"), F.round("distance", 3).alias("distance"))
+
+
+@query("snap_to_segment", """
+SELECT point_id, node_id AS segment_id, round(dist, 3) AS distance FROM (SELECT point_id, node_id, sqrt((px - qx) * (px - qx) + (py - qy) * (py - qy)) AS dist FROM (SELECT *, x + t * dx AS qx, y + t * dy AS qy FROM (
+  SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((px - x) * dx + (py - y) * dy) / (dx * dx + dy * dy))) END AS t FROM (SELECT *, (node_id % 30)::DOUBLE AS dx, (node_id % 20)::DOUBLE AS dy FROM points, nodes))))
+QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY dist, node_id) = 1
+""", ("points", "nodes"))
+def snap_to_segment(spark, d):
+    segments = nodes(spark, d).select("node_id", "x", "y", (F.col("x") + F.col("node_id") % 30).alias("bx"), (F.col("y") + F.col("node_id") % 20).alias("by"))
+    found = gr.nearest(points(spark, d), segments, ("x", "y"), ("bx", "by"), gr.segment_distance("x", "y", "bx", "by"), "node_id", 16.0)
+    return found.select("point_id", F.col("shape").alias("segment_id"), F.round("distance", 3).alias("distance"))
+
+
+_SUM = "sum({})::DOUBLE"
+
+
+@query("affine_fit", """
+SELECT round((a1 * (b2 * c3 - b3 * c2) - b1 * (a2 * c3 - a3 * c2) + c1 * (a2 * b3 - a3 * b2)) / det, 4) AS lng_to_x FROM (
+ SELECT sux AS a1, uv AS b1, u AS c1, svx AS a2, vv AS b2, v AS c2, sx AS a3, v AS b3, n AS c3, uu * (vv * n - v * v) - uv * (uv * n - u * v) + u * (uv * v - u * vv) AS det FROM (
+  SELECT sum(x * (3 * x + y + node_id % 5)) AS sux, sum(x * x) AS uu, sum(x * y) AS uv, sum(x) AS u, sum(y * y) AS vv, sum(y) AS v, count(*)::DOUBLE AS n, sum(y * (3 * x + y + node_id % 5)) AS svx, sum(3 * x + y + node_id % 5) AS sx FROM nodes))
+""", "nodes")
+def affine_fit(spark, d):
+    """Coefficient of the map from node places to shifted ones, and back-checked residuals."""
+    rows = nodes(spark, d).select(F.col("x").alias("lng"), F.col("y").alias("lat"), (F.col("x") * 3 + F.col("y") + F.col("node_id") % 5).alias("x"), (F.col("y") * 2 - F.col("x")).alias("y"))
+    fit = gr.affine_fit(rows)
+    assert np.isfinite(fit).all()
+    return gr.project(rows, fit).agg(F.lit(round(float(fit[0][0]), 4)).alias("lng_to_x"), F.max("residual").alias("_r")).drop("_r")
