@@ -1 +1,82 @@
-"""Queries."""
+"""Streaming jobs run over the event table, with their batch twins."""
+
+from pyspark.sql import functions as F
+
+from plumbline.plans import inputs
+from plumbline.plans.aggregates import tip_owners
+from plumbline.registry import query, sql_list
+from plumbline.functions import rules
+from plumbline.streaming import jobs
+
+
+def event_stream(spark, d):
+    return jobs.stream(spark, d, "events.parquet", inputs.table(spark, d, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def turn_stream(spark, d):
+    """Turns as they arrive, with the columns the alerts need."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    outcome = F.when(F.col("event_type") == "purchase", "fallback").when(F.col("event_type") == "signup", "ask").when(F.col("event_type") == "error", "error").otherwise("answer")
+    return event_stream(spark, d).select(
+        F.col("ts").alias("created_at"), outcome.alias("outcome"), F.when(F.col("event_type") == "purchase", inputs.pick(rules.FALLBACK_REASONS, k % 5)).alias("fallback_reason")
+    )
+
+
+@query("quality_alert_stream", f"""
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) FILTER (el <> 'out_of_scope') AS scoped, count(*) FILTER (el IN {sql_list(rules.ACTIONABLE_REASONS)}) AS bad FROM (
+ SELECT time_bucket(INTERVAL '10 minutes', created_at, TIMESTAMP '1970-01-01') - to_minutes(10 * i) AS w, CASE WHEN outcome = 'fallback' THEN coalesce(fallback_reason, '') ELSE outcome END AS el FROM turns, range(0, 12) r(i)) GROUP BY w
+HAVING scoped >= 20 AND bad >= 4 AND bad / scoped >= 0.2
+""", "turns")
+def quality_alert_stream(spark, d):
+    """Two-hour windows every ten minutes whose quality tier is warn or critical."""
+    windows = jobs.quality_windows(turn_stream(spark, d), slide="10 minutes")
+    rows = jobs.latest_batch(jobs.run(windows, "update", "quality"), ["window_start"])
+    return rows.where("level <> 'ok'").select(inputs.ts_text("window_start").alias("window_start"), "scoped", "bad")
+
+
+@query("quality_alerts", """
+SELECT 'deadline' AS rule, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM (SELECT time_bucket(INTERVAL '15 minutes', created_at, TIMESTAMP '1970-01-01') AS w FROM turns WHERE fallback_reason = 'deadline') GROUP BY w HAVING n >= 2
+UNION ALL SELECT 'server_error', strftime(w, '%Y-%m-%d %H:%M:%S'), count(*) AS n FROM (SELECT time_bucket(INTERVAL '5 minutes', created_at, TIMESTAMP '1970-01-01') AS w FROM turns WHERE outcome = 'error') GROUP BY w HAVING n >= 5
+UNION ALL SELECT 'slow', strftime(w, '%Y-%m-%d %H:%M:%S'), n FROM (SELECT w, cast(max(elapsed_ms) FILTER (rn = greatest(1, floor(c * 0.95::DOUBLE)::BIGINT)) AS BIGINT) AS n FROM (
+  SELECT *, row_number() OVER (PARTITION BY w ORDER BY elapsed_ms) AS rn, count(*) OVER (PARTITION BY w) AS c FROM (SELECT *, time_bucket(INTERVAL '10 minutes', created_at, TIMESTAMP '1970-01-01') AS w FROM turns)) GROUP BY w) WHERE n > 30000
+""", "turns")
+def quality_alerts(spark, d):
+    return jobs.quality_alerts(inputs.turns(spark, d)).withColumn("window_start", inputs.ts_text("window_start"))
+
+
+@query("vote_stream", """
+SELECT tip_id, confirm, dispute, flags FROM (SELECT tip_id, count(*) FILTER (action = 'confirm') AS confirm, count(*) FILTER (action = 'dispute') AS dispute FROM event_ballots GROUP BY 1)
+ LEFT JOIN (SELECT tip_id, count(DISTINCT token) AS flags FROM good_votes WHERE action = 'flag' GROUP BY 1) USING (tip_id)
+""", ("event_ballots", "good_votes"))
+def vote_stream(spark, d):
+    return vote_verdicts(spark, d).select("tip_id", "confirm", "dispute", "flags")
+
+
+@query("vote_stream_verdict")
+def vote_stream_verdict(spark, d):
+    return vote_verdicts(spark, d).select("tip_id", "status", "contested", "burst_risk", "flag_review")
+
+
+def vote_verdicts(spark, d):
+    k = F.get_json_object("props", "$.k").cast("int")
+    action = F.when(F.col("event_type").isin("click", "view"), "confirm").when(F.col("event_type") == "purchase", "dispute").otherwise("flag")
+    votes = event_stream(spark, d).where("event_type <> 'signup'").select(
+        "event_id", (k % 20).alias("tip_id"), F.col("user_id").alias("token"), (F.col("user_id") % 7).cast("int").alias("net"), action.alias("action"), "ts"
+    )
+    owned = votes.join(tip_owners(spark, d), "tip_id").where((F.col("token") != F.col("author")) & (F.col("ts") >= F.col("public_from"))).drop("author")
+    return jobs.latest_batch(jobs.run(jobs.vote_stream(owned), "update", "votes"), ["tip_id"])
+
+
+def hits(events):
+    """Requests of few keys in compressed time, so that the limit is reached."""
+    return events.select("event_id", (F.col("user_id") % 5).alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000 / 200).alias("t"))
+
+
+@query("sliding_rate_limit")
+def sliding_rate_limit(spark, d):
+    return jobs.rate_limit(hits(inputs.table(spark, d, "events")))
+
+
+@query("rate_limit_stream")
+def rate_limit_stream(spark, d):
+    return jobs.run(jobs.rate_limit_stream(hits(event_stream(spark, d))), "append", "rate").drop("batch")
