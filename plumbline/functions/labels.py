@@ -158,3 +158,14 @@ def client_address(forwarded: Column, peer: Column) -> Column:
     parts = F.transform(F.reverse(F.split(forwarded, ",")), lambda p: F.trim(p))
     public = F.filter(parts, lambda p: ip_number(p).isNotNull() & ~in_ranges(ip_number(p)))
     return F.coalesce(F.try_element_at(public, F.lit(1)), peer, F.lit("unknown"))
+
+
+def event_group(category: Column, board: Column, url: Column, general_path: str) -> Column:
+    """Calendar view group of an event: its category, else the board it came from."""
+    origin = F.coalesce(board, F.when(F.contains(F.coalesce(url, F.lit("")), F.lit(general_path)), "general").otherwise("events"))
+    return F.when(category.isin("calendar", "academic", "scholarship"), category).when(origin == "general", "general").otherwise("events")
+
+
+def reachable(addresses: Column) -> Column:
+    """Whether a host resolves, and to public addresses only."""
+    return (F.size(addresses) > 0) & F.forall(addresses, lambda a: ip_number(a).isNotNull() & ~in_ranges(ip_number(a), PROXY_RANGES[:-2]))

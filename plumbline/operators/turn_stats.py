@@ -113,7 +113,7 @@ def recent_fallbacks(turns: DataFrame, limit: int = rules.RECENT_FALLBACKS) -> D
 
 
 def quality_tier(scoped: Column, bad: Column) -> Column:
-    rate = bad / scoped
+    rate = F.try_divide(bad.cast("double"), scoped)
     enough = (scoped >= rules.WARN_MIN_TURNS) & (bad >= rules.WARN_MIN_BAD)
     return (
         F.when(enough & (rate >= rules.CRITICAL_RATE), "critical")

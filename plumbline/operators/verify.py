@@ -18,68 +18,84 @@ URL = r"https?://[^\s<>\"'）)\]]+"
 
 
 def cited_texts(drafts: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Drafts with `texts`, the texts of their cites in order, and `unknown`, the ids not in the turn's evidence."""
-    cites = drafts.select("sid", "turn_id", F.posexplode("cite_ids").alias("pos", "evidence_id"))
-    found = cites.join(evidence.select("turn_id", "evidence_id", F.col("text").alias("cited")), ["turn_id", "evidence_id"], "left")
-    ordered = F.sort_array(F.collect_list(F.struct("pos", F.coalesce("cited", F.lit("")).alias("cited"))))
-    per_sentence = found.groupBy("sid").agg(
-        F.transform(ordered, lambda x: x["cited"]).alias("texts"), F.count(F.when(F.col("cited").isNull(), 1)).alias("unknown")
+    """Drafts with `texts`, the texts of their cites in order, and `unknown`, the ids not in the turn's evidence.
+
+    The draft's columns travel with its cites, so the table is shuffled once to meet the evidence and
+    once to come together again.
+    """
+    cites = drafts.select("*", F.posexplode_outer("cite_ids").alias("_pos", "evidence_id"))
+    known = evidence.select("turn_id", "evidence_id", F.col("text").alias("_cited"))
+    found = cites.join(known, ["turn_id", "evidence_id"], "left")
+    listed = F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_cited", F.lit("")).alias("t")))))
+    missing = F.count(F.when(F.col("_pos").isNotNull() & F.col("_cited").isNull(), 1))
+    return found.groupBy("sid").agg(
+        *[F.first(c).alias(c) for c in drafts.columns if c != "sid"], F.transform(listed, lambda x: x["t"]).alias("texts"), missing.alias("unknown")
     )
-    return drafts.join(per_sentence, "sid", "left").withColumns({
-        "texts": F.coalesce("texts", F.array().cast("array<string>")), "unknown": F.coalesce("unknown", F.lit(0).cast("long")),
-    })
 
 
-def quote_reason(quotes: Column, texts: Column) -> Column:
-    """First failing quote: too short, or not contained in its cited text.
+def with_quote_check(rows: DataFrame) -> DataFrame:
+    """Add `quote_reason`, why the first failing quote fails: too short, or not in its cited text.
 
     Quotes and cites pair up by position; when their counts differ, every quote has to be in the
-    union of the cited texts.
+    union of the cited texts.  `_texts` holds the normalised cited texts.
     """
-    union = norm_compact(F.array_join(texts, "\n"))
-    paired = F.size(quotes) == F.size(texts)
+    normal = lambda c: F.transform(c, lambda x: norm_compact(x))
+    rows = rows.withColumn("_texts", normal("texts")).withColumn("_quotes", normal("quotes"))
+    paired = F.size("quotes") == F.size("texts")
+    rows = rows.withColumn("_union", F.when(~paired, F.array_join("_texts", "")))
 
     def check(quote: Column, i: Column) -> Column:
-        own = norm_compact(F.try_element_at(texts, i + 1))
-        where = F.when(paired, own).otherwise(union)
-        short = F.length(norm_compact(quote)) < rules.MIN_QUOTE_CHARS
-        return F.when(short, "quote_too_short").when(~F.contains(where, norm_compact(quote)), "quote_not_found")
-
-    return F.try_element_at(F.filter(F.transform(quotes, check), lambda r: r.isNotNull()), F.lit(1))
-
-
-def with_checks(drafts: DataFrame, evidence: DataFrame, grade: Column | None = None) -> DataFrame:
-    """Drafts with one column per check; `grade` is a stated school year, allowed as a number."""
-    rows = cited_texts(drafts, evidence)
-    cited = F.array_join("texts", "\n")
-    rows = rows.withColumn("_quote", quote_reason(F.col("quotes"), F.col("texts")))
-    # One projection per step: each step uses the one before it several times.
-    rows = rows.withColumn("_cited", cited).withColumn("_allowed", date_variants(F.col("_cited")))
-    rows = rows.withColumn("_allowed", table_variants(F.col("_allowed")))
+        where = F.coalesce("_union", F.try_element_at("_texts", i + 1))
+        return F.when(F.length(quote) < rules.MIN_QUOTE_CHARS, "quote_too_short").when(~F.contains(where, quote), "quote_not_found")
+
+    failing = F.filter(F.transform("_quotes", check), lambda r: r.isNotNull())
+    return rows.withColumn("quote_reason", F.try_element_at(failing, F.lit(1))).drop("_quotes", "_union")
+
+
+def with_number_check(rows: DataFrame, grade: Column | None = None) -> DataFrame:
+    """Add `wrong_number`: a number with its unit stands in the sentence but in none of its cited texts.
+
+    Most numbers are found as they are written.  Only for the rest are the texts expanded by the other
+    spellings of their dates and table values; an expansion adds text, so it never loses a match.
+    `grade` is a stated school year, allowed as a number.
+    """
+    rows = rows.withColumn("_numbers", F.transform(unit_numbers(F.col("text")), lambda n: norm_compact(n)))
+    plain = F.forall("_numbers", lambda n: F.exists("_texts", lambda t: F.contains(t, n)))
     if grade is not None:
-        rows = rows.withColumn("_allowed", F.concat_ws(" ", "_allowed", F.concat(grade, F.lit("학년"))))
-    rows = rows.withColumn("_allowed", norm_compact(F.col("_allowed"))).withColumn("_numbers", unit_numbers(F.col("text")))
-    rows = rows.withColumn("_wrong_number", F.exists("_numbers", lambda n: ~F.contains(F.col("_allowed"), norm_compact(n))))
-    rows = rows.withColumn("_joined", F.array_join("quotes", " "))
-    return rows.withColumn("_flip", narrow_flip(F.col("text"), F.col("_joined"))).withColumn("_risky", risky_mismatch(F.col("text"), F.col("_joined")))
+        rows = rows.withColumn("_numbers", F.filter("_numbers", lambda n: n != F.concat(grade, F.lit("학년"))))
+    rows = rows.withColumn("_open", F.when(~plain, F.array_join("texts", "\n")))
+    rows = rows.withColumn("_open", date_variants(F.col("_open"))).withColumn("_open", table_variants(F.col("_open")))
+    rows = rows.withColumn("_open", norm_compact(F.col("_open")))
+    missing = F.exists("_numbers", lambda n: ~F.contains(F.col("_open"), n))
+    return rows.withColumn("wrong_number", F.coalesce(missing, F.lit(False))).drop("_numbers", "_open")
 
 
-def verify_sentences(drafts: DataFrame, evidence: DataFrame) -> DataFrame:
-    """First failing reason of every sentence ('' when kept) and the polarity flag of kept ones."""
-    rows = with_checks(drafts, evidence)
-    main = F.col("section") == "sentences"
+def with_polarity(rows: DataFrame, when: Column) -> DataFrame:
+    """Add `polarity`, polarity_flip or risky_token, for the rows that `when` selects."""
+    rows = rows.withColumn("_joined", F.when(when, F.array_join("quotes", " ")))
+    flip, risky = narrow_flip(F.col("text"), F.col("_joined")), risky_mismatch(F.col("text"), F.col("_joined"))
+    flag = F.when(F.col("_joined").isNotNull(), F.when(flip, "polarity_flip").when(risky, "risky_token"))
+    return rows.withColumn("polarity", F.coalesce(flag, F.lit(""))).drop("_joined")
+
+
+def verify_sentences(drafts: DataFrame, evidence: DataFrame, grade: Column | None = None) -> DataFrame:
+    """First failing reason of every sentence ('' when kept) and the polarity flag of the others."""
+    rows = with_number_check(with_quote_check(cited_texts(drafts, evidence)), grade)
     failed = F.coalesce(
         F.when(F.size("cite_ids") == 0, "no_cite"),
         F.when(F.size("quotes") == 0, "len_mismatch"),
         F.when(F.col("unknown") > 0, "unknown_id"),
-        F.col("_quote"),
-        F.when(F.col("_wrong_number"), "number_mismatch"),
+        F.col("quote_reason"),
+        F.when(F.col("wrong_number"), "number_mismatch"),
     )
     rows = rows.withColumn("_failed", failed)
-    flag = F.when(F.col("_failed").isNull() & main, F.when(F.col("_flip"), "polarity_flip").when(F.col("_risky"), "risky_token"))
-    rows = rows.withColumn("flag", F.coalesce(flag, F.lit("")))
-    reason = F.coalesce("_failed", F.when(F.col("flag") == "polarity_flip", "suppressed"), F.lit(""))
-    return rows.select("sid", "turn_id", "section", "cite_ids", reason.alias("reason"), "flag")
+    rows = with_polarity(rows, F.col("_failed").isNull() & (F.col("section") == "sentences"))
+    reason = F.coalesce("_failed", F.when(F.col("polarity") == "polarity_flip", "suppressed"), F.lit(""))
+    verdict = F.struct(reason.alias("reason"), F.col("polarity").alias("flag"))
+    # A filter on the verdict must not be pushed below: it would carry all checks into its condition.
+    return rows.select("sid", "turn_id", "section", "cite_ids", F.explode(F.array(verdict)).alias("v")).select(
+        "sid", "turn_id", "section", "cite_ids", "v.reason", "v.flag"
+    )
 
 
 def verify_report(verified: DataFrame) -> DataFrame:

@@ -480,3 +480,24 @@ def struct_json(spark, d):
     rows = F.sort_array(F.collect_list(F.struct("idx", F.col("evidence_id").alias("id"), F.col("qty").alias("n"))))
     links = F.to_json(F.transform(rows, lambda r: F.struct(r["id"].alias("id"), r["n"].alias("n"))))
     return inputs.facts(spark, d).groupBy("turn_id").agg(links.alias("links"))
+
+
+@query("event_group", """
+SELECT notice_id, CASE notice_id % 6 WHEN 0 THEN 'calendar' WHEN 1 THEN 'academic' WHEN 2 THEN 'general' WHEN 3 THEN 'events' WHEN 4 THEN 'general' ELSE 'events' END AS grp FROM notices
+""", "notices")
+def event_group(spark, d):
+    k = F.col("notice_id") % 6
+    category = F.when(k == 0, "calendar").when(k == 1, "academic").otherwise("notice")
+    board = F.when(k == 2, "general").when(k == 3, "events")
+    url = F.when(k == 4, F.concat("url", F.lit("/bbs/general/1"))).otherwise(F.col("url"))
+    return inputs.notices(spark, d).select("notice_id", labels.event_group(category, board, url, "/bbs/general/").alias("grp"))
+
+
+@query("reachable_address", """
+SELECT page_id, page_id % 4 = 0 AS reachable FROM pages
+""")
+def reachable_address(spark, d):
+    k = F.col("page_id") % 4
+    good = F.concat(F.lit("52.3.4."), (F.col("page_id") % 256).cast("string"))
+    addresses = F.when(k == 0, F.array(good)).when(k == 1, F.array(good, F.lit("169.254.169.254"))).when(k == 2, F.array(F.lit("10.0.0.9"))).otherwise(F.array().cast("array<string>"))
+    return inputs.table(spark, d, "pages").select("page_id", labels.reachable(addresses).alias("reachable"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from plumbline.operators.filters import retention
 from plumbline.plans import inputs
 from plumbline.plans.aggregates import tip_owners
 from plumbline.registry import query, sql_list
@@ -80,3 +81,35 @@ def sliding_rate_limit(spark, d):
 @query("rate_limit_stream")
 def rate_limit_stream(spark, d):
     return jobs.run(jobs.rate_limit_stream(hits(event_stream(spark, d))), "append", "rate").drop("batch")
+
+
+@query("quota_stream", f"""
+SELECT event_id, strftime(cast(ts + INTERVAL 9 HOUR AS DATE), '%Y-%m-%d') AS day FROM events QUALIFY row_number() OVER (PARTITION BY cast(ts + INTERVAL 9 HOUR AS DATE), user_id % 7 ORDER BY ts, event_id) <= {rules.REPORT_PER_NET_DAY}
+""")
+def quota_stream(spark, d):
+    day = F.to_date(F.from_utc_timestamp("ts", "Asia/Seoul")).cast("string")
+    requests = event_stream(spark, d).select("event_id", day.alias("day"), (F.col("user_id") % 7).alias("key"), "ts")
+    return jobs.run(jobs.quota_stream(requests, rules.REPORT_PER_NET_DAY), "append", "quota").drop("batch")
+
+
+@query("turn_dedup_stream", """
+SELECT DISTINCT user_id AS thread_id, event_id // 2 AS request_id FROM events
+""")
+def turn_dedup_stream(spark, d):
+    """Every request once, though half of them arrive twice."""
+    requests = event_stream(spark, d).select(F.col("user_id").alias("thread_id"), F.floor(F.col("event_id") / 2).alias("request_id"), F.col("ts").alias("created_at"))
+    twice = requests.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy")).drop("copy")
+    return jobs.run(jobs.first_requests(twice, "40 days"), "append", "requests").select("thread_id", "request_id")
+
+
+@query("ttl_eviction", f"""
+SELECT class, count(*) FILTER (ts + to_hours(h) > TIMESTAMP '2024-01-30') AS kept, count(*) FILTER (ts + to_hours(h) <= TIMESTAMP '2024-01-30') AS evicted FROM (
+ SELECT *, CASE class {' '.join(f"WHEN '{k}' THEN {v}" for k, v in rules.TTL_HOURS.items())} END AS h FROM (SELECT ts, ['{"','".join(rules.TTL_HOURS)}'][event_id % 7 + 1] AS class FROM events)) GROUP BY 1
+""")
+def ttl_eviction(spark, d):
+    """Rows of every lifetime class that stay and that leave."""
+    rows = inputs.table(spark, d, "events").select("event_id", "ts", inputs.pick(tuple(rules.TTL_HOURS), F.col("event_id") % 7).alias("class"))
+    kept = retention(rows, "class", "ts", F.lit("2024-01-30").cast("timestamp")).groupBy("class").agg(F.count("*").alias("kept"))
+    total = rows.groupBy("class").agg(F.count("*").alias("n"))
+    k = F.coalesce("kept", F.lit(0)).cast("long")
+    return total.join(kept, "class", "left").select("class", k.alias("kept"), (F.col("n") - k).alias("evicted"))

@@ -79,15 +79,15 @@ def citation_check_ids(spark, d):
 @query("quote_join", "SELECT sid, coalesce(quote_reason, 'found') AS result FROM checked", "checked")
 def quote_join(spark, d):
     rows = vf.cited_texts(inputs.drafts(spark, d), inputs.evidence(spark, d))
-    return rows.select("sid", F.coalesce(vf.quote_reason(F.col("quotes"), F.col("texts")), F.lit("found")).alias("result"))
+    return vf.with_quote_check(rows).select("sid", F.coalesce("quote_reason", F.lit("found")).alias("result"))
 
 
 @query("polarity_flags", """
 SELECT sid, CASE WHEN flip THEN 'high' ELSE 'low' END AS severity FROM checked WHERE section = 'sentences' AND (flip OR risky)
 """, "checked")
 def polarity_flags(spark, d):
-    rows = vf.with_checks(inputs.drafts(spark, d).where("section = 'sentences'"), inputs.evidence(spark, d))
-    return rows.where("_flip OR _risky").select("sid", F.when(F.col("_flip"), "high").otherwise("low").alias("severity"))
+    rows = vf.with_polarity(inputs.drafts(spark, d), F.col("section") == "sentences").where("polarity <> ''")
+    return rows.select("sid", F.when(F.col("polarity") == "polarity_flip", "high").otherwise("low").alias("severity"))
 
 
 @query("adopted_not_cited", """

@@ -180,3 +180,26 @@ def rate_limit(hits: DataFrame) -> DataFrame:
 
     judged = placed.groupBy("key", "stretch").applyInPandas(judge, "event_id long, key long, accepted boolean")
     return hits.select("event_id", "key").join(judged.select("event_id", "accepted"), "event_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+
+
+# ── quotas and replays ─────────────────────────────────────────────────────────────────────────────
+def quota_stream(requests: DataFrame, limit: int) -> DataFrame:
+    """Requests (event_id, day, key, ts) accepted up to the limit per day and key; counters live three days."""
+
+    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        used = state.get[0] if state.exists else 0
+        rows = pd.concat([b.nsmallest(limit, ["ts", "event_id"]) for b in batches]).nsmallest(max(limit - used, 0), ["ts", "event_id"])
+        state.update((used + len(rows),))
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 3 * 86_400_000)
+        yield rows[["event_id", "day"]]
+
+    timed = requests.withWatermark("ts", "3 days")
+    return timed.groupBy("day", "key").applyInPandasWithState(count, "event_id long, day string", "n long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def first_requests(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Requests with every (thread, request) once; a repetition within the lateness is a replay."""
+    return requests.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["thread_id", "request_id"])
