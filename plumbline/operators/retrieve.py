@@ -86,8 +86,8 @@ def merged(hits: DataFrame, k: int = 5) -> DataFrame:
 
 
 # ── containment of passages in a corpus ─────────────────────────────────────────────────────────────
-GRAM, SPAN = 12, 13
-SHORTEST = GRAM + SPAN - 1
+SAMPLES = ((12, 13), (6, 7))
+"""(gram, span) pairs: grams of that many characters, of which the smallest of every span is kept."""
 _BASE, _MIX = np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -103,16 +103,16 @@ def _grams(text: str, size: int) -> np.ndarray:
     return value * _MIX
 
 
-def _sampled(text: str) -> np.ndarray:
-    """The smallest gram hash of every run of SPAN grams: about one gram in seven.
+def _sampled(text: str, gram: int, span: int) -> np.ndarray:
+    """The smallest gram hash of every run of `span` grams: about two grams in span + 1.
 
-    Any stretch of SHORTEST characters has a run of its own, so a text that contains a passage of
-    that length also lists the passage's smallest gram.
+    Any stretch of gram + span - 1 characters has a run of its own, so a text that contains a passage
+    of that length also lists the passage's smallest gram.
     """
-    grams = _grams(text, GRAM)
-    if len(grams) < SPAN:
+    grams = _grams(text, gram)
+    if len(grams) < span:
         return np.empty(0, dtype=np.uint64)
-    return np.unique(np.lib.stride_tricks.sliding_window_view(grams, SPAN).min(axis=1))
+    return np.unique(np.lib.stride_tricks.sliding_window_view(grams, span).min(axis=1))
 
 
 def _hash_rows(df: DataFrame, key: str, hashes) -> DataFrame:
@@ -134,10 +134,16 @@ def corpus_match(passages: DataFrame, corpus: DataFrame) -> DataFrame:
     """
     asked = passages.select("item_id", norm_compact(F.col("text")).alias("norm")).where("norm <> ''")
     docs = corpus.select("doc_id", norm_compact(F.col("text")).alias("norm"))
-    long = asked.where(F.length("norm") >= SHORTEST)
-    smallest = lambda text: _grams(text, GRAM).min(keepdims=True)
-    pairs = _hash_rows(docs, "doc_id", _sampled).join(_hash_rows(long, "item_id", smallest), "gram").select("doc_id", "item_id")
-    short = asked.where(F.length("norm") < SHORTEST).withColumn("size", F.least(F.length("norm"), F.lit(rules.MIN_QUOTE_CHARS)))
+    pairs, longest = None, None
+    for gram, span in SAMPLES:
+        shortest = gram + span - 1
+        tier = asked.where(F.length("norm").between(shortest, longest if longest else 1 << 30))
+        longest = shortest - 1
+        sample = lambda text, g=gram, s=span: _sampled(text, g, s)
+        smallest = lambda text, g=gram: _grams(text, g).min(keepdims=True)
+        found = _hash_rows(docs, "doc_id", sample).join(_hash_rows(tier, "item_id", smallest), "gram").select("doc_id", "item_id")
+        pairs = found if pairs is None else pairs.unionByName(found)
+    short = asked.where(F.length("norm") <= longest).withColumn("size", F.least(F.length("norm"), F.lit(rules.MIN_QUOTE_CHARS)))
     for size in sorted(r["size"] for r in short.select("size").distinct().collect()):
         every = lambda text, n=size: np.unique(_grams(text, n))
         head = lambda text, n=size: _grams(text[:n], n)

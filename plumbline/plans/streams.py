@@ -70,7 +70,7 @@ def vote_verdicts(spark, d):
 
 def hits(events):
     """Requests of few keys in compressed time, so that the limit is reached."""
-    return events.select("event_id", (F.col("user_id") % 5).alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000 / 200).alias("t"))
+    return events.select("event_id", (F.col("user_id") % 5).alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000 / 1000).alias("t"))
 
 
 @query("sliding_rate_limit")
