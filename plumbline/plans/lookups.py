@@ -186,14 +186,15 @@ def place_mention(spark, d):
 
 
 @query("events_overlap_range", """
-SELECT q.notice_id, c.cal_id FROM (SELECT notice_id, start_date - INTERVAL 28 YEAR AS qs, least(end_date - INTERVAL 28 YEAR, start_date - INTERVAL 28 YEAR + INTERVAL 200 DAY) AS qe FROM notices WHERE board = '1-URGENT' AND flag = 'F' AND topic = '휴학') q
- JOIN (SELECT * FROM calendar WHERE status = 'pending') c ON c.start_date <= q.qe AND c.end_date >= q.qs
+SELECT strftime(q.qs, '%Y-%m-%d') AS quarter, c.cal_id FROM (SELECT DISTINCT cast(date_trunc('quarter', start_date - INTERVAL 28 YEAR) AS DATE) AS qs FROM notices) q
+ JOIN calendar c ON c.start_date <= q.qs + INTERVAL 3 MONTH - INTERVAL 1 DAY AND c.end_date >= q.qs
 """, ("notices", "calendar"))
 def events_overlap_range(spark, d):
-    back = lambda c: F.add_months(c, -336)
-    ranges = inputs.notices(spark, d).where("board = '1-URGENT' and flag = 'F' and topic = '휴학'").select("notice_id", back("start_date").alias("q_start"), back("end_date").alias("q_end"))
-    items = inputs.calendar(spark, d).where("status = 'pending'").select("cal_id", "start_date", "end_date")
-    return lk.overlapping(ranges, items).select("notice_id", "cal_id")
+    """Calendar items of every quarter that has a notice."""
+    first = F.date_trunc("quarter", F.add_months("start_date", -336)).cast("date")
+    ranges = inputs.notices(spark, d).select(first.alias("q_start")).distinct().withColumn("q_end", F.date_sub(F.add_months("q_start", 3), 1))
+    items = inputs.calendar(spark, d).select("cal_id", "start_date", "end_date")
+    return lk.overlapping(ranges, items).select(F.col("q_start").cast("string").alias("quarter"), "cal_id")
 
 
 @query("report_snapshot", """
