@@ -69,9 +69,10 @@ def unit_blocks(spark, d):
 
 
 @query("contact_page", r"""
-SELECT doc_id, loc AS location, '055-249-7777' AS phone, substr(t, start + 1, p + 80 - start) AS evidence FROM (SELECT *, greatest(0, p - 60) AS start FROM (
- SELECT doc_id, ['본관 2층', '창조관 지하 1층 101호', '한마관', '중앙도서관 3층 301호실', ''][doc_id % 5 + 1] AS loc, t, CASE WHEN doc_id % 5 = 4 THEN instr(t, '055-249-7777') - 1 ELSE instr(t, ['본관 2층', '창조관 지하 1층 101호', '한마관', '중앙도서관 3층 301호실'][doc_id % 5 + 1]) - 1 END AS p
- FROM (SELECT doc_id, replace(text, chr(10), ' ') || ' 위치 ' || ['본관 2층', '창조관 지하 1층 101호', '한마관', '중앙도서관 3층 301호실', '모르는 곳'][doc_id % 5 + 1] || ' 전화 055-249-7777 끝' AS t FROM documents)))
+SELECT doc_id, loc AS location, CASE WHEN starts_with(n, '055') AND length(n) = 10 THEN '055-' || substr(n, 4, 3) || '-' || substr(n, 7, 4) WHEN length(n) = 11 THEN substr(n, 1, 3) || '-' || substr(n, 4, 4) || '-' || substr(n, 8, 4) ELSE trim(phone) END AS phone, substr(t, start + 1, p + 80 - start) AS evidence FROM (
+ SELECT *, greatest(0, p - 60) AS start FROM (SELECT *, regexp_replace(phone, '[^0-9]', '', 'g') AS n, instr(t, CASE WHEN loc <> '' THEN loc ELSE phone END) - 1 AS p FROM (
+  SELECT *, regexp_extract(t, '\(?0\d{1,2}\)?[-\s]?\d{3,4}-\d{4}') AS phone FROM (
+   SELECT doc_id, ['본관 2층', '창조관 지하 1층 101호', '한마관', '중앙도서관 3층 301호실', ''][doc_id % 5 + 1] AS loc, replace(text, chr(10), ' ') || ' 위치 ' || ['본관 2층', '창조관 지하 1층 101호', '한마관', '중앙도서관 3층 301호실', '모르는 곳'][doc_id % 5 + 1] || ' 전화 055-249-7777 끝' AS t FROM documents))))
 """)
 def contact_page(spark, d):
     plain = F.replace("text", F.lit("\n"), F.lit(" "))

@@ -204,6 +204,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         given_quote.alias("quote"),
         F.to_date("l_shipdate").alias("ship_day"),
         qty.alias("qty"),
+        F.floor("l_extendedprice").alias("price"),
         F.col("l_partkey").alias("part"),
         F.col("l_suppkey").alias("supp"),
         F.col("l_returnflag").alias("flag"),
@@ -220,7 +221,7 @@ SELECT l_orderkey AS turn_id, l_orderkey * 100 + ln AS fact_id, ln AS idx, l_par
     ELSE '최대 ' || qty || '학점까지 신청할 수 있어요' END AS sentence,
   CASE ln % 7 WHEN 5 THEN '학생은' WHEN 6 THEN '전혀 없는 문장을 인용한다'
     ELSE '학생은 최대 ' || qty || '학점까지 신청할 수 있다' END AS quote,
-  cast(l_shipdate AS DATE) AS ship_day, qty, l_partkey AS part, l_suppkey AS supp, l_returnflag AS flag
+  cast(l_shipdate AS DATE) AS ship_day, qty, cast(floor(l_extendedprice) AS BIGINT) AS price, l_partkey AS part, l_suppkey AS supp, l_returnflag AS flag
 FROM (SELECT *, l_linenumber AS ln, cast(floor(l_quantity) AS INTEGER) AS qty FROM lineitem)
 """)
 
@@ -410,7 +411,7 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("part") % 29
     none = F.array().cast("array<string>")
     return facts(spark, sf_dir).select(
-        F.concat_ws("-", *[F.col(c).cast("string") for c in ("turn_id", "idx", "part", "supp")]).alias("sid"),
+        F.concat_ws("-", *[F.col(c).cast("string") for c in ("turn_id", "idx", "part", "supp", "qty", "price")]).alias("sid"),
         "turn_id",
         pick(("sentences", "sentences", "checklist", "next_actions"), F.col("supp") % 4).alias("section"),
         F.col("sentence").alias("text"),
@@ -420,7 +421,7 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 view("drafts", """
-SELECT turn_id || '-' || idx || '-' || part || '-' || supp AS sid, turn_id, ['sentences', 'sentences', 'checklist', 'next_actions'][supp % 4 + 1] AS section, sentence AS text,
+SELECT turn_id || '-' || idx || '-' || part || '-' || supp || '-' || qty || '-' || price AS sid, turn_id, ['sentences', 'sentences', 'checklist', 'next_actions'][supp % 4 + 1] AS section, sentence AS text,
   CASE WHEN part % 29 = 0 THEN [] WHEN part % 29 = 2 THEN [evidence_id || 'x'] ELSE [evidence_id] END AS cite_ids,
   CASE WHEN part % 29 = 1 THEN [] WHEN part % 29 = 3 THEN [quote, '원이고 접수는'] ELSE [quote] END AS quotes FROM facts
 """, ("facts",))
