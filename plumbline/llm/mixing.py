@@ -3,8 +3,9 @@
 Every document of a source has an expected number of copies.  Documents stand in a fixed order (by size
 class, then by a digest of the id), expected copies are summed along it, one offset is added, and a document
 is emitted once for each whole number that its step crosses.  Size classes stand together, so the words
-taken stay close to the target.  The order is cut into slices of about `SLICE_ROWS` rows: slices are summed
-first, then rows within a slice, so a source with a third of all rows is many tasks.
+taken stay close to the target.  The order is cut into slices of about `SLICE_ROWS` rows.  Sums run over the
+classes of a source, then over the slices of a class, then over the rows of a slice, so a source with a third
+of all rows is many tasks.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from plumbline.session import cut_lineage
 
 #: Expected copies are counted in billionths, so that sums are whole numbers and reruns agree.
 UNIT = 1_000_000_000
-#: Rows of one size class of one source that a task orders at a time.
-SLICE_ROWS = 2_000
+#: Rows of one size class of one source that a window orders at a time.
+SLICE_ROWS = 200
 
 
 def offset_of(seed: int) -> int:
@@ -76,8 +77,10 @@ def copies(
     sources = targets(classes.groupBy(F.col("_mix_src").alias("source")).agg(F.sum("_mix_sum").alias("source_size")), weights, share, most)
     step = F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")) * UNIT + F.lit(0.5)), F.lit(0)).cast("long")
     sources = sources.select(F.col("source").alias("_src"), "source_size", "target", step.alias("_mix_e"))
+    earlier = Window.partitionBy("_mix_src").orderBy("_mix_class").rowsBetween(Window.unboundedPreceding, -1)
     classes = classes.join(sources, classes["_mix_src"].eqNullSafe(sources["_src"])).select(
         F.col("_mix_src").alias("_src"), F.col("_mix_class").alias("_class"), "source_size", "target", "_mix_e",
+        F.coalesce(F.sum(F.col("_mix_n") * F.col("_mix_e")).over(earlier), F.lit(0)).alias("_mix_base"),
         F.ceil(F.col("_mix_n") / SLICE_ROWS).cast("long").alias("_mix_slices"),
     )
     placed = rows.join(classes, rows["_mix_src"].eqNullSafe(classes["_src"]) & (rows["_mix_class"] == classes["_class"])).drop("_src", "_class")
@@ -85,7 +88,7 @@ def copies(
     placed = placed.withColumn("_mix_slice", F.shiftright(high * F.col("_mix_slices"), 28)).drop("_mix_slices")
     slice_key = ["_mix_src", "_mix_class", "_mix_slice"]
     sums = placed.groupBy(*slice_key).agg(F.sum("_mix_e").alias("_mix_step"))
-    before = Window.partitionBy("_mix_src").orderBy("_mix_class", "_mix_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_mix_src", "_mix_class").orderBy("_mix_slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(
         F.col("_mix_src").alias("_src"), F.col("_mix_class").alias("_class"), F.col("_mix_slice").alias("_slice"),
         F.coalesce(F.sum("_mix_step").over(before), F.lit(0)).alias("_mix_before"),
@@ -96,7 +99,7 @@ def copies(
         sums,
         summed["_mix_src"].eqNullSafe(sums["_src"]) & (summed["_mix_class"] == sums["_class"]) & (summed["_mix_slice"] == sums["_slice"]),
     ).drop("_src", "_class", "_slice")
-    end = F.col("_mix_before") + F.col("_mix_sum") + F.lit(offset_of(seed))
+    end = F.col("_mix_base") + F.col("_mix_before") + F.col("_mix_sum") + F.lit(offset_of(seed))
     crossed = F.expr(f"(_mix_end div {UNIT}) - ((_mix_end - _mix_e) div {UNIT})")
     joined = joined.withColumn("_mix_end", end).withColumn("copies", crossed.cast("long"))
     return joined.drop(*[c for c in joined.columns if c.startswith("_mix")])

@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, mixing, pieces
+from plumbline.llm import chat, minhash, mixing, pieces, simhash
 from plumbline.llm.catalog import query
-from plumbline.llm.common import sha256_hex, table, text_of, word_count
+from plumbline.llm.common import sha256_hex, table, word_count
+from plumbline.session import cut_lineage
 
 MIX_SEED = 7
 
@@ -92,3 +93,29 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256_hex(F.col("ids_text")).alias("ids_sha256"), "ids")
     back = pieces.decode(coded, model)
     return back.select("doc_id", "n_tokens", "ids_sha256", sha256_hex(F.col("decoded")).alias("decoded_sha256"))
+
+
+@query("op9_simhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.edited_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    keys = ["block", "place", "next_block", "next_place", "doc_id", "n_chars", "edited_sha256"]
+    sides = F.array(
+        F.struct(F.lit(0).alias("side"), F.col("text")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")),
+    )
+    rows = rows.withColumns({"n_chars": F.length("text").cast("long"), "edited_sha256": sha256_hex(F.col("edited"))})
+    rows = rows.select(*keys, F.explode(sides).alias("s")).select(*keys, "s.*")
+    prints = simhash.vote(rows, [*keys, "side"], "text")
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{c}{side}")
+    wide = cut_lineage(prints.groupBy(*keys).agg(*[of(side, c) for side in range(2) for c in ("hi", "lo")]))
+    after = wide.select(F.col("block").alias("next_block"), F.col("place").alias("next_place"), F.col("hi0").alias("hi2"), F.col("lo0").alias("lo2"))
+    return wide.join(after, ["next_block", "next_place"]).select(
+        "doc_id", "n_chars", "edited_sha256", simhash.as_text(F.col("hi0"), F.col("lo0")).alias("fingerprint"),
+        simhash.as_text(F.col("hi1"), F.col("lo1")).alias("edited_fingerprint"),
+        simhash.likeness(*map(F.col, ("hi0", "lo0", "hi1", "lo1"))).alias("near_edited"),
+        simhash.likeness(*map(F.col, ("hi0", "lo0", "hi2", "lo2"))).alias("near_next"),
+    )
+
+
+@query("op6_minhash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
