@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, minhash, mixing, pieces, simhash
+from plumbline.llm import chat, chunks, minhash, mixing, pieces, quality, simhash
 from plumbline.llm.catalog import query
 from plumbline.llm.common import sha256_hex, table, word_count
 from plumbline.session import cut_lineage
@@ -119,3 +119,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_minhash")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+@query("op1_chunks")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunks.dedup_substrings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "text")
+
+
+@query("op7_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, model)
