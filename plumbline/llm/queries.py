@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, chunks, minhash, mixing, pieces, quality, simhash
+from plumbline.llm import chat, chunks, licenses, minhash, mixing, pieces, quality, simhash, wrappers
 from plumbline.llm.catalog import query
 from plumbline.llm.common import sha256_hex, table, word_count
 from plumbline.session import cut_lineage
@@ -132,3 +132,45 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.judge(docs, model)
+
+
+@query("op5_wrappers")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = wrappers.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return done.withColumn("n_chars", F.length("text").cast("long"))
+
+
+_TEMPLATES = ", ".join(
+    f"('{name}', [{', '.join(repr(g) for g in licenses.template_bigrams(text))}], {licenses.bounds(len(licenses.template_bigrams(text)))[0]}, "
+    f"{licenses.bounds(len(licenses.template_bigrams(text)))[1]})"
+    for name, text in licenses.TEMPLATES.items()
+)
+
+
+@query("op10_licenses", sql=f"""
+WITH plain AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS body FROM documents
+), units AS (
+  SELECT DISTINCT rid, trim(regexp_replace(u, '[ \\n]+', ' ', 'g')) AS unit FROM (
+    SELECT rid, unnest(string_split(body, chr(10))) AS u FROM plain
+    UNION ALL SELECT rid, unnest(string_split_regex(body, '\\n *\\n')) FROM plain
+    UNION ALL SELECT rid, body FROM plain)
+), templates(licence, grams, low, high) AS (VALUES {_TEMPLATES}),
+sized AS (
+  SELECT rid, string_split(unit, ' ') AS words, len(string_split(unit, ' ')) - 1 AS size FROM units
+), met AS (
+  SELECT rid, licence,
+    2.0::DOUBLE * len(list_intersect(list_transform(range(1, size + 1), lambda i: words[i] || ' ' || words[i + 1]), grams)) / (size + len(grams)) AS dice
+  FROM sized JOIN templates ON size BETWEEN low AND high
+), found AS (SELECT * FROM met WHERE dice >= {licenses.THRESHOLD}::DOUBLE)
+SELECT any_value(p.doc_id) AS doc_id, count(f.licence) AS n_matches,
+  coalesce(string_agg(DISTINCT f.licence, ',' ORDER BY f.licence), '') AS licences, coalesce(max(f.dice), 0::DOUBLE) AS best
+FROM plain p LEFT JOIN found f USING (rid) GROUP BY p.rid
+""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", licenses.matches(F.col("text")).alias("found"))
+    names = F.array_sort(F.array_distinct(F.transform("found", lambda m: m["licence"])))
+    return docs.select(
+        "doc_id", F.size("found").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licences"),
+        F.coalesce(F.array_max(F.transform("found", lambda m: m["dice"])), F.lit(0.0)).alias("best"),
+    )
