@@ -65,14 +65,15 @@ def copies(
 
     Null sources are one source, after all others.  A null size counts as 0; a source of size 0 has target 0
     and no copies.  Repeated rows are documents of their own.  `tie` names a column that orders rows of the
-    same key.  An empty table gives an empty table; other columns are kept unless they start with `_mix`.
+    same key.  An empty table gives an empty table; other columns are kept unless they start with `_mix`.  Only
+    the table of classes is stored; whole rows are shuffled once, by slice.
     """
     digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
     rows = sized.withColumns({
         "_mix_s": F.coalesce(F.col(size), F.lit(0)).cast("long"), "_mix_src": F.col(source), "_mix_h": digest,
         "_mix_tie": F.col(tie) if tie else F.lit(""),
     })
-    rows = cut_lineage(rows.withColumn("_mix_class", size_class(F.col("_mix_s"))))
+    rows = rows.withColumn("_mix_class", size_class(F.col("_mix_s")))
     classes = cut_lineage(rows.groupBy("_mix_src", "_mix_class").agg(F.sum("_mix_s").alias("_mix_sum"), F.count("*").alias("_mix_n")))
     sources = targets(classes.groupBy(F.col("_mix_src").alias("source")).agg(F.sum("_mix_sum").alias("source_size")), weights, share, most)
     step = F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")) * UNIT + F.lit(0.5)), F.lit(0)).cast("long")

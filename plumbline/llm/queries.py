@@ -118,7 +118,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_minhash")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query("op1_chunks")
@@ -131,7 +132,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, model)
+    return quality.judge(docs, model).drop("text")
 
 
 @query("op5_wrappers")
