@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, chunks, licenses, minhash, mixing, pieces, quality, simhash, wrappers
+from plumbline.llm import chat, chunks, licenses, minhash, mixing, pieces, quality, simhash, suffixes, wrappers
 from plumbline.llm.catalog import query
 from plumbline.llm.common import sha256_hex, table, word_count
 from plumbline.session import cut_lineage
@@ -175,3 +175,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("found").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licences"),
         F.coalesce(F.array_max(F.transform("found", lambda m: m["dice"])), F.lit(0.0)).alias("best"),
     )
+
+
+@query("op4_suffixes")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
