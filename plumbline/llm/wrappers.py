@@ -135,15 +135,15 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, str]], list[str]]:
 
 
 def fold(stream: list) -> tuple:
-    """A token stream with neighbouring equal groups as one repeated group; texts inside it become slots."""
+    """A token stream with three or more equal neighbouring groups as one repeated group; texts inside it become slots."""
     items: list = []
     for token in stream:
         items.append(token)
         for width in (1, 2, 3, 4, 5):
-            if len(items) >= 2 * width:
-                a, b = items[-2 * width : -width], items[-width:]
-                if _plain(a) == _plain(b) and not (width == 1 and isinstance(b[0], str) and b[0][0] == "t"):
-                    items[-2 * width :] = [("+", _plain(b))]
+            if len(items) >= 3 * width:
+                a, b, c = (_plain(items[len(items) - k * width :][:width]) for k in (3, 2, 1))
+                if a == b == c and c != ("#",):
+                    items[-3 * width :] = [("+", c)]
                     break
             if len(items) > width and isinstance(items[-width - 1], tuple) and items[-width - 1] == ("+", _plain(items[-width:])):
                 del items[-width:]
