@@ -2,19 +2,47 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plumbline.functions import rules
 
 
+# blocks of compatibility forms that occur in extracted text: superscripts, letterlike, numbers, circled, squared units, ligatures, widths
+_COMPAT_BLOCKS = ((0xAA, 0xBE), (0x2070, 0x209C), (0x2100, 0x214F), (0x2150, 0x218B), (0x2460, 0x24FF), (0x3200, 0x33FF), (0xFB00, 0xFB06), (0xFF01, 0xFF5E))
+
+
+def _compat_forms() -> dict[str, str]:
+    forms = {chr(c): unicodedata.normalize("NFKC", chr(c)) for low, high in _COMPAT_BLOCKS for c in range(low, high + 1)}
+    return {a: b for a, b in forms.items() if a != b}
+
+
+_SINGLE = {a: b for a, b in _compat_forms().items() if len(b) == 1}
+_SPELLED = {a: b for a, b in _compat_forms().items() if len(b) > 1}
+_ANY_COMPAT = "[" + "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in _COMPAT_BLOCKS) + "]"
+
+
+def fold_compat(text) -> Column:
+    """Compatibility forms in their plain spelling: full-width characters, circled digits, squared units, ligatures.
+
+    Rows without any are only looked at.  A form that spells several characters is looked up letter by letter.
+    """
+    column = F.col(text) if isinstance(text, str) else text
+    single = F.translate(column, "".join(_SINGLE), "".join(_SINGLE.values()))
+    table = F.create_map(*[F.lit(x) for pair in _SPELLED.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(column.rlike(_ANY_COMPAT), spelled).otherwise(column)
+
+
 def norm_compact(text) -> Column:
-    """Letters and digits only, lower case (the form quotes are compared in)."""
-    return F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
+    """Letters and digits only, lower case (the form quotes are compared in), compatibility forms folded."""
+    return F.lower(F.regexp_replace(fold_compat(text), r"[^\p{L}\p{N}]+", ""))
 
 
 def norm_spaces(text) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(fold_compat(text), r"(?U)\s+", " "))
 
 
 def norm_name(text) -> Column:

@@ -61,13 +61,14 @@ def score(queries: DataFrame, sections: DataFrame) -> DataFrame:
     return parts.join(asked, "word").groupBy(*keys, "source_kind", "section_id").agg(F.sum("part").alias("score"))
 
 
-def search(queries: DataFrame, sections: DataFrame, k: int = 5) -> DataFrame:
+def search(queries: DataFrame, sections: DataFrame, k: int = 5, longest: int | None = None) -> DataFrame:
     """First k sections per (query, kind); pairs without a hit take those of the original wording.
 
     `queries` holds query_id, query, original and kind, one row per wanted kind.  Both wordings are
-    scored in one pass over the sections.
+    scored in one pass over the sections.  `longest` cuts wordings to that many characters, as an online
+    call would; a batch takes them whole.
     """
-    cut = lambda wording: F.left(wording, F.lit(100)).alias("query")
+    cut = lambda wording: (F.col(wording) if longest is None else F.left(wording, F.lit(longest))).alias("query")
     original = queries.where(F.col("original").isNotNull() & (F.col("original") != F.col("query")))
     texts = queries.select("query_id", F.lit(False).alias("fallback"), cut("query")).unionByName(
         original.select("query_id", F.lit(True).alias("fallback"), cut("original"))
@@ -118,9 +119,10 @@ def _sampled(text: str, gram: int, span: int) -> np.ndarray:
 def _hash_rows(df: DataFrame, key: str, hashes) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for k, text in zip(batch[key], batch["norm"], strict=True):
-                found = hashes(text)
-                yield pd.DataFrame({key: k, "gram": found.view(np.int64)})
+            found = [hashes(text) for text in batch["norm"]]
+            if found:
+                keys = np.repeat(batch[key].to_numpy(), [len(f) for f in found])
+                yield pd.DataFrame({key: keys, "gram": np.concatenate(found).view(np.int64)})
 
     return df.select(key, "norm").mapInPandas(rows, f"{key} long, gram long")
 

@@ -6,7 +6,7 @@ from plumbline.operators import places as pl
 from plumbline.plans import inputs
 from plumbline.registry import query, view
 
-BUILDINGS = ("본관", "창조관", "한마관", "중앙도서관", "생활관")
+BUILDINGS = ("본관", "새벽관", "노을관", "중앙도서관", "생활관")
 
 
 def phonebook_lines(spark, d):
@@ -18,11 +18,11 @@ def phonebook_lines(spark, d):
     lines = F.array(
         F.when(key % 10 == 0, F.concat(block, F.lit("산학협력단"))).otherwise(""),
         F.concat(F.lit("￭ "), block, F.lit("지원팀 "), n, F.lit(" 249-1111(F)")),
-        F.concat(F.lit("홍길동 "), F.lit("2345")),
+        F.concat(F.lit("임푸름 "), F.lit("2345")),
         F.concat(F.lit("￭ "), block, F.lit("상담실")),
-        F.when(key % 3 == 0, F.lit("조교김예진 2722")).when(key % 3 == 1, F.lit("김철수 3344")).otherwise("팀장박승원"),
-        F.concat(block, F.lit("행복도서관 5566")),
-        F.concat(F.lit("¤ "), block, F.lit("연구소장 이원제 7788")),
+        F.when(key % 3 == 0, F.lit("조교윤가람 4188")).when(key % 3 == 1, F.lit("정솔잎 6371")).otherwise("팀장서하늘"),
+        F.concat(block, F.lit("행복도서관 5938")),
+        F.concat(F.lit("¤ "), block, F.lit("연구소장 문바다 8462")),
     )
     return inputs.table(spark, d, "supplier").select(F.col("s_nationkey").alias("book_id"), "s_suppkey", F.posexplode(lines).alias("i", "line")).select(
         "book_id", (F.col("s_suppkey") * 10 + F.col("i")).alias("line_no"), "line"
@@ -34,7 +34,7 @@ def phonebook_entries(spark, d):
     return pl.phonebook_entries(phonebook_lines(spark, d)).withColumn("phones", F.array_join("phones", ","))
 
 
-_ROOMS = ("본관 2층", "창조관 지하 1층 101호", "한마관", "중앙도서관 3층 301호실", "모르는 곳")
+_ROOMS = ("본관 2층", "새벽관 지하 1층 101호", "노을관", "중앙도서관 3층 301호실", "모르는 곳")
 
 
 def unit_lines(spark, d):
@@ -57,7 +57,7 @@ def pattern():
 
 
 view("unit_first", """
-SELECT c_nationkey AS page_id, 'U' || (c_custkey % 40) || '팀' AS unit, c_custkey, ['본관 2층', '창조관 지하 1층 101호', '한마관', '중앙도서관 3층 301호실', NULL][c_custkey % 5 + 1] AS loc, CASE WHEN c_custkey % 3 = 0 THEN '055-249-2100' ELSE '055-249-2200' END AS phone FROM customer
+SELECT c_nationkey AS page_id, 'U' || (c_custkey % 40) || '팀' AS unit, c_custkey, ['본관 2층', '새벽관 지하 1층 101호', '노을관', '중앙도서관 3층 301호실', NULL][c_custkey % 5 + 1] AS loc, CASE WHEN c_custkey % 3 = 0 THEN '055-249-2100' ELSE '055-249-2200' END AS phone FROM customer
 """)
 
 
@@ -72,7 +72,7 @@ def unit_blocks(spark, d):
 SELECT doc_id, loc AS location, CASE WHEN starts_with(n, '055') AND length(n) = 10 THEN '055-' || substr(n, 4, 3) || '-' || substr(n, 7, 4) WHEN length(n) = 11 THEN substr(n, 1, 3) || '-' || substr(n, 4, 4) || '-' || substr(n, 8, 4) ELSE trim(phone) END AS phone, substr(t, start + 1, p + 80 - start) AS evidence FROM (
  SELECT *, greatest(0, p - 60) AS start FROM (SELECT *, regexp_replace(phone, '[^0-9]', '', 'g') AS n, instr(t, CASE WHEN loc <> '' THEN loc ELSE phone END) - 1 AS p FROM (
   SELECT *, regexp_extract(t, '\(?0\d{1,2}\)?[-\s]?\d{3,4}-\d{4}') AS phone FROM (
-   SELECT doc_id, ['본관 2층', '창조관 지하 1층 101호', '한마관', '중앙도서관 3층 301호실', ''][doc_id % 5 + 1] AS loc, replace(text, chr(10), ' ') || ' 위치 ' || ['본관 2층', '창조관 지하 1층 101호', '한마관', '중앙도서관 3층 301호실', '모르는 곳'][doc_id % 5 + 1] || ' 전화 055-249-7777 끝' AS t FROM documents))))
+   SELECT doc_id, ['본관 2층', '새벽관 지하 1층 101호', '노을관', '중앙도서관 3층 301호실', ''][doc_id % 5 + 1] AS loc, replace(text, chr(10), ' ') || ' 위치 ' || ['본관 2층', '새벽관 지하 1층 101호', '노을관', '중앙도서관 3층 301호실', '모르는 곳'][doc_id % 5 + 1] || ' 전화 055-249-7777 끝' AS t FROM documents))))
 """)
 def contact_page(spark, d):
     plain = F.replace("text", F.lit("\n"), F.lit(" "))
@@ -83,7 +83,7 @@ def contact_page(spark, d):
 
 @query("pair_lines", """
 SELECT cast(c_nationkey AS BIGINT) AS page_id, c_custkey AS line_no, loc AS location, unnest(['U' || (c_custkey % 40) || '팀', 'U' || ((c_custkey + 1) % 40) || '팀']) AS unit
-FROM (SELECT *, ['본관 2층', '창조관 지하 1층 101호', '한마관', '중앙도서관 3층 301호실'][c_custkey % 5 + 1] AS loc FROM customer) WHERE loc IS NOT NULL
+FROM (SELECT *, ['본관 2층', '새벽관 지하 1층 101호', '노을관', '중앙도서관 3층 301호실'][c_custkey % 5 + 1] AS loc FROM customer) WHERE loc IS NOT NULL
 """)
 def pair_lines(spark, d):
     key = F.col("c_custkey")

@@ -93,7 +93,7 @@ FROM (SELECT *, min(CASE WHEN head = 'appendix' AND label NOT IN ('appendix', 'c
 view("articles", f"""
 SELECT *, rule_no || CASE mode WHEN 'addenda' THEN printf('_add_s%02d_', addenda_seq) || number WHEN 'appendix' THEN '_app_' || number || coalesce('_' || branch, '') ELSE '_main_' || number || coalesce('_' || branch, '') END || suffix AS article_id
 FROM (SELECT rule_no, mode, number, branch, title, chapter, section, deleted, first_line, body_lines, notes, trim(array_to_string(body_lines, chr(10))) AS body,
-  CASE WHEN mode = 'addenda' THEN seq ELSE 0 END AS addenda_seq, CASE WHEN mode = 'addenda' AND coalesce(next_line, 2147483647) >= date_line THEN found_date END AS addenda_date,
+  CASE WHEN mode = 'addenda' THEN seq ELSE 0 END AS addenda_seq, CASE WHEN mode = 'addenda' AND coalesce(next_line, 4205483647) >= date_line THEN found_date END AS addenda_date,
   CASE WHEN head = 'appendix' AND version > 1 THEN '_v' || version ELSE '' END AS suffix
  FROM (SELECT *, lead(first_line) OVER (PARTITION BY rule_no ORDER BY first_line) AS next_line, row_number() OVER (PARTITION BY rule_no, head, number, branch ORDER BY first_line) AS version
   FROM (SELECT rule_no, head_no, any_value(head) AS head, max(mode) FILTER (is_head) AS mode, bool_or(deleted) AS deleted, min(line_no) AS first_line, max(addenda_seq) AS seq, max(date_line) AS date_line,

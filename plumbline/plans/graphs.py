@@ -1,6 +1,5 @@
 """Graph and geometry queries."""
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from plumbline.operators import graph as gr
@@ -97,14 +96,33 @@ def snap_to_segment(spark, d):
 _SUM = "sum({})::DOUBLE"
 
 
-@query("affine_fit", """
-SELECT round((a1 * (b2 * c3 - b3 * c2) - b1 * (a2 * c3 - a3 * c2) + c1 * (a2 * b3 - a3 * b2)) / det, 4) AS lng_to_x FROM (
- SELECT sux AS a1, uv AS b1, u AS c1, svx AS a2, vv AS b2, v AS c2, sx AS a3, v AS b3, n AS c3, uu * (vv * n - v * v) - uv * (uv * n - u * v) + u * (uv * v - u * vv) AS det FROM (
-  SELECT sum(x * (3 * x + y + node_id % 5)) AS sux, sum(x * x) AS uu, sum(x * y) AS uv, sum(x) AS u, sum(y * y) AS vv, sum(y) AS v, count(*)::DOUBLE AS n, sum(y * (3 * x + y + node_id % 5)) AS svx, sum(3 * x + y + node_id % 5) AS sx FROM nodes))
+def _det(columns: list[tuple[str, str, str]]) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = columns
+    return f"({a} * ({e} * {i} - {f} * {h}) - {d} * ({b} * {i} - {c} * {h}) + {g} * ({b} * {f} - {c} * {e}))"
+
+
+_NORMAL = [("uu", "uv", "u"), ("uv", "vv", "v"), ("u", "v", "n")]
+_FIT = {
+    f"{name}_to_{t}": f"{_det([(f'su{t}', f'sv{t}', f's{t}') if k == at else column for k, column in enumerate(_NORMAL)])} / {_det(_NORMAL)}"
+    for t in ("x", "y") for at, name in enumerate(("lng", "lat", "one"))
+}
+# fixed precision of the comparison: coefficients and residuals are rounded to so many digits
+_DIGITS = 4
+
+
+@query("affine_fit", f"""
+WITH points AS (SELECT x::DOUBLE AS lng, y::DOUBLE AS lat, (3 * x + y + node_id % 5)::DOUBLE AS tx, (2 * y - x)::DOUBLE AS ty FROM nodes),
+sums AS (SELECT sum(lng * lng) AS uu, sum(lng * lat) AS uv, sum(lng) AS u, sum(lat * lat) AS vv, sum(lat) AS v, count(*)::DOUBLE AS n,
+  sum(lng * tx) AS sux, sum(lat * tx) AS svx, sum(tx) AS sx, sum(lng * ty) AS suy, sum(lat * ty) AS svy, sum(ty) AS sy FROM points),
+fit AS (SELECT {', '.join(f'{sql} AS {name}' for name, sql in _FIT.items())} FROM sums)
+SELECT {', '.join(f'round(any_value({name}), {_DIGITS}) + 0.0 AS {name}' for name in _FIT)},
+  round(median(sqrt(power(lng * lng_to_x + lat * lat_to_x + one_to_x - tx, 2) + power(lng * lng_to_y + lat * lat_to_y + one_to_y - ty, 2))), {_DIGITS}) AS residual
+FROM points, fit
 """, "nodes")
 def affine_fit(spark, d):
-    """Coefficient of the map from node places to shifted ones, and back-checked residuals."""
+    """The six coefficients of the map from node places to shifted ones, and the median of what is left."""
     rows = nodes(spark, d).select(F.col("x").alias("lng"), F.col("y").alias("lat"), (F.col("x") * 3 + F.col("y") + F.col("node_id") % 5).alias("x"), (F.col("y") * 2 - F.col("x")).alias("y"))
     fit = gr.affine_fit(rows)
-    assert np.isfinite(fit).all()
-    return gr.project(rows, fit).agg(F.lit(round(float(fit[0][0]), 4)).alias("lng_to_x"), F.max("residual").alias("_r")).drop("_r")
+    named = {f"{name}_to_{t}": float(fit[at][k]) for k, t in enumerate(("x", "y")) for at, name in enumerate(("lng", "lat", "one"))}
+    left = F.round(F.median("residual"), _DIGITS).alias("residual")
+    return gr.project(rows, fit).agg(*[(F.round(F.lit(v), _DIGITS) + F.lit(0.0)).alias(c) for c, v in named.items()], left)

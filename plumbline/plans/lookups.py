@@ -259,7 +259,7 @@ def contact_evidence_grounding(spark, d):
     key = F.col("doc_id")
     docs = inputs.wide(spark, d, "documents").select("doc_id", "text")
     f = lambda name, value, evidence: F.struct(F.lit(name).alias("name"), value.alias("value"), evidence.alias("evidence"))
-    here, absent = F.left("text", F.lit(12)), F.lit("본문에 없는 근거 문장")
+    here, absent = F.col("text"), F.lit("본문에 없는 근거 문장")
     rows = F.array(
         F.when(key % 4 < 2, f("doc_date", F.lit("2026-03-02"), here)), F.when(key % 4 == 1, f("effective_from", F.lit("2026-05-01"), here)),
         F.when(key % 4 == 2, f("title", F.lit("없는 값"), absent)), F.when(key % 4 == 2, f("doc_date", F.lit("2026-13-02"), here)), F.when(key % 4 == 3, f("title", F.left("text", F.lit(10)), here)),
@@ -278,7 +278,7 @@ def draft_grounding(spark, d):
         F.col("c_custkey").alias("evidence_id"), F.when(k == 1, "https://other.example/a").otherwise("https://lib.campus.example/a").alias("url"), F.concat(F.lit("학사팀은 본관 2층 "), F.col("c_name"), F.lit(" 전화 055-249-2100 입니다")).alias("text")
     )
     drafts = people.select(
-        F.col("c_custkey").alias("draft_id"), F.col("c_custkey").alias("evidence_id"), (k != 0).alias("found"), F.when(k == 3, "창조관").otherwise("본관 2층").alias("location"),
+        F.col("c_custkey").alias("draft_id"), F.col("c_custkey").alias("evidence_id"), (k != 0).alias("found"), F.when(k == 3, "새벽관").otherwise("본관 2층").alias("location"),
         F.when(k == 2, "없는 인용문입니다").otherwise("학사팀은 본관 2층").alias("quote"), F.when(k == 4, "055-249-9999").otherwise("").alias("phone"), F.lit("본관 2층이 맞아요").alias("report"),
     )
     return lk.draft_reason(drafts, evidence, "campus.example").select("draft_id", "reason")

@@ -155,7 +155,7 @@ SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'value_changed' WHEN doc_id % 7 = 0
 """)
 def extraction_lock(spark, d):
     """Submitted values have to equal the recorded ones of the same file."""
-    docs = inputs.wide(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"), F.left("text", F.lit(20)).alias("value"))
+    docs = inputs.wide(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"), F.col("text").alias("value"))
     submitted = docs.select("doc_id", F.when(F.col("doc_id") % 7 == 0, "other").otherwise(F.col("hash")).alias("s_hash"), F.when(F.col("doc_id") % 3 == 0, F.concat("value", F.lit("!"))).otherwise(F.col("value")).alias("s_value"))
     verdict = F.when(F.col("s_value") != F.col("value"), "value_changed").when(F.col("s_hash") != F.col("hash"), "file_changed").otherwise("ok")
     return docs.join(submitted, "doc_id").select("doc_id", verdict.alias("verdict"))

@@ -26,10 +26,10 @@ SELECT doc_id, regexp_replace(
     '(^|[^0-9])01[0-9]-?[0-9]{3,4}-?[0-9]{4}($|[^0-9])', '\1[전화]\2', 'g'),
    '(^|[^0-9])[0-9]{8,10}($|[^0-9])', '\1[학번]\2', 'g'), '(^|[^0-9])[0-9]{8,10}($|[^0-9])', '\1[학번]\2', 'g'),
   '(제\s*이름은\s*)[가-힣]{2,4}', '\1[이름]', 'g') AS masked
-FROM (SELECT doc_id, text || ' 제 이름은 홍길동 010-1234-5678, ' || (20200000 + doc_id) AS t FROM documents)
+FROM (SELECT doc_id, text || ' 제 이름은 임푸름 010-1234-5678, ' || (20200000 + doc_id) AS t FROM documents)
 """)
 def mask_pii(spark, d):
-    body = F.concat("text", F.lit(" 제 이름은 홍길동 010-1234-5678, "), (F.col("doc_id") + 20200000).cast("string"))
+    body = F.concat("text", F.lit(" 제 이름은 임푸름 010-1234-5678, "), (F.col("doc_id") + 20200000).cast("string"))
     return inputs.wide(spark, d, "documents").select("doc_id", text.mask_pii(body).alias("masked"))
 
 

@@ -146,7 +146,7 @@ view("drift", """
 SELECT doc_id, q, p, CASE WHEN p IS NULL THEN 'unreachable' WHEN q = '' THEN 'same' WHEN len(pieces) = 0 THEN CASE WHEN contains(p, q) THEN 'same' ELSE 'changed' END
   WHEN len(list_filter(pieces, lambda x: contains(p, x))) * 3 >= len(pieces) * 2 THEN 'same' ELSE 'changed' END AS state FROM (
  SELECT *, list_slice(list_filter(list_transform(range(0, cast(ceil(length(q) / 30) AS INTEGER)), lambda i: substr(q, i * 30 + 1, 30)), lambda x: length(x) >= 10), 1, 6) AS pieces FROM (
-  SELECT doc_id, regexp_replace(substr(text, 1, 200), '\\s+', '', 'g') AS q, CASE WHEN doc_id % 5 = 4 THEN NULL ELSE regexp_replace(CASE WHEN doc_id % 5 = 1 THEN substr(text, 120) WHEN doc_id % 5 = 2 THEN substr(text, 40) ELSE text END, '\\s+', '', 'g') END AS p FROM documents))
+  SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS q, CASE WHEN doc_id % 5 = 4 THEN NULL ELSE regexp_replace(CASE WHEN doc_id % 5 = 1 THEN substr(text, 120) WHEN doc_id % 5 = 2 THEN substr(text, 40) ELSE text END, '\\s+', '', 'g') END AS p FROM documents))
 """)
 
 
@@ -156,7 +156,7 @@ def source_drift(spark, d):
     m = F.col("doc_id") % 5
     text = F.when(m == 1, F.substring("text", F.lit(120), F.length("text"))).when(m == 2, F.substring("text", F.lit(40), F.length("text"))).otherwise(F.col("text"))
     pages = docs.where("doc_id % 5 <> 4").select("url", text.alias("text"))
-    return vf.source_drift(docs.select("doc_id", "url", F.substring("text", 1, 200).alias("quote")), pages).select("doc_id", "state")
+    return vf.source_drift(docs.select("doc_id", "url", F.col("text").alias("quote")), pages).select("doc_id", "state")
 
 
 _ANSWERS = ("본관 2층 학사팀에서 신청합니다", "안내 자료를 찾지 못했습니다", "학사팀은 3월 2일까지 접수합니다 서류를 내세요", "정보가 없습니다")

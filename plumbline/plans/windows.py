@@ -40,11 +40,11 @@ def first_per_id(spark, d):
     )
 
 
-@query("history_tail", """
-SELECT item_id, day, ok FROM item_days QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY day DESC) <= 20
+@query("history_tail", f"""
+SELECT item_id, day, ok FROM item_days QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY day DESC) <= {rules.HISTORY_KEEP}
 """, "item_days")
 def history_tail(spark, d):
-    return rk.top_per_key(inputs.item_days(spark, d), ["item_id"], [F.desc("day")], 20).select("item_id", "day", "ok")
+    return rk.top_per_key(inputs.item_days(spark, d), ["item_id"], [F.desc("day")], rules.HISTORY_KEEP).select("item_id", "day", "ok")
 
 
 @query("daily_quota", f"""

@@ -36,9 +36,11 @@ def get_spark(app_name: str = "plumbline", cpus: int | None = None) -> SparkSess
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's checkpoint folder, or one made for tests."""
+    """Folder every executor can reach: the cluster's checkpoint folder; in local mode one is made where it is unset."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not configured and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that every executor can reach")
     if not configured:
         configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if context.getCheckpointDir() is None:
