@@ -1,17 +1,18 @@
 """Exact substring dedup by a hash-compared suffix sort over sampled suffixes.
 
-Of every 200-byte string the start of its smallest 73-byte hash (leftmost) is its anchor, so equal strings have
-the same anchor at the same place, and only about one suffix in 64 bytes has to be sorted.  Hashes are
+Of every 200-byte string the start of its smallest 41-byte hash (leftmost) is its anchor, so equal strings have
+the same anchor at the same place, and only about one suffix in 80 bytes has to be sorted.  Hashes are
 polynomials over prefixes, so any stretch is compared in constant time.
 
-1. Anchors whose 73 bytes stand nowhere else are done: no string of theirs repeats.
+1. Anchors whose 41 bytes stand nowhere else are done: no string of theirs repeats.
 2. Anchors that share all bytes of all their strings with another one are done: every string repeats.
 3. The rest, with one stand-in for each set of equals, meet by anchor hash.  Suffixes are merge-sorted; two are
    compared by a binary search for their common extension.  Neighbours' common extensions cut the order into
    runs, in which strings repeat where the bytes left of the anchor agree as well.  A match is verified on the
    bytes.  An anchor hash that very many texts share goes string by string through a shuffle instead.
 
-Steps 1 and 2 are aggregates; matches are spread with salt, so a group of any size is many tasks.
+Equals within a slice of a task are settled there and go on as one row, so that a group of copies, or a text
+that repeats itself, is as many rows as slices hold it.  Steps 1 and 2 are aggregates and joins by hash.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ from plumbline.llm.hashing import mix
 from plumbline.session import shared_dir
 
 #: Bytes of a repeated string, of an anchor; string starts that may share an anchor.
-LENGTH, ANCHOR = 200, 73
+LENGTH, ANCHOR = 200, 41
 REACH = LENGTH - ANCHOR + 1
 #: Suffixes of one anchor hash that a task sorts; larger groups take the shuffle of single strings.
 GROUP = 2_000
+#: Bytes of text in which equals are settled before the shuffle.
+SETTLED = 16 << 20
 #: String starts that are hashed at a time.
 STRETCH = 1 << 20
 _LETTER = np.random.default_rng(99).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -89,21 +92,31 @@ def _longs(values: np.ndarray) -> pa.Array:
 
 
 def _anchor_rows(docs: DataFrame, kind: str) -> DataFrame:
+    """A row per anchor; `weight` is 1 for one without equals in its slice, 2 for the first of equals, 0 for the others."""
+
     def run(batches):
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SETTLED):
             found, take = [], []
             for i, value in enumerate(part.column(2).to_pylist()):
                 rows = anchors((value or "").encode())
                 found.append(rows)
                 take.append(np.full(len(rows[0]), i))
             at, key, low, high, whole = (np.concatenate(x) for x in zip(*found, strict=True))
-            take = pa.array(np.concatenate(take))
+            take = np.concatenate(take)
+            order = np.lexsort((whole, key))
+            same = (key[order][1:] == key[order][:-1]) & (whole[order][1:] == whole[order][:-1])
+            weight = np.ones(len(key), np.int32)
+            weight[order[1:][same]] = 0
+            lead = np.concatenate([same, [False]]) & ~np.concatenate([[False], same]) if len(key) else np.zeros(0, bool)
+            weight[order[lead]] = 2
+            take = pa.array(take)
             yield pa.RecordBatch.from_arrays(
-                [_longs(key), _longs(whole), part.column(0).take(take), part.column(1).take(take), *[pa.array(x.astype(np.int32)) for x in (at, low, high)]],
-                ["anchor", "whole", "row_key", "tie", "at", "low", "high"],
+                [_longs(key), _longs(whole), part.column(0).take(take), part.column(1).take(take), *[pa.array(x.astype(np.int32)) for x in (at, low, high, weight)]],
+                ["anchor", "whole", "row_key", "tie", "at", "low", "high", "weight"],
             )
 
-    return docs.mapInArrow(run, f"anchor long, whole long, row_key {kind}, tie long, at int, low int, high int")
+    rows = docs.select("row_key", "tie", "text").where("text is not null")
+    return rows.mapInArrow(run, f"anchor long, whole long, row_key {kind}, tie long, at int, low int, high int, weight int")
 
 
 def _sorted_group(right: np.ndarray) -> np.ndarray:
@@ -251,25 +264,24 @@ def _shuffled_spans(contexts: DataFrame) -> DataFrame:
     return met.select("row_key", "tie", F.col("start").cast("int"), (F.col("start") + LENGTH).cast("int").alias("end"))
 
 
-def repeated_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(row_key, tie, start, end): byte spans that cover every byte of a repeated string, in any number and overlap."""
-    kind = docs.schema[key].dataType.simpleString()
-    spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("row_key"), F.xxhash64(text).alias("tie"), F.col(text).alias("text")).where("text is not null")
-    salt = F.pmod(F.xxhash64("row_key", "tie", "at"), F.lit(SALTS)).cast("int")
-    found = _anchor_rows(rows, kind)
-    counted = found.groupBy("anchor", "whole").agg(F.count("*").alias("n"))
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """(row_key, tie, start, end) for a frame (row_key, tie, text): byte spans that cover every byte of a repeated string."""
+    kind = docs.schema["row_key"].dataType.simpleString()
+    found = _anchor_rows(docs, kind)
+    shared = found.where("weight > 0")
+    counted = shared.groupBy("anchor", "whole").agg(F.sum("weight").alias("n"))
     total = counted.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    counted = counted.join(total, "anchor").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    folder = f"{shared_dir(spark)}/anchors-{uuid.uuid4().hex}"
-    found.withColumn("_salt", salt).join(counted, ["anchor", "whole", "_salt"]).drop("_salt", "total").write.parquet(folder)
-    shared = spark.read.parquet(folder)
-    done = shared.where("n > 1").select("row_key", "tie", (F.col("at") + F.col("low")).alias("start"), (F.col("at") + F.col("high") + LENGTH).alias("end"))
+    counted = counted.join(total, "anchor").select("anchor", "whole", "n", "kinds")
+    folder = f"{shared_dir(docs.sparkSession)}/anchors-{uuid.uuid4().hex}"
+    shared.join(counted, ["anchor", "whole"]).drop("weight").write.parquet(folder)
+    shared = docs.sparkSession.read.parquet(folder)
+    span = [(F.col("at") + F.col("low")).alias("start"), (F.col("at") + F.col("high") + LENGTH).alias("end")]
+    done = shared.where("n > 1").select("row_key", "tie", *span).unionByName(found.where("weight = 0").select("row_key", "tie", *span))
     rest = shared.where("kinds > 1")
     # one stand-in for each set of equals
     place = F.struct("row_key", "tie", "at", "low", "high", "kinds")
     rest = rest.groupBy("anchor", "whole").agg(F.min(place).alias("p")).select("anchor", "p.*").withColumn("big", F.col("kinds") > GROUP)
-    contexts = _contexts(rows, rest, kind)
+    contexts = _contexts(docs, rest, kind)
     near = _sorted_spans(contexts.where("not big"), kind)
     far = _shuffled_spans(contexts.where("big"))
     # what a stand-in finds holds for its equals, which are done already
@@ -281,14 +293,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     A byte goes if a 200-byte string that covers it also starts anywhere else, in this text or another; all
     occurrences go, judged on the input.  Null and empty texts have no bytes.  A repeated row is another place, so
-    both go.  Texts under 200 bytes stay whole.  Columns that bear the name of an added one are replaced.
+    both go.  Texts under 200 bytes stay whole.  Columns that bear the name of an added one, or are called row_key
+    or tie, are replaced.
     """
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
-    spans = repeated_spans(docs, key, text)
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", *[c for c in ("row_key", "tie") if c != key])
+    rows = docs.withColumnsRenamed({key: "row_key", text: "text"}).withColumn("tie", F.xxhash64("text"))
+    spans = repeated_spans(rows)
     per_row = spans.groupBy("row_key", "tie").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
     per_row = per_row.select(F.col("row_key").alias("_k"), F.col("tie").alias("_t"), "_spans")
-    base = docs.withColumn("_own", F.xxhash64(text))
-    joined = base.join(per_row, base[key].eqNullSafe(per_row["_k"]) & (base["_own"] == per_row["_t"]), "left").drop("_k", "_t", "_own")
+    joined = rows.join(per_row, rows["row_key"].eqNullSafe(per_row["_k"]) & (rows["tie"] == per_row["_t"]), "left")
+    joined = joined.drop("_k", "_t", "tie").withColumnsRenamed({"row_key": key, "text": text})
 
     def run(batches):
         for part in slices(batches, text):
