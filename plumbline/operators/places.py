@@ -25,6 +25,9 @@ ASSISTANT = r"\(\s*조교\s*\)|^\s*조교\s*[가-힣]{2,4}"
 UNIT_MARK = r"^\s*([￭¤▣■◆●])\s*"
 FLOOR_ROOM = r"(?:\s*(?:지하\s*)?\d{1,2}\s*층)?(?:\s*\d{2,4}\s*호(?:실)?)?"
 BUILDING_SUFFIX = ("관", "도서관", "생활관")
+MAIN_BUILDING = "본관"
+#: Characters after a name in which floor and room are looked for.
+ROOM_CHARS = 64
 LABEL_SHARE, HEAD_BAND, ROW_GAP, MIN_HEADS, MAX_LABEL = 0.8, 5, 2, 3, 20
 
 
@@ -132,18 +135,26 @@ def phonebook_entries(lines: DataFrame) -> DataFrame:
     )
 
 
-def place_alternation(buildings: DataFrame, name: str) -> str:
-    """One pattern of all building names, longest first, with floor and room.
+def place_phrases(texts: DataFrame, key: str, text: str, buildings: DataFrame, name: str) -> DataFrame:
+    """(key, phrase): the leftmost building name of every text, the longest there, with floor and room; else empty.
 
-    The names are a campus directory; more than ten thousand of them is refused, as no pattern of
-    that size is usable.
+    Building names end alike, so only the stretches that end at such a letter are cut out, in each length a
+    name has, and join the names by equality.  There may be any number of names.
     """
-    named = buildings.where(_ends(F.col(name), BUILDING_SUFFIX)).select(name).distinct()
-    names = [r[0] for r in named.limit(10_001).collect()]
-    if len(names) > 10_000:
-        raise ValueError("too many building names for one pattern")
-    names = sorted({*names, "본관"}, key=lambda n: (-len(n), n))
-    return "(?:" + "|".join("\\Q" + n + "\\E" for n in names) + ")" + FLOOR_ROOM
+    named = buildings.where(_ends(F.col(name), BUILDING_SUFFIX)).select(F.col(name).alias("_name"))
+    named = named.unionByName(buildings.sparkSession.range(1).select(F.lit(MAIN_BUILDING).alias("_name"))).distinct()
+    sizes = sorted(r[0] for r in named.select(F.length("_name")).distinct().collect())
+    last = BUILDING_SUFFIX[0]
+    parts = F.split(F.col(text), last, -1)
+    step = lambda done, part: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + F.length(part) + len(last)))
+    ends = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), F.array().cast("array<int>"), step)
+    marked = texts.where(F.col(text).contains(last)).select(key, text, F.explode(ends).alias("_end"))
+    cut = F.array(*[F.struct((F.col("_end") - size + 1).alias("start"), F.lit(size).alias("size")) for size in sizes])
+    cut = marked.select(key, text, F.explode(F.filter(cut, lambda c: c["start"] > 0)).alias("c"))
+    cut = cut.select(key, "c.*", F.substring(F.col(text), F.col("c.start"), F.col("c.size")).alias("_name"), F.substring(F.col(text), F.col("c.start") + F.col("c.size"), F.lit(ROOM_CHARS)).alias("_after"))
+    met = cut.join(named, "_name").withColumn("_phrase", F.concat("_name", F.regexp_extract("_after", "^(" + FLOOR_ROOM + ")", 1)))
+    first = met.groupBy(key).agg(F.min_by("_phrase", F.struct("start", (-F.col("size")).alias("size"))).alias("phrase"))
+    return texts.select(key).join(first, key, "left").withColumn("phrase", F.coalesce("phrase", F.lit("")))
 
 
 def unit_blocks(lines: DataFrame, units: DataFrame, pattern: str) -> DataFrame:

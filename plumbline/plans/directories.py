@@ -95,14 +95,15 @@ def pair_lines(spark, d):
     return pl.pair_lines(rows, known_units(spark, d), pattern())
 
 
-@query("place_alternation")
+@query("place_alternation", """
+SELECT doc_id, CASE WHEN n_name IS NULL THEN '' ELSE 'NATION_' || doc_id % 25 || '관 3층' END AS phrase
+FROM documents LEFT JOIN nation ON n_name = 'NATION_' || doc_id % 25
+""")
 def place_alternation(spark, d):
-    """Documents with the place phrase that a pattern over all nation buildings finds in them."""
+    """Documents with the first place phrase of all nation buildings in them."""
     buildings = inputs.table(spark, d, "nation").select(F.concat("n_name", F.lit("관")).alias("name"))
-    found = pl.place_alternation(buildings, "name")
-    text = F.concat_ws(" ", "text", F.lit("NATION_"), F.lit(""))
     text = F.concat(F.col("text"), F.lit(" NATION_"), (F.col("doc_id") % 25).cast("string"), F.lit("관 3층"))
-    return inputs.wide(spark, d, "documents").select("doc_id", F.regexp_extract(text, f"({found})", 1).alias("phrase"))
+    return pl.place_phrases(inputs.wide(spark, d, "documents").select("doc_id", text.alias("text")), "doc_id", "text", buildings, "name")
 
 
 def menu_fragments(spark, d):
