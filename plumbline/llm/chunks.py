@@ -1,8 +1,8 @@
 """Substring dedup by content-defined chunks.
 
-A gear rolling hash over the last 16 bytes cuts every text into chunks of about 32 bytes; cuts depend on the
+A gear rolling hash over the last 16 bytes cuts every text into chunks of about 40 bytes; cuts depend on the
 bytes around them, so an insertion moves only the chunks it touches.  Chunks meet by digest.  The first
-occurrence (smallest key, then position) of a chunk stays; a run of later occurrences that is long enough to
+occurrence of a chunk (in the document of the smallest key, the first there) stays; a run of later occurrences that is long enough to
 be a passage, and no chance, is cut out.
 """
 
@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import salted_join, schema_with, slices
 
 #: Bytes of a chunk: least, most; a cut falls on one byte in so many.
-LEAST, MOST, RATE = 16, 128, 16
+LEAST, MOST, RATE = 16, 160, 24
 #: Bytes that a run of repeated chunks must have to be cut out.
-MIN_RUN = 96
+MIN_RUN = 112
+#: Stands for a null key: after all others.
+NO_KEY = 2**63 - 1
 _GEAR = np.random.default_rng(77).integers(0, 1 << 16, 256, dtype=np.uint16)
 
 
@@ -37,7 +39,7 @@ def cuts(raw: bytes) -> list[int]:
             shifted[k:] += rolled[:-k] << np.uint16(k)
             rolled = shifted
     starts = (codes & 0xC0) != 0x80
-    free = np.flatnonzero((rolled[:-1] >> np.uint16(12) == 0) & starts[1:]) + 1
+    free = np.flatnonzero((rolled[:-1] < (1 << 16) // RATE) & starts[1:]) + 1
     out, last = [], 0
 
     def forced(to: int) -> None:
@@ -76,25 +78,29 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min
 
     def run(batches):
         for part in slices(batches, "text"):
-            at, start, width, digest = [], [], [], []
+            at, start, width, digest, again = [], [], [], [], []
             for i, value in enumerate(part.column(2).to_pylist()):
                 raw = value.encode()
                 ends = cuts(raw)
-                begins = [0, *ends[:-1]]
+                begins = [0, *ends][:-1]
+                own = [_digest(raw[b:e]) for b, e in zip(begins, ends, strict=True)]
+                seen: set[bytes] = set()
+                for d in own:
+                    again.append(d in seen)
+                    seen.add(d)
                 at += [i] * len(ends)
                 start += begins
-                width += [e - b for b, e in zip(begins, ends, strict=False)]
-                digest += [_digest(raw[b:e]) for b, e in zip(begins, ends, strict=False)]
+                width += [e - b for b, e in zip(begins, ends, strict=True)]
+                digest += own
             take = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(take), part.column(1).take(take), pa.array(start, pa.int32()), pa.array(width, pa.int32()), pa.array(np.frombuffer(b"".join(digest), np.int64))],
-                ["row_key", "tie", "start", "width", "digest"],
-            )
-
-    chunks = rows.mapInArrow(run, f"row_key {kind}, tie long, start int, width int, digest long")
-    place = F.struct(F.col("row_key").isNull().alias("last"), "row_key", "tie", "start")
-    first = chunks.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("final")).where(F.col("first") != F.col("final")).select("digest", "first")
-    later = salted_join(chunks, first, ["digest"], "tie").where(place != F.col("first")).select("row_key", "tie", "start", "width")
+            columns = [part.column(0).take(take), part.column(1).take(take), pa.array(start, pa.int32()), pa.array(width, pa.int32())]
+            columns += [pa.array(np.frombuffer(b"".join(digest), np.int64)), pa.array(again, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["row_key", "tie", "start", "width", "digest", "again"])
+
+    chunks = rows.mapInArrow(run, f"row_key {kind}, tie long, start int, width int, digest long, again boolean")
+    last = F.coalesce("row_key", F.lit(NO_KEY))
+    first = chunks.where("not again").groupBy("digest").agg(F.min(last).alias("first"), F.max(last).alias("final")).where("first < final").select("digest", "first")
+    later = salted_join(chunks, first, ["digest"], "tie", "left", 4).where(F.col("again") | (last > F.col("first"))).select("row_key", "tie", "start", "width")
     per_doc = later.groupBy("row_key", "tie").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("width")).alias("end")))).alias("found"))
     kept = per_doc.mapInArrow(_runs(min_run), f"row_key {kind}, tie long, spans array<struct<start:int,end:int>>, n_repeated long")
     return kept.where(F.size("spans") > 0)
@@ -124,8 +130,8 @@ def _runs(min_run: int):
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """Every row of `docs`, its text without repeated passages, with n_bytes, n_removed and n_spans (bytes of UTF-8).
 
-    A null text stays null with 0 bytes; an empty text stays empty.  Rows that repeat key and text are one
-    document and change alike; null keys come last among occurrences.  All columns of `docs` are kept;
+    A null text stays null with 0 bytes; an empty text stays empty.  Rows of the same key are one document, and
+    so are all rows without a key, which come last: what two of them share stays in both.  All columns of `docs` are kept;
     columns named n_bytes, n_removed or n_spans are replaced.
     """
     spans = repeated_spans(docs, key, text, min_run).select(F.col("row_key").alias("_key"), F.col("tie").alias("_tie"), F.col("spans").alias("_spans"))

@@ -55,8 +55,8 @@ def schema_with(df: DataFrame, drop: tuple[str, ...], added: str) -> str:
 SALTS = 16
 
 
-def salted_join(rows: DataFrame, unique: DataFrame, keys: list[str], spread: str, how: str = "inner") -> DataFrame:
-    """Join rows to a table with one row per key, dealing the rows of a key to `SALTS` tasks by column `spread`."""
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    right = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def salted_join(rows: DataFrame, unique: DataFrame, keys: list[str], spread: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join rows to a table with one row per key, dealing the rows of a key to `salts` tasks by column `spread`."""
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    right = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
