@@ -88,8 +88,8 @@ def classify(name: Column, content: Column) -> Column:
     members = F.coalesce(zip_names(content), F.array().cast("array<string>"))
     word = F.array_contains(members, "word/document.xml")
     hancom = F.array_contains(members, "Contents/content.hpf") | F.exists(members, lambda m: m.startswith("Contents/section"))
-    # A text file is valid utf-8 without a NUL; NUL bytes are looked for in whole hex pairs.
-    plain = F.is_valid_utf8(content) & ~F.hex(content).rlike("^(?:..)*?00")
+    # a text file is valid utf-8 without a NUL
+    plain = F.is_valid_utf8(content) & ~F.contains(content, F.unhex(F.lit("00")))
     size = F.octet_length(content)
     return F.when((size > 0) & (size <= MAX_BYTES), (
         F.when((extension == ".pdf") & head.startswith(PDF_MAGIC), "pdf")

@@ -120,14 +120,14 @@ def html_tokens(
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["pos", "inside", "kind", "text", "href", "tbl", "r", "c", "rs", "cs"]
         for batch in batches:
+            rows: list[list] = []
             for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"], strict=True):
                 parser = _Tokens(url or "", headings, drop)
                 parser.feed(html or "")
                 parser.close()
-                out = pd.DataFrame(parser.rows, columns=names)
-                best = out["inside"][out["inside"] >= 0].min()
-                out["inside"] = out["inside"] == best
-                out.insert(0, "page_id", page_id)
-                yield out
+                at = names.index("inside")
+                best = min((row[at] for row in parser.rows if row[at] >= 0), default=None)
+                rows += [[page_id, *row[:at], row[at] == best, *row[at + 1 :]] for row in parser.rows]
+            yield pd.DataFrame(rows, columns=["page_id", *names])
 
     return pages.select("page_id", "url", "html").mapInPandas(tokens, TOKEN_SCHEMA)
