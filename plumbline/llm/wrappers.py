@@ -5,8 +5,8 @@ text, a slot `#` (a text that differs), a repeated group ("+", items) or an opti
 task folds the pages of a host into one wrapper, partial wrappers are folded by host and salt, then by host, so
 a host with a third of all pages is never in one task, and pages are not shuffled to be learnt from.
 
-The main text of a page is what stands in its article or main element (without menus, forms, asides and the
-like); a page without one gives the texts of its body that are no constants of the wrapper of its host.
+The main text of a page is what stands in its article, else in its main element, else in a division named like
+one (without menus, forms, asides and the like); a page without any gives the texts of its body that are no constants of the wrapper of its host.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SALTS, slices
+from plumbline.llm.common import SALTS, salted_join, slices
 
 # fixed values of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,16 +38,23 @@ DROPPED_NAMES = frozenset(
     "ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer menu modal nav navbar "
     "navigation newsletter notice notices popup promo promotion related replies responses share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</[^>]*>", re.S)
+# dropped outside the main element only; and names that mark a main element, weaker than article and main themselves
+OUTER_NAMES = frozenset("header masthead topbar".split())
+MAIN_NAMES = frozenset("article content entry main post story".split())
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*>|</[^>]*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-_SPACE = re.compile(r"\s+")
-#: Items that a wrapper may have before constants of rare pages are left out of it (they then count as varying).
-WRAPPER_ITEMS = 4_000
+#: Items of a wrapper from which its optional groups are left out.  They hold no constants and would be optional
+#: again when met again, so the extraction does not depend on this number.
+WRAPPER_ITEMS = 300
 
 
 def _dropped(tag: str, attributes: dict[str, str], inside: bool) -> bool:
-    if tag in DROPPED or "hidden" in attributes or attributes.get("aria-hidden") == "true":
+    if tag in DROPPED:
+        return True
+    if not attributes:
+        return tag == "header" and not inside
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
     if tag == "header" and not inside:
         return True
@@ -57,24 +64,39 @@ def _dropped(tag: str, attributes: dict[str, str], inside: bool) -> bool:
         return True
     if re.search(r"display\s*:\s*none", attributes.get("style", "")):
         return True
-    named = re.split(r"[^a-z0-9]+", (attributes.get("class", "") + " " + attributes.get("id", "")).lower())
-    return not DROPPED_NAMES.isdisjoint(named)
+    named = _names(attributes)
+    return not DROPPED_NAMES.isdisjoint(named) or not inside and not OUTER_NAMES.isdisjoint(named)
+
+
+def _names(attributes: dict[str, str]) -> list[str]:
+    return re.split(r"[^a-z0-9]+", (attributes.get("class", "") + " " + attributes.get("id", "")).lower())
+
+
+def _rank(tag: str, attributes: dict[str, str]) -> int:
+    """3 for an article, 2 for a main element, 1 for a division named like one, else 0."""
+    role = attributes.get("role", "").lower()
+    if tag == "article" or role == "article":
+        return 3
+    if tag == "main" or role == "main":
+        return 2
+    return int(tag in ("div", "section") and not MAIN_NAMES.isdisjoint(_names(attributes)))
 
 
-def blocks(page: str) -> tuple[list[tuple[str, bool, str]], list[str]]:
-    """(path, is in an article or main element, text) of every block that may be main text, and the token stream."""
-    found: list[tuple[str, bool, str]] = []
+def blocks(page: str) -> tuple[list[tuple[int, str]], list[str]]:
+    """(rank of the main element around it, text) of every block that may be main text, and the token stream."""
+    found: list[tuple[int, str]] = []
     stream: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, dropped, main
+    stack: list[tuple[str, bool, int]] = []  # tag, whether it or one around it is dropped, rank
     held: list[str] = []
 
     def flush() -> None:
-        text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
+        text = "".join(held)
         held.clear()
+        text = " ".join((entities.unescape(text) if "&" in text else text).split())
         if text:
             stream.append("t" + hashlib.blake2b(text.encode(), digest_size=8).hexdigest())
-            if not any(d for _, d, _ in stack):
-                found.append(("/".join(t for t, _, _ in stack), any(m for _, _, m in stack), text))
+            if not stack or not stack[-1][1]:
+                found.append((stack[-1][2] if stack else 0, text))
 
     def close(tag: str) -> None:
         while stack:
@@ -118,18 +140,20 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, str]], list[str]]:
                     break
                 if t in ("ul", "ol", "dl", "table", "tr") and not (tag == "tr" and t == "tr"):
                     break
-        attributes = {a.group(1).lower(): next((x for x in a.groups()[1:] if x is not None), "") for a in _ATTRIBUTE.finditer(token[name.end() : -1])}
+        rest = token[name.end() : -1]
+        attributes = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(rest)} if rest else {}
         if tag in BLOCK:
             stream.append(tag)
         if tag in VOID or token.endswith("/>") and tag not in BLOCK:
             continue
-        main = tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article")
-        dropped = _dropped(tag, attributes, any(x for _, _, x in stack))
+        _, above, rank = stack[-1] if stack else ("", False, 0)
+        dropped = above or _dropped(tag, attributes, rank > 0)
+        rank = max(rank, _rank(tag, attributes))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             at = len(page) if end is None else page.find(">", end.start()) + 1 or len(page)
             continue
-        stack.append((tag, dropped, main))
+        stack.append((tag, dropped, rank))
     flush()
     return found, stream
 
@@ -137,39 +161,44 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, str]], list[str]]:
 def fold(stream: list) -> tuple:
     """A token stream with three or more equal neighbouring groups as one repeated group; texts inside it become slots."""
     items: list = []
+    plain: list = []
     for token in stream:
         items.append(token)
+        plain.append("#" if token[0] == "t" and len(token) == 17 else token)
         for width in (1, 2, 3, 4, 5):
-            if len(items) >= 3 * width:
-                a, b, c = (_plain(items[len(items) - k * width :][:width]) for k in (3, 2, 1))
-                if a == b == c and c != ("#",):
-                    items[-3 * width :] = [("+", c)]
-                    break
-            if len(items) > width and isinstance(items[-width - 1], tuple) and items[-width - 1] == ("+", _plain(items[-width:])):
-                del items[-width:]
+            last = plain[-width:]
+            if len(plain) > width and isinstance(plain[-width - 1], tuple) and plain[-width - 1][1] == tuple(last):
+                del items[-width:], plain[-width:]
+                break
+            if len(plain) >= 3 * width and last == plain[-2 * width : -width] == plain[-3 * width : -2 * width] and last != ["#"]:
+                items[-3 * width :] = plain[-3 * width :] = [("+", tuple(last))]
                 break
     return tuple(items)
 
 
-def _plain(items) -> tuple:
-    return tuple("#" if isinstance(x, str) and x[0] == "t" and len(x) == 17 else x for x in items)
-
-
 def align(a: tuple, b: tuple) -> tuple:
     """The wrapper of two wrappers: equal items stay, differing texts become slots, what only one has becomes optional."""
     if a == b:
         return a
     x, y = [_bare(i) for i in a], [_bare(i) for i in b]
     out: list = []
+    grown = False
     for kind, i1, i2, j1, j2 in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
         if kind == "equal":
             for p, q in zip(a[i1:i2], b[j1:j2], strict=True):
                 out.append(p if p == q else _optional(p, q))
         else:
-            for side in (a[i1:i2], b[j1:j2]):
-                if side:
-                    out.append(side[0] if len(side) == 1 and isinstance(side[0], tuple) and side[0][0] == "?" else ("?", side))
-    return tuple(out[:WRAPPER_ITEMS])
+            for item in (*a[i1:i2], None, *b[j1:j2]):
+                if item is None or isinstance(item, tuple) and item[0] == "?":
+                    out += [item] if item else []
+                    grown = False
+                elif grown:
+                    out[-1] = ("?", (*out[-1][1], item))
+                else:
+                    out.append(("?", (item,)))
+                    grown = True
+            grown = False
+    return tuple(out) if len(out) <= WRAPPER_ITEMS else tuple(i for i in out if isinstance(i, str) or i[0] != "?")
 
 
 def _bare(item):
@@ -248,14 +277,15 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             texts = []
             for page, packed in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                 found, _ = blocks(page or "")
-                if any(main for _, main, _ in found):
-                    texts.append("\n".join(t for _, main, t in found if main))
+                best = max((rank for rank, _ in found), default=0)
+                if best:
+                    texts.append("\n".join(t for rank, t in found if rank == best))
                     continue
                 if packed is not None and packed not in seen:
                     seen[packed] = constants(pickle.loads(packed))
                 same = seen.get(packed, set())
-                texts.append("\n".join(t for _, _, t in found if hashlib.blake2b(t.encode(), digest_size=8).hexdigest() not in same))
+                texts.append("\n".join(t for _, t in found if hashlib.blake2b(t.encode(), digest_size=8).hexdigest() not in same))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], [key, url, "text"])
 
-    rows = pages.select(F.col(key), F.col(url), F.col(html).alias("_html"), host.alias("host")).join(fixed, "host", "left")
+    rows = salted_join(pages.select(F.col(key), F.col(url), F.col(html).alias("_html"), host.alias("host")), fixed, ["host"], key, "left")
     return rows.select(key, url, "_html", "wrapper").mapInArrow(run, f"`{key}` {kinds[0]}, `{url}` {kinds[1]}, text string")

@@ -108,6 +108,8 @@ def test_wrappers(spark):
     got = {r.page_id: r.text for r in rows}
     assert len(rows) == len(plain) + len(odd)
     assert got[100] == "Head & more\nOne bold text € 5.\nTwo lines\nfirst\nsecond"
+    soup = "<div class='site-header'><p>Top</p></div><div id='content'><h2 class=page-header>T</h2><p>Body<div class='related-posts'>More</div></div><p>Out</p>"
+    assert [t for r, t in wrappers.blocks(soup)[0] if r == 1] == ["T", "Body"]
     assert got[101] == got[102] == "" and got[103] == "just text <" and len(got[None]) == 249_999
     assert [got[i] for i in range(6)] == [f"Own text {i} here" for i in range(6)]
     assert wrappers.extract(empty(pages)).count() == 0
