@@ -119,9 +119,11 @@ def _anchor_rows(docs: DataFrame, kind: str) -> DataFrame:
     return rows.mapInArrow(run, f"anchor long, whole long, row_key {kind}, tie long, at int, low int, high int, weight int")
 
 
-def _sorted_group(right: np.ndarray) -> np.ndarray:
+def _sorted_group(right: np.ndarray) -> list[int]:
     """Order of the suffixes of a group: a merge sort whose comparisons find the common extension by binary search."""
-    hashes = [row.tolist() for row in right]
+    if len(right) < 3:
+        return list(range(len(right)))
+    hashes = right.tolist()
 
     def compare(i: int, j: int) -> int:
         x, y = hashes[i], hashes[j]
@@ -132,55 +134,63 @@ def _sorted_group(right: np.ndarray) -> np.ndarray:
                 low = middle
             else:
                 high = middle - 1
-        # any fixed order of the first differing extension will do: equal suffixes and prefixes stand together
+        # any fixed order of the first differing extension will do: suffixes with a common extension stand together
         return 0 if low == LENGTH else -1 if x[low + 1] < y[low + 1] else 1
 
-    return np.array(sorted(range(len(hashes)), key=cmp_to_key(compare)))
+    return sorted(range(len(hashes)), key=cmp_to_key(compare))
 
 
-def repeated_starts(contexts: list[bytes], lefts: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> list[list[tuple[int, int]]]:
-    """For suffixes with one anchor hash: the runs of starts, relative to the anchor, whose string stands in two of them.
+def repeated_starts(group: np.ndarray, contexts: list[bytes], lows: np.ndarray, highs: np.ndarray) -> list[tuple[int, int, int]]:
+    """(suffix, first, last start relative to the anchor) of strings that stand in two suffixes of one group.
 
-    `contexts` are the bytes from `lefts` before the anchor to the end of the last string.
+    Rows of a group follow each other; `contexts` are the bytes from `lows` before the anchor on.
     """
-    n = len(contexts)
-    code = np.zeros((n, REACH - 1 + LENGTH), np.uint8)
+    n, most = len(contexts), REACH - 1
+    code = np.zeros((n, most + LENGTH), np.uint8)
     for i, c in enumerate(contexts):
-        code[i, REACH - 1 - lefts[i] : REACH - 1 - lefts[i] + len(c)] = np.frombuffer(c, np.uint8)
+        code[i, most + lows[i] : most + lows[i] + len(c)] = np.frombuffer(c, np.uint8)
     right = np.zeros((n, LENGTH + 1), np.uint64)
-    np.cumsum(_LETTER[code[:, REACH - 1 :]] * _UP[:LENGTH], axis=1, out=right[:, 1:])
+    np.cumsum(_LETTER[code[:, most:]] * _UP[:LENGTH], axis=1, out=right[:, 1:])
     left = np.zeros((n, REACH), np.uint64)
-    np.cumsum(_LETTER[code[:, REACH - 2 :: -1]] * _UP[: REACH - 1], axis=1, out=left[:, 1:])
-    order = _sorted_group(right)
-    found: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
+    np.cumsum(_LETTER[code[:, most - 1 :: -1]] * _UP[:most], axis=1, out=left[:, 1:])
+    edge = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [n]])
+    order = np.concatenate([a + np.array(_sorted_group(right[a:b]), np.int64) for a, b in zip(edge[:-1], edge[1:], strict=True)])
+    # common extension of neighbours in the order, by binary search; none between groups
+    above, below = order[:-1], order[1:]
+    common, high = np.zeros(n - 1, np.int64), np.full(n - 1, LENGTH)
+    while (common < high).any():
+        middle = (common + high + 1) // 2
+        same = right[above, middle] == right[below, middle]
+        common, high = np.where(same, middle, common), np.where(same, high, middle - 1)
+    common[group[above] != group[below]] = -1
+    low, top = lows[order], highs[order]
+    partner = np.full((n, REACH + 1), -1, np.int32)
     for start in range(int(lows.min()), int(highs.max()) + 1):
-        has = order[(lows[order] <= start) & (highs[order] >= start)]
+        has = np.flatnonzero((low <= start) & (top >= start))
         if len(has) < 2:
             continue
-        new = np.concatenate([[True], right[has[1:], LENGTH + start] != right[has[:-1], LENGTH + start]])
-        run = np.cumsum(new)
-        side = left[has, -start]
+        run = np.concatenate([[0], np.cumsum(common < LENGTH + start)])[has]
+        rows = order[has]
+        side = left[rows, -start]
         place = np.lexsort((side, run))
-        same = np.concatenate([[False], (run[place][1:] == run[place][:-1]) & (side[place][1:] == side[place][:-1])])
-        group = np.maximum.accumulate(np.where(same, 0, np.arange(len(place))))
-        rows, partner = has[place], has[place][group]
-        follows = np.concatenate([same[1:], [False]])
-        partner = np.where(same, partner, np.concatenate([rows[1:], rows[-1:]]))
-        for i, j in zip(rows[same | follows].tolist(), partner[same | follows].tolist(), strict=True):
-            own = found[i]
-            if own and own[-1][1] == start - 1 and own[-1][2] == j:
-                own[-1] = (own[-1][0], start, j)
-            else:
-                own.append((start, start, j))
-    out = []
-    for i, own in enumerate(found):
-        kept = []
-        for a, b, j in own:
-            x, y = (contexts[k][lefts[k] + a : lefts[k] + b + LENGTH] for k in (i, j))
-            if x == y:  # the hashes told the truth
-                kept.append((a, b))
-        out.append(kept)
-    return out
+        same = (run[place][1:] == run[place][:-1]) & (side[place][1:] == side[place][:-1])
+        rows = rows[place]
+        partner[rows[1:][same], most + start] = rows[:-1][same]
+        first = same & ~np.concatenate([[False], same[:-1]])
+        partner[rows[:-1][first], most + start] = rows[1:][first]
+    # neighbouring starts with one partner are verified together on the bytes
+    change = np.ones((n, REACH + 1), bool)
+    change[:, 1:] = partner[:, 1:] != partner[:, :-1]
+    row, begin = np.nonzero(change & (partner >= 0))
+    end = np.empty(len(row), np.int64)
+    flat = np.flatnonzero(change.ravel())
+    at = np.searchsorted(flat, row * (REACH + 1) + begin, "right")
+    end[:] = flat[at] - row * (REACH + 1) - 1
+    other = partner[row, begin]
+    return [
+        (i, a - most, b - most) for i, j, a, b in zip(row.tolist(), other.tolist(), begin.tolist(), end.tolist(), strict=True)
+        if np.array_equal(code[i, a : b + LENGTH], code[j, a : b + LENGTH])
+    ]
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
@@ -208,6 +218,16 @@ def _contexts(docs: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
     return joined.mapInArrow(run, f"row_key {kind}, tie long, anchor long, at int, low int, high int, big boolean, context binary")
 
 
+def _portions(edges: list[int]) -> list[tuple[int, int]]:
+    """Whole groups put together to about `GROUP` rows or a little more."""
+    out, first = [], 0
+    for end in edges[1:]:
+        if end - first >= GROUP:
+            out.append((first, end))
+            first = end
+    return [*out, (first, edges[-1])] if edges and edges[-1] > first else out
+
+
 def _sorted_spans(contexts: DataFrame, kind: str) -> DataFrame:
     """Spans found by the suffix sort of each anchor hash; rows come grouped by anchor."""
 
@@ -216,21 +236,17 @@ def _sorted_spans(contexts: DataFrame, kind: str) -> DataFrame:
 
         def solve(rows: pa.Table):
             anchor = rows.column("anchor").to_numpy()
-            edge = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, [len(anchor)]])
-            low, high = (rows.column(c).to_numpy().astype(np.int64) for c in ("low", "high"))
-            at, context = rows.column("at").to_numpy(), rows.column("context").to_pylist()
-            take, start, end = [], [], []
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if b - a < 2:
-                    continue
-                for i, own in enumerate(repeated_starts(context[a:b], -low[a:b], low[a:b], high[a:b])):
-                    for x, y in own:
-                        take.append(a + i)
-                        start.append(int(at[a + i]) + x)
-                        end.append(int(at[a + i]) + y + LENGTH)
-            rows = rows.take(pa.array(take, pa.int64())).combine_chunks()
-            columns = [pa.concat_arrays(rows.column(c).chunks) if rows.num_rows else pa.array([], rows.schema.field(c).type) for c in ("row_key", "tie")]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["row_key", "tie", "start", "end"])
+            alone = np.concatenate([[True], anchor[1:] != anchor[:-1]]) & np.concatenate([anchor[1:] != anchor[:-1], [True]])
+            rows = rows.filter(pa.array(~alone))
+            edge = np.flatnonzero(np.concatenate([[True], np.diff(rows.column("anchor").to_numpy()) != 0])) if rows.num_rows else np.zeros(0, int)
+            for first, last in _portions([*edge.tolist(), rows.num_rows]):
+                own = rows.slice(first, last - first).combine_chunks()
+                low, high, at = (own.column(c).to_numpy().astype(np.int64) for c in ("low", "high", "at"))
+                found = repeated_starts(own.column("anchor").to_numpy(), own.column("context").to_pylist(), low, high)
+                take, a, b = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+                keys = [pa.concat_arrays(own.column(c).chunks).take(pa.array(take)) for c in ("row_key", "tie")]
+                spans = [pa.array((at[take] + x).astype(np.int32)) for x in (a, b + LENGTH)]
+                yield pa.RecordBatch.from_arrays([*keys, *spans], ["row_key", "tie", "start", "end"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -238,15 +254,15 @@ def _sorted_spans(contexts: DataFrame, kind: str) -> DataFrame:
             anchor = batch.column(batch.schema.get_field_index("anchor")).to_numpy()
             last = int((anchor == anchor[-1]).sum())
             if held and held[-1].column(held[-1].schema.get_field_index("anchor"))[-1].as_py() != int(anchor[0]):
-                yield solve(pa.Table.from_batches(held))
+                yield from solve(pa.Table.from_batches(held))
                 held = []
             cut = batch.num_rows - last
             if cut:
-                yield solve(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                yield from solve(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held = []
             held.append(batch.slice(cut))
         if held:
-            yield solve(pa.Table.from_batches(held))
+            yield from solve(pa.Table.from_batches(held))
 
     ordered = contexts.repartition("anchor").sortWithinPartitions("anchor", "row_key", "tie", "at")
     return ordered.mapInArrow(run, f"row_key {kind}, tie long, start int, end int")
@@ -258,7 +274,8 @@ def _shuffled_spans(contexts: DataFrame) -> DataFrame:
     strings = contexts.select("anchor", "row_key", "tie", "at", "low", "context", start)
     piece = F.substring(F.col("context"), F.col("start") - F.col("low") + 1, F.lit(LENGTH))
     strings = strings.select("row_key", "tie", (F.col("at") + F.col("start")).alias("start"), F.md5(piece).alias("piece"))
-    many = strings.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1").select("piece")
+    place = F.struct("row_key", "tie", "start")  # anchors of equal hashes may both lead to one string of a text
+    many = strings.groupBy("piece").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last")).select("piece")
     salted = many.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     met = strings.withColumn("_salt", F.pmod(F.xxhash64("tie", "start"), F.lit(SALTS)).cast("int")).join(salted, ["piece", "_salt"])
     return met.select("row_key", "tie", F.col("start").cast("int"), (F.col("start") + LENGTH).cast("int").alias("end"))
@@ -281,9 +298,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     # one stand-in for each set of equals
     place = F.struct("row_key", "tie", "at", "low", "high", "kinds")
     rest = rest.groupBy("anchor", "whole").agg(F.min(place).alias("p")).select("anchor", "p.*").withColumn("big", F.col("kinds") > GROUP)
-    contexts = _contexts(docs, rest, kind)
-    near = _sorted_spans(contexts.where("not big"), kind)
-    far = _shuffled_spans(contexts.where("big"))
+    near = _sorted_spans(_contexts(docs, rest.where("not big"), kind), kind)
+    far = _shuffled_spans(_contexts(docs, rest.where("big"), kind))
     # what a stand-in finds holds for its equals, which are done already
     return done.unionByName(near).unionByName(far)
 
