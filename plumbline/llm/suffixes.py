@@ -284,14 +284,15 @@ def _shuffled_spans(contexts: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(row_key, tie, start, end) for a frame (row_key, tie, text): byte spans that cover every byte of a repeated string."""
     kind = docs.schema["row_key"].dataType.simpleString()
-    found = _anchor_rows(docs, kind)
+    folder = f"{shared_dir(docs.sparkSession)}/anchors-{uuid.uuid4().hex}"
+    _anchor_rows(docs, kind).write.parquet(f"{folder}/all")
+    found = docs.sparkSession.read.parquet(f"{folder}/all")
     shared = found.where("weight > 0")
     counted = shared.groupBy("anchor", "whole").agg(F.sum("weight").alias("n"))
     total = counted.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
     counted = counted.join(total, "anchor").select("anchor", "whole", "n", "kinds")
-    folder = f"{shared_dir(docs.sparkSession)}/anchors-{uuid.uuid4().hex}"
-    shared.join(counted, ["anchor", "whole"]).drop("weight").write.parquet(folder)
-    shared = docs.sparkSession.read.parquet(folder)
+    shared.join(counted, ["anchor", "whole"]).drop("weight").write.parquet(f"{folder}/shared")
+    shared = docs.sparkSession.read.parquet(f"{folder}/shared")
     span = [(F.col("at") + F.col("low")).alias("start"), (F.col("at") + F.col("high") + LENGTH).alias("end")]
     done = shared.where("n > 1").select("row_key", "tie", *span).unionByName(found.where("weight = 0").select("row_key", "tie", *span))
     rest = shared.where("kinds > 1")
