@@ -5,8 +5,14 @@ text, a slot `#` (a text that differs), a repeated group ("+", items) or an opti
 task folds the pages of a host into one wrapper, partial wrappers are folded by host and salt, then by host, so
 a host with a third of all pages is never in one task, and pages are not shuffled to be learnt from.
 
-The main text of a page is what stands in its article, else in its main element, else in a division named like
-one (without menus, forms, asides and the like); a page without any gives the texts of its body that are no constants of the wrapper of its host.
+Texts that every page of a host has, under the same tags and in the same order, are aligned first and stay as
+constants, also between repeated elements; what lies between two of them is folded and aligned by its tags, so
+its texts are slots, alone or in repeated and optional groups.
+
+The main text of a page is its texts that are no constants of the wrapper of its host.  Names are a hint beside
+it: menus, forms, asides and the like are left out, and of what is left the texts in an article go before those
+in a main element, a division named like one, and others.  Names alone decide where a host has fewer than three
+pages of different text, or where the wrapper leaves nothing of a page.
 """
 
 from __future__ import annotations
@@ -15,6 +21,8 @@ import hashlib
 import html as entities
 import pickle
 import re
+from bisect import bisect_left
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -47,6 +55,8 @@ _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 #: Items of a wrapper from which its optional groups are left out.  They hold no constants and would be optional
 #: again when met again, so the extraction does not depend on this number.
 WRAPPER_ITEMS = 300
+#: Pages of different text from which a host has constants.
+LEAST_PAGES = 3
 
 
 def _dropped(tag: str, attributes: dict[str, str], inside: bool) -> bool:
@@ -82,9 +92,13 @@ def _rank(tag: str, attributes: dict[str, str]) -> int:
     return int(tag in ("div", "section") and not MAIN_NAMES.isdisjoint(_names(attributes)))
 
 
-def blocks(page: str) -> tuple[list[tuple[int, str]], list[str]]:
-    """(rank of the main element around it, text) of every block that may be main text, and the token stream."""
+def blocks(page: str) -> tuple[list[tuple[int, str]], list[str], list[int]]:
+    """(rank of the main element around it, text) of every block that may be main text, the token stream, and the places of those blocks in it.
+
+    The token of a text is a digest of the block tags around it and of the text.
+    """
     found: list[tuple[int, str]] = []
+    places: list[int] = []
     stream: list[str] = []
     stack: list[tuple[str, bool, int]] = []  # tag, whether it or one around it is dropped, rank
     held: list[str] = []
@@ -94,8 +108,10 @@ def blocks(page: str) -> tuple[list[tuple[int, str]], list[str]]:
         held.clear()
         text = " ".join((entities.unescape(text) if "&" in text else text).split())
         if text:
-            stream.append("t" + hashlib.blake2b(text.encode(), digest_size=8).hexdigest())
+            around = "/".join(t for t, _, _ in stack if t in BLOCK)
+            stream.append("t" + hashlib.blake2b(f"{around} {text}".encode(), digest_size=8).hexdigest())
             if not stack or not stack[-1][1]:
+                places.append(len(stream) - 1)
                 found.append((stack[-1][2] if stack else 0, text))
 
     def close(tag: str) -> None:
@@ -155,7 +171,7 @@ def blocks(page: str) -> tuple[list[tuple[int, str]], list[str]]:
             continue
         stack.append((tag, dropped, rank))
     flush()
-    return found, stream
+    return found, stream, places
 
 
 def fold(stream: list) -> tuple:
@@ -214,77 +230,131 @@ def _optional(p, q):
     return (p[0], align(p[1], q[1]))
 
 
-def constants(wrapper: tuple) -> set[str]:
-    """Digests of the texts that stand in the wrapper as they are, outside optional groups."""
-    found: set[str] = set()
-    for item in wrapper:
-        if isinstance(item, str):
-            if item[0] == "t" and len(item) == 17:
-                found.add(item[1:])
-        elif item[0] == "+":
-            found |= constants(item[1])
+def _is_text(item) -> bool:
+    return isinstance(item, str) and item[0] == "t" and len(item) == 17
+
+
+def numbered(items) -> list[tuple[int, tuple[str, int]]]:
+    """(place, (text, how many equal ones come before it)) of the constant texts of a wrapper or the texts of a stream."""
+    seen: Counter[str] = Counter()
+    found = []
+    for place, item in enumerate(items):
+        if _is_text(item):
+            found.append((place, (item, seen[item])))
+            seen[item] += 1
     return found
 
 
+def common(a, b) -> list[tuple[int, int]]:
+    """Places in both of the longest run of texts that both have in the same order; the n-th of equal texts meets the n-th."""
+    there = {key: place for place, key in numbered(b)}
+    pairs = [(place, there[key]) for place, key in numbered(a) if key in there]
+    ends: list[int] = []  # smallest last place in b of a run of each length
+    last: list[int] = []  # the pair it belongs to
+    before: list[int] = []
+    for n, (_, place) in enumerate(pairs):
+        k = bisect_left(ends, place)
+        before.append(last[k - 1] if k else -1)
+        ends[k : k + 1], last[k : k + 1] = [place], [n]
+    n, run = last[-1] if last else -1, []
+    while n >= 0:
+        run.append(pairs[n])
+        n = before[n]
+    return run[::-1]
+
+
+def _between(items) -> tuple:
+    """What stands between two constants: texts as slots, folded; neighbouring equal groups become one."""
+    plain: list = []
+    for item in items:
+        item = "#" if _is_text(item) else item
+        if not (plain and isinstance(item, tuple) and item[0] == "+" and plain[-1] == item):
+            plain.append(item)
+    return fold(plain)
+
+
+def unite(a: tuple, b: tuple) -> tuple:
+    """The wrapper of two wrappers or streams: texts that both have in order stay, what lies between is folded and aligned."""
+    if a == b:
+        return a
+    out: list = []
+    i = j = 0
+    for p, q in [*common(a, b), (len(a), len(b))]:
+        out += align(_between(a[i:p]), _between(b[j:q]))
+        out += a[p : p + 1]
+        i, j = p + 1, q + 1
+    return tuple(out)
+
+
 def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, pages, wrapper binary) of every host; null or odd addresses share the host ''."""
+    """(host, pages, wrapper binary) of every host; null or odd addresses share the host ''.
+
+    `pages` is the number of pages of different text, LEAST_PAGES at most; pages that are alike in all blocks that may
+    be main text count once, pages without any are not learnt from.
+    """
     host = F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))).alias("host")
     schema = "host string, pages long, wrapper binary"
+    partials = "host string, own array<string>, wrapper binary"
 
     def learn(batches):
-        known: dict[str, list] = {}
+        known: dict[str, tuple[list[str], tuple]] = {}
         for part in slices(batches, "html"):
             for own, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                new = fold(blocks(text or "")[1])
-                if own in known:
-                    known[own] = [known[own][0] + 1, align(known[own][1], new)]
-                else:
-                    known[own] = [1, new]
-        yield _rows([(h, n, w) for h, (n, w) in known.items()])
+                found, stream, _ = blocks(text or "")
+                if not found:
+                    continue
+                mark = hashlib.blake2b("\n".join(t for _, t in found).encode(), digest_size=16).hexdigest()
+                marks, wrapper = known.get(own, ([], None))
+                known[own] = (sorted({*marks, mark})[:LEAST_PAGES], tuple(stream) if wrapper is None else unite(wrapper, tuple(stream)))
+        yield _rows([(h, m, w) for h, (m, w) in known.items()])
 
     def merge(rows: pa.Table) -> pa.Table:
-        n, wrapper = 0, None
-        for count, packed in sorted(zip(rows.column("pages").to_pylist(), rows.column("wrapper").to_pylist(), strict=True)):
-            n, wrapper = n + count, pickle.loads(packed) if wrapper is None else align(wrapper, pickle.loads(packed))
-        return pa.Table.from_batches([_rows([(rows.column("host")[0].as_py(), n, wrapper)])])
+        marks, wrapper = set(), None
+        for own, packed in sorted(zip(rows.column("own").to_pylist(), rows.column("wrapper").to_pylist(), strict=True)):
+            marks, wrapper = marks.union(own), pickle.loads(packed) if wrapper is None else unite(wrapper, pickle.loads(packed))
+        return pa.Table.from_batches([_rows([(rows.column("host")[0].as_py(), sorted(marks)[:LEAST_PAGES], wrapper)])])
 
-    partial = pages.select(host, F.col(html).alias("html")).mapInArrow(learn, schema)
-    salted = partial.withColumn("_salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).groupBy("host", "_salt").applyInArrow(merge, schema)
-    return salted.groupBy("host").applyInArrow(merge, schema)
+    partial = pages.select(host, F.col(html).alias("html")).mapInArrow(learn, partials)
+    salted = partial.withColumn("_salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).groupBy("host", "_salt").applyInArrow(merge, partials)
+    return salted.groupBy("host").applyInArrow(merge, partials).select("host", F.size("own").cast("long").alias("pages"), "wrapper")
 
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([h for h, _, _ in found], pa.string()), pa.array([n for _, n, _ in found], pa.int64()), pa.array([pickle.dumps(w) for _, _, w in found], pa.binary())],
-        ["host", "pages", "wrapper"],
+        [pa.array([h for h, _, _ in found], pa.string()), pa.array([m for _, m, _ in found], pa.list_(pa.string())), pa.array([pickle.dumps(w) for _, _, w in found], pa.binary())],
+        ["host", "own", "wrapper"],
     )
 
 
+def main_text(page: str, wrapper: tuple | None) -> tuple[str, str]:
+    """(main text, what decided it): "wrapper" where it left texts out that names would have kept, "both" where they agree, else "names"."""
+    found, stream, places = blocks(page)
+    same = {q for _, q in common(wrapper, stream)} if wrapper else set()
+    kept = [block for block, place in zip(found, places, strict=True) if place not in same]
+    lines = lambda some: [t for rank, t in some if rank == max(r for r, _ in some)]
+    own, named = lines(kept), lines(found)
+    return "\n".join(own or named), "names" if not wrapper or not own else "both" if own == named else "wrapper"
+
+
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text) of every page, through the wrapper of its host.
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by \\n in
     page order.  A null or empty page gives an empty text.  Repeated rows are pages of their own; other columns
-    are ignored.  A host with fewer than three pages has no constants yet.
+    are ignored.
     """
     host = F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    fixed = infer(pages, url, html).where("pages >= 3").select("host", "wrapper")
+    fixed = infer(pages, url, html).where(F.col("pages") >= LEAST_PAGES).select("host", "wrapper")
     kinds = [pages.schema[c].dataType.simpleString() for c in (key, url)]
 
     def run(batches):
         for part in slices(batches, "_html"):
-            seen: dict[bytes, set[str]] = {}
+            known: dict[bytes, tuple] = {}
             texts = []
             for page, packed in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                found, _ = blocks(page or "")
-                best = max((rank for rank, _ in found), default=0)
-                if best:
-                    texts.append("\n".join(t for rank, t in found if rank == best))
-                    continue
-                if packed is not None and packed not in seen:
-                    seen[packed] = constants(pickle.loads(packed))
-                same = seen.get(packed, set())
-                texts.append("\n".join(t for _, t in found if hashlib.blake2b(t.encode(), digest_size=8).hexdigest() not in same))
+                if packed is not None and packed not in known:
+                    known[packed] = tuple(i for i in pickle.loads(packed) if _is_text(i))
+                texts.append(main_text(page or "", known.get(packed))[0])
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], [key, url, "text"])
 
     rows = salted_join(pages.select(F.col(key), F.col(url), F.col(html).alias("_html"), host.alias("host")), fixed, ["host"], key, "left")

@@ -123,6 +123,26 @@ def test_wrapper_items():
     assert extra == ("body", ("?", ("div", "t" + "d" * 16, "/div")), "ul", ("+", ("li", "#", "/li")), "/ul", "/body")
 
 
+def test_wrappers_decide_inside_articles(spark):
+    body = lambda i: "".join(f"<p>Own {i} {j}</p>" for j in range(2 + i % 3))
+    page = lambda i: f"<body><main><article><h1>Head {i}</h1><p>Share this story</p>{body(i)}<p>Read more</p><p>All rights with us</p></article></main></body>"
+    rows = [(i, f"http://a.org/{i}", page(i)) for i in range(9)] + [(50, "http://a.org/no", None)]
+    copies = [(100 + i, f"http://b.org/{i}", "<body><div>One text</div><p>and its end</p></body>") for i in range(5)]
+    teaser = [(200 + i, f"http://c.org/{i}", f"<article>Join us</article><div>Story {i}</div>") for i in range(4)]
+    for parts in (1, 5):
+        pages = spark.createDataFrame([*rows, *copies, *teaser], "page_id long, url string, html string").repartition(parts)
+        got = {r.page_id: r.text for r in wrappers.extract(pages).collect()}
+        assert all(got[i] == "\n".join([f"Head {i}", *(f"Own {i} {j}" for j in range(2 + i % 3))]) for i in range(9)) and got[50] == ""
+        assert all(got[100 + i] == "One text\nand its end" for i in range(5)) and all(got[200 + i] == f"Story {i}" for i in range(4))
+
+
+def test_wrapper_constants_by_position():
+    pages = [["body", "p", "t" + "a" * 16, "/p", *["p", "t" + c * 16, "/p"] * 4, "p", "t" + "b" * 16, "/p", "/body"] for c in "cde"]
+    wrapper = wrappers.unite(wrappers.unite(*map(tuple, pages[:2])), tuple(pages[2]))
+    assert [i for i in wrapper if isinstance(i, str) and i[0] == "t"] == ["t" + "a" * 16, "t" + "b" * 16]
+    assert sum(isinstance(i, tuple) and i[0] == "+" for i in wrapper) == 1
+
+
 def test_minhash(docs):
     rows = minhash.near_duplicates(docs, shingle=5).collect()
     assert len(rows) == len(ROWS)
