@@ -48,6 +48,11 @@ DROPPED_NAMES = frozenset(
 )
 # dropped outside the main element only; and names that mark a main element, weaker than article and main themselves
 OUTER_NAMES = frozenset("header masthead topbar".split())
+# what may stand before and after such a word in one class or id, joined by - or _
+PLACES = frozenset("bottom global left main page primary right secondary site the top".split())
+PARTS = frozenset("area banner bar block box button buttons container content form items links list menu message module notice panel posts section widget wrap wrapper".split())
+# elements that names do not drop: a heading, paragraph or item with such a name is left to the wrapper
+UNNAMED = frozenset("html body article main h1 h2 h3 h4 h5 h6 p li dt dd td th tr pre blockquote figcaption caption".split())
 MAIN_NAMES = frozenset("article content entry main post story".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*>|</[^>]*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -59,23 +64,36 @@ WRAPPER_ITEMS = 300
 LEAST_PAGES = 3
 
 
-def _dropped(tag: str, attributes: dict[str, str], inside: bool) -> bool:
+def _dropped(tag: str, attributes: dict[str, str], inside: bool) -> int:
+    """2 for what is no main text, 1 for what is none unless the main text of the page stands in it, else 0."""
     if tag in DROPPED:
-        return True
+        return 1 if tag == "form" else 2
     if not attributes:
-        return tag == "header" and not inside
+        return 2 * (tag == "header" and not inside)
     if "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
+        return 2
     if tag == "header" and not inside:
-        return True
+        return 2
     if tag in ("html", "body"):
-        return False
+        return 0
     if attributes.get("role", "").lower() in DROPPED_ROLES:
-        return True
+        return 1 if attributes["role"].lower() == "form" else 2
     if re.search(r"display\s*:\s*none", attributes.get("style", "")):
+        return 2
+    if tag in UNNAMED:
+        return 0
+    tokens = (attributes.get("class", "") + " " + attributes.get("id", "")).lower().split()
+    return int(any(_means(t, DROPPED_NAMES) or not inside and _means(t, OUTER_NAMES) for t in tokens))
+
+
+def _means(token: str, names: frozenset[str]) -> bool:
+    """Whether a whole class or id is one of the names, alone or with words for its place and kind (site-header, related-posts)."""
+    if token in names:
         return True
-    named = _names(attributes)
-    return not DROPPED_NAMES.isdisjoint(named) or not inside and not OUTER_NAMES.isdisjoint(named)
+    words = re.split(r"[-_]+", token)
+    while len(words) > 1 and words[0] in PLACES:
+        words = words[1:]
+    return words[0] in names and all(w in PARTS or w in names for w in words[1:])
 
 
 def _names(attributes: dict[str, str]) -> list[str]:
@@ -97,10 +115,11 @@ def blocks(page: str) -> tuple[list[tuple[int, str]], list[str], list[int]]:
 
     The token of a text is a digest of the block tags around it and of the text.
     """
-    found: list[tuple[int, str]] = []
-    places: list[int] = []
+    every: list[tuple[int, str, int, tuple[int, ...]]] = []  # rank, text, place, elements around it that drop it unless the main text is in them
     stream: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, whether it or one around it is dropped, rank
+    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # tag, whether it or one around it is dropped for good, rank, the elements as above
+    forms: set[int] = set()
+    marks: list[tuple[int, tuple[int, ...]]] = []  # rank of every main element, the elements as above around it
     held: list[str] = []
 
     def flush() -> None:
@@ -108,11 +127,10 @@ def blocks(page: str) -> tuple[list[tuple[int, str]], list[str], list[int]]:
         held.clear()
         text = " ".join((entities.unescape(text) if "&" in text else text).split())
         if text:
-            around = "/".join(t for t, _, _ in stack if t in BLOCK)
+            around = "/".join(t for t, _, _, _ in stack if t in BLOCK)
             stream.append("t" + hashlib.blake2b(f"{around} {text}".encode(), digest_size=8).hexdigest())
             if not stack or not stack[-1][1]:
-                places.append(len(stream) - 1)
-                found.append((stack[-1][2] if stack else 0, text))
+                every.append((stack[-1][2] if stack else 0, text, len(stream) - 1, stack[-1][3] if stack else ()))
 
     def close(tag: str) -> None:
         while stack:
@@ -136,7 +154,7 @@ def blocks(page: str) -> tuple[list[tuple[int, str]], list[str], list[int]]:
             continue
         tag = name.group(1).lower()
         if token[1] == "/":
-            if any(t == tag for t, _, _ in stack):
+            if any(t == tag for t, _, _, _ in stack):
                 if tag in BLOCK:
                     flush()
                     stream.append("/" + tag)
@@ -147,10 +165,10 @@ def blocks(page: str) -> tuple[list[tuple[int, str]], list[str], list[int]]:
             continue
         if tag in BLOCK or tag in DROPPED:
             flush()
-        if tag in CLOSES_P and any(t == "p" for t, _, _ in stack):
+        if tag in CLOSES_P and any(t == "p" for t, _, _, _ in stack):
             close("p")
         if tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
-            for t, _, _ in reversed(stack):
+            for t, _, _, _ in reversed(stack):
                 if t == tag or tag in ("dd", "dt") and t in ("dd", "dt"):
                     close(t)
                     break
@@ -162,16 +180,34 @@ def blocks(page: str) -> tuple[list[tuple[int, str]], list[str], list[int]]:
             stream.append(tag)
         if tag in VOID or token.endswith("/>") and tag not in BLOCK:
             continue
-        _, above, rank = stack[-1] if stack else ("", False, 0)
-        dropped = above or _dropped(tag, attributes, rank > 0)
-        rank = max(rank, _rank(tag, attributes))
+        _, above, rank, doubtful = stack[-1] if stack else ("", False, 0, ())
+        verdict = _dropped(tag, attributes, rank > 0)
+        dropped = above or verdict == 2
+        if verdict == 1:
+            doubtful = (*doubtful, at)
+            if tag == "form" or attributes.get("role", "").lower() == "form":
+                forms.add(at)
+        own = _rank(tag, attributes)
+        rank = max(rank, own)
+        if own and not dropped and verdict == 0:
+            marks.append((own, doubtful))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             at = len(page) if end is None else page.find(">", end.start()) + 1 or len(page)
             continue
-        stack.append((tag, dropped, rank))
+        stack.append((tag, dropped, rank, doubtful))
     flush()
-    return found, stream, places
+    # what stands around the main text does not drop it: forms always, named elements around a main element, and
+    # those around an article where it holds more text than is left without it
+    within = lambda lifted: [b for b in every if lifted.issuperset(b[3])]
+    size = lambda some: sum(len(b[1]) for b in some)
+    own, around = max(marks, key=lambda m: (-len(set(m[1]) - forms), m[0] > 1, -len(m[1]), m[0]), default=(0, ()))
+    left = within(forms.intersection(around))
+    if own > 1 and not forms.issuperset(around):
+        more = within(set(around))
+        left = more if own == 2 or size(more) > 2 * size(left) else left
+    left = left or within(forms) or every
+    return [b[:2] for b in left], stream, [b[2] for b in left]
 
 
 def fold(stream: list) -> tuple:

@@ -143,6 +143,23 @@ def test_wrapper_constants_by_position():
     assert sum(isinstance(i, tuple) and i[0] == "+" for i in wrapper) == 1
 
 
+@pytest.mark.parametrize("start", [
+    "<article class='post has-sidebar'>", "<div class='content no-sidebar'>", "<main class='with-share'>", "<article id='notice-12'>",
+    "<body class='left-sidebar'><div class='page sidebar'><article>", "<form><main>", "<form><div id=content>", "<form>", "<div class='social ads'><form><article>",
+    "<main class=comments>", "<article class='ad'>",
+])
+def test_names_keep_the_main_text(start):
+    inner = "<h2 class='related'>Head</h2><p class='alert big'>Body</p><ul><li class=social>Item</ul><div class='related-posts'><p>More</p></div><section class=comments><article>Reader</article></section>"
+    found = wrappers.blocks(start + inner)[0]
+    texts = wrappers.main_text(start + inner, None)[0].split("\n")
+    assert texts[:3] == ["Head", "Body", "Item"] and "More" not in texts and "Reader" not in texts and len(found) == 3
+
+
+def test_names_still_drop():
+    page = "<div class='site-header'>A</div><div class='cookie-notice'>B</div><div id=left_sidebar>C</div><form>D</form><div class='ad'>E</div><p>F</p><div class='share-price'>G</div>"
+    assert [t for _, t in wrappers.blocks(page)[0]] == ["F", "G"]
+
+
 def test_minhash(docs):
     rows = minhash.near_duplicates(docs, shingle=5).collect()
     assert len(rows) == len(ROWS)
