@@ -3,6 +3,11 @@
 A unit is a line, a paragraph (lines between blank lines) or the whole text.  Units and templates are
 lower-cased and reduced to letters and digits.  The Dice coefficient of a unit with a bigrams and a template
 with m can reach t only if a lies in [m t / (2 - t), m (2 - t) / t], so most units meet no template at all.
+`matches` gives every template that a unit reaches, also where two differ in a word.
+
+`notices` looks at windows of words at every place instead, so a notice inside a longer line, across lines or
+between other sentences is found, and of templates that meet the same words only the best stays.  A best window
+starts and ends with bigrams of its template, so only those places are tried.
 Everything happens inside a row with built-in expressions: no shuffle, and a text is read whole.
 """
 
@@ -30,6 +35,24 @@ TEMPLATES = {
     "Proprietary": "All rights reserved.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, "
+    "either version {1} of the License, or (at your option) any later version."
+)
+# what notices are looked for besides: (licence, text)
+HEADERS = (
+    ("AGPL-3.0", _GNU.format("Affero ", "3")),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("BSD-3-Clause", TEMPLATES["BSD-2-Clause"] + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("GPL-2.0", _GNU.format("", "2")),
+    ("GPL-3.0", _GNU.format("", "3")),
+    ("LGPL-2.1", _GNU.format("Lesser ", "2.1")),
+    ("LGPL-3.0", _GNU.format("Lesser ", "3")),
+)
+NOTICES = (*TEMPLATES.items(), *HEADERS)
 
 
 def template_bigrams(text: str) -> list[str]:
@@ -80,3 +103,68 @@ def matches(text: Column, templates: dict[str, str] = TEMPLATES, threshold: floa
 
     of_unit = lambda unit: _with(F.split(unit, " "), of_words)
     return F.flatten(F.transform(units(F.coalesce(text, F.lit(""))), of_unit))
+
+
+def notices(text: Column, templates: tuple[tuple[str, str], ...] = NOTICES, threshold: float = THRESHOLD) -> Column:
+    """array<struct<licence, dice, start, stop>> of the notices in a text, without overlaps; empty for null or empty text.
+
+    A window is a run of bigrams `start` to `stop` (numbers of their first words).  With c different bigrams in common,
+    `size` of its own and m of the template, its Dice coefficient is 2 c / (size + m) and its score 4 c - size - m.  Windows
+    are taken by score, Dice coefficient, place and licence; one that overlaps a taken one is left out unless it is
+    the same window of another licence with the same score: then the words do not tell them apart and both stay.
+    """
+    sized = [(name, template_bigrams(t)) for name, t in templates]
+    every = sorted({g for _, grams in sized for g in grams})
+    kind = "array<struct<below:int,off:double,start:int,licence:string,stop:int>>"
+    none = F.array().cast(kind)
+
+    def windows(hits: Column, name: str, m: int) -> Column:
+        """The best window from every place, of bigrams (i, before) with the place of the same bigram before."""
+        high = bounds(m, threshold)[1]
+
+        def from_place(h: Column, k: Column) -> Column:
+            new = F.filter(F.slice(hits, k + 1, high), lambda x: (x["i"] < h["i"] + high) & (x["before"] < h["i"]))
+
+            def to_place(x: Column, j: Column) -> Column:
+                both = x["i"] - h["i"] + 1 + m
+                return F.struct(
+                    (both - 4 * (j + 1)).alias("below"), (F.lit(-2.0) * (j + 1) / both).alias("off"), h["i"].alias("start"), F.lit(name).alias("licence"), x["i"].alias("stop")
+                )
+
+            return F.array_min(F.filter(F.transform(new, to_place), lambda w: w["off"] <= -threshold))
+
+        return F.filter(F.transform(hits, from_place), lambda w: w.isNotNull())
+
+    def linked(hits: Column) -> Column:
+        def all_of(ordered: Column) -> Column:
+            def before(h: Column, k: Column) -> Column:
+                last = F.get(ordered, k - 1)
+                return F.struct(h["i"].alias("i"), F.when(last["p"] == h["p"], last["i"]).otherwise(-1).alias("before"))
+
+            return F.array_sort(F.transform(ordered, before))
+
+        return _with(F.array_sort(F.transform(hits, lambda h: F.struct(h["p"].alias("p"), h["i"].alias("i")))), all_of)
+
+    def of_template(hits: Column, name: str, grams: list[str]) -> Column:
+        least = bounds(len(grams), threshold)[0]
+        meet = lambda own: _with(linked(own), lambda h: windows(h, name, len(grams))).cast(kind)
+        return _with(F.filter(hits, lambda h: h["p"].isin(grams)), lambda own: F.when(F.size(own) >= least, meet(own)).otherwise(none))
+
+    def against(hits: Column) -> Column:
+        return F.array_sort(F.flatten(F.array(*[of_template(hits, name, grams) for name, grams in sized])))
+
+    def add(taken: Column, w: Column) -> Column:
+        same = lambda o: (o["start"] == w["start"]) & (o["stop"] == w["stop"]) & (o["below"] == w["below"]) & (o["off"] == w["off"]) & (o["licence"] != w["licence"])
+        met = F.exists(taken, lambda o: (o["start"] <= w["stop"]) & (w["start"] <= o["stop"]) & ~same(o))
+        return F.when(met, taken).otherwise(F.concat(taken, F.array(w)))
+
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+
+    def of_words(words: Column) -> Column:
+        size = F.size(words) - 1
+        pairs = F.zip_with(F.slice(words, 1, size), F.slice(words, 2, size), lambda a, b: F.concat(a, F.lit(" "), b))
+        placed = F.transform(pairs, lambda p, i: F.when(p.isin(every), F.struct(i.alias("i"), p.alias("p"))))
+        return _with(F.filter(placed, lambda h: h.isNotNull()), against)
+
+    taken = F.aggregate(_with(F.split(plain, " "), of_words), none, add)
+    return F.transform(taken, lambda w: F.struct(w["licence"].alias("licence"), (-w["off"]).alias("dice"), w["start"].alias("start"), w["stop"].alias("stop")))

@@ -177,6 +177,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op10_notices")
+def op10_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", licenses.notices(F.col("text")).alias("found"))
+    names = F.array_sort(F.array_distinct(F.transform("found", lambda m: m["licence"])))
+    return docs.select(
+        "doc_id", F.size("found").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licences"),
+        F.coalesce(F.array_max(F.transform("found", lambda m: m["dice"])), F.lit(0.0)).alias("best"),
+    )
+
+
 @query("op4_suffixes")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))

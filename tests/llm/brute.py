@@ -79,3 +79,24 @@ def edited(texts: list[str]) -> list[str]:
         third = len(t) // 3
         out.append(t[: len(t) - third] + u[:third])
     return out
+
+
+def notices(text, templates, threshold):
+    """Every window of every size against every template; taken as licenses.notices says."""
+    words = [w for w in re.sub(r"[\W_]+", " ", (text or "").lower()).split(" ") if w]
+    pairs, found = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)], []
+    for name, template in templates:
+        own = [w for w in re.split(r"[^a-z0-9]+", template.lower()) if w]
+        grams = {f"{a} {b}" for a, b in zip(own, own[1:], strict=False)}
+        for i in range(len(pairs)):
+            here = []
+            for j in range(i, min(len(pairs), i + 2 * len(grams))):
+                c, both = len(grams.intersection(pairs[i : j + 1])), j - i + 1 + len(grams)
+                if 2 * c / both >= threshold:
+                    here.append((both - 4 * c, -2 * c / both, i, name, j))
+            found += [min(here)] if here else []
+    taken = []
+    for w in sorted(found):
+        if all(o[2] > w[4] or w[2] > o[4] or (o[:3], o[4]) == (w[:3], w[4]) and o[3] != w[3] for o in taken):
+            taken.append(w)
+    return [(w[3], -w[1], w[2], w[4]) for w in taken]

@@ -240,6 +240,27 @@ def test_licenses(spark):
     assert got == {0: set(), 1: set(), 2: {"MIT"}, 3: {"MIT"}, 4: {"MIT-text"}, 5: set(), 6: set()}
 
 
+def test_notices(spark):
+    header = dict(reversed(licenses.HEADERS))
+    gpl3 = header["GPL-3.0"]
+    texts = {
+        "Proprietary": "(c) 2024 Acme. All rights reserved.", "MIT": "Well, this was licensed under the MIT License. And more text follows it, of no matter.",
+        "GPL-3.0": "Some words first. This work is licensed under the GNU General Public License, version 3. And some after.", "Apache-2.0": "# " + header["Apache-2.0"] + " Then the code of the file starts.",
+        "GPL-3.0 ": "x = 1  # " + gpl3.replace(" you", "\n# you") + " You should have received a copy.", "GPL-2.0": header["GPL-2.0"].replace(":", ";"), "AGPL-3.0": "a b " + header["AGPL-3.0"],
+        "LGPL-2.1": "A library. " + header["LGPL-2.1"], "LGPL-3.0": "see: " + header["LGPL-3.0"] + " end of the text", "CC-BY-NC-SA-4.0": "Pictures are licensed under CC BY-NC-SA 4.0 by us.",
+        "BSD-3-Clause,Proprietary": "Copyright (c) Us. All rights reserved. " + header["BSD-3-Clause"].replace("the copyright holder", "Foo Bar Inc"), "MIT-text": "* " + licenses.TEMPLATES["MIT-text"].replace(", ", ",\n * ") + " * THE SOFTWARE IS PROVIDED AS IS",
+        "GPL-2.0,GPL-3.0": "This work is licensed under the GNU General Public License.", "": "All of the rights of the people are in the hands of the state and to the public.",
+        "MIT,Proprietary": "Released under the MIT License. All rights reserved. Released under the MIT License. " * 3,
+    }
+    rows = [(i, t) for i, t in enumerate([*texts.values(), None, "", "one"])]
+    found = {r.k: [tuple(m) for m in r.found] for r in spark.createDataFrame(rows, "k long, text string").select("k", licenses.notices(F.col("text")).alias("found")).collect()}
+    for i, text in rows:
+        assert found[i] == brute.notices(text, licenses.NOTICES, licenses.THRESHOLD)
+    for i, names in enumerate(texts):
+        assert ",".join(sorted({m[0] for m in found[i]})) == names.strip()
+    assert len(found[len(texts) - 1]) == 9
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages(spark, clashing, name, stage):
     done = stage(spark, clashing, D)
