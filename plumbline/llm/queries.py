@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, chunks, licenses, minhash, mixing, pieces, quality, simhash, suffixes, wrappers
+from plumbline.llm import chat, chunks, licenses, minhash, mixing, pieces, quality, repair, simhash, suffixes, wrappers
 from plumbline.llm.catalog import query
 from plumbline.llm.common import sha256_hex, table, word_count
 from plumbline.session import cut_lineage
@@ -191,3 +191,26 @@ def op10_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Rows of conversations with faults put in by a checksum of their place: dropped, emptied, without ends, twice, or a user's."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    way = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn"))) % 20
+    text = F.when(way == 1, "").when(way == 2, F.regexp_replace(blank("text"), "[.!?]", "")).otherwise(blank("text"))
+    role = F.when(way == 4, "user").otherwise(blank("role"))
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), way.alias("_way")).where("_way <> 0")
+    return rows.withColumn("_copy", F.explode(F.when(F.col("_way") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("_way", "_copy")
+
+
+@query("op13_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    told = repair.reports(repair.edits(damaged(turns)))
+    every = turns.select(F.col("conv_id").alias("_conv")).distinct()
+    told = every.join(told, F.col("_conv").eqNullSafe(F.col("conv_id")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return told.select(
+        F.col("_conv").alias("conv_id"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -100,3 +101,53 @@ def notices(text, templates, threshold):
         if all(o[2] > w[4] or w[2] > o[4] or (o[:3], o[4]) == (w[:3], w[4]) and o[3] != w[3] for o in taken):
             taken.append(w)
     return [(w[3], -w[1], w[2], w[4]) for w in taken]
+
+
+def repair(rows: list[tuple]) -> tuple:
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, sha256) of damaged rows (turn, role, text) in order, by every stack without merging."""
+    seen, faults = set(), []
+    for _, role, text in rows:
+        told = text.strip(" \t\n\x0b\x0c\r")
+        faults.append("blank" if not told else "duplicate" if (role, text) in seen else "truncated" if told[-1] not in ".!?" else None)
+        seen.add((role, text))
+    turns = [t for t, _, _ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:], strict=False))
+    legal = re.compile("(s?(ua)+)?")
+    # a prefix of roles is open if some ending makes it legal
+    open_ = lambda s: bool(legal.fullmatch(s) or legal.fullmatch(s + "a") or legal.fullmatch(s + "ua"))
+    ways = {"": [(0, "", ())]}  # roles so far: (cost, audit, repaired)
+
+    def insert(ways):
+        for _ in range(2):
+            for roles, options in list(ways.items()):
+                for c in "ua":
+                    if open_(roles + c) and len(roles) < len(rows) + 3:
+                        added = [(cost + 5, audit + "I", out + (f"{'user' if c == 'u' else 'assistant'}:",)) for cost, audit, out in options]
+                        ways[roles + c] = [min(ways.get(roles + c, []) + added)]
+        return ways
+
+    for (_, role, text), fault in zip(rows, faults, strict=True):
+        made: dict[str, list] = {}
+        for roles, options in insert(ways).items():
+            for cost, audit, out in options:
+                made.setdefault(roles, []).append((cost + 2, audit + "D", out))
+                if fault not in ("blank", "duplicate"):
+                    late = 5 * (fault == "truncated")
+                    for c, name, price, letter in ((role[:1], role, 0, "K"), ("u", "user", 1, "R"), ("a", "assistant", 1, "R")):
+                        if c and open_(roles + c):
+                            made.setdefault(roles + c, []).append((cost + price + late, audit + letter, (*out, f"{name}:{text}")))
+        ways = {roles: [min(options)] for roles, options in made.items()}
+    cost, audit, out = min(w for roles, options in insert(ways).items() if legal.fullmatch(roles) for w in options)
+    return gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, sha("\n".join(out))
+
+
+def damaged(rows: list[tuple]) -> list[tuple]:
+    """Rows (conv, turn, role, text) after the damage that op13_repair does."""
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        way = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        text = "" if way == 1 else re.sub("[.!?]", "", text) if way == 2 else text
+        out += [(conv, turn, "user" if way == 4 else role, text)] * (0 if way == 0 else 2 if way == 3 else 1)
+    return out
