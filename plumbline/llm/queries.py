@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, chunks, licenses, minhash, mixing, pieces, quality, repair, simhash, suffixes, wrappers
+from plumbline.llm import chat, chunks, hamming, licenses, minhash, mixing, pieces, quality, repair, simhash, suffixes, wrappers
 from plumbline.llm.catalog import query
 from plumbline.llm.common import sha256_hex, table, word_count
 from plumbline.session import cut_lineage
@@ -214,3 +214,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_conv").alias("conv_id"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
         F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
     )
+
+
+@query("op11_hamming")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.near_duplicates(table(spark, sf_dir, "documents"))
