@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, chunks, hamming, licenses, minhash, mixing, pieces, quality, repair, simhash, suffixes, wrappers
+from plumbline.llm import chat, chunks, hamming, licenses, minhash, mixing, pieces, quality, repair, simhash, spelling, suffixes, wrappers
 from plumbline.llm.catalog import query
 from plumbline.llm.common import sha256_hex, table, word_count
 from plumbline.session import cut_lineage
@@ -219,3 +219,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_hamming")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op12_spelling")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
