@@ -14,16 +14,8 @@ from plumbline.functions import rules
 from plumbline.functions.dates import semester_of
 from plumbline.functions.labels import notice_board, notice_keyword
 from plumbline.functions.text import norm_compact
-from plumbline.operators.ranking import round_robin, top_per_key
-
-K1, B = 1.2, 0.75
-UNIT = 1_000_000
-"""Scores are summed in millionths as integers, so their order does not depend on the order of the sum."""
-
-
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
+from plumbline.operators import search_index
+from plumbline.operators.ranking import round_robin
 
 def denied(sections: DataFrame, denylist: DataFrame) -> DataFrame:
     """Sections whose id, evidence id or parent document is not on the deny list.
@@ -39,33 +31,11 @@ def denied(sections: DataFrame, denylist: DataFrame) -> DataFrame:
     return rows.drop("_parent")
 
 
-def score(queries: DataFrame, sections: DataFrame) -> DataFrame:
-    """BM25 of every (query, section) pair that shares a telling word; queries may hold extra keys.
-
-    A word of half the sections or more weighs nothing (its idf is not positive), so it is dropped
-    before the join; no pair is built from it.
-    """
-    keys = [c for c in queries.columns if c != "query"]
-    asked = queries.select(*keys, F.explode(F.array_distinct(words(F.col("query")))).alias("word"))
-    index = sections.select("section_id", "source_kind", words(F.col("body")).alias("words"))
-    index = index.withColumn("length", F.size("words").cast("double"))
-    stats = index.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("mean"))).scalar()
-    listed = index.select("section_id", "source_kind", "length", F.explode("words").alias("word"))
-    vocabulary = asked.select("word").distinct()
-    counts = listed.join(vocabulary, "word", "left_semi").groupBy("section_id", "source_kind", "length", "word").agg(F.count("*").alias("tf"))
-    found_in = counts.groupBy("word").agg(F.count("*").alias("df"))
-    weights = found_in.select("word", F.log((stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).where("idf > 0")
-    tf = F.col("tf").cast("double")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / stats["mean"]))
-    parts = counts.join(weights, "word").select("section_id", "source_kind", "word", F.round(part * UNIT).cast("long").alias("part"))
-    return parts.join(asked, "word").groupBy(*keys, "source_kind", "section_id").agg(F.sum("part").alias("score"))
-
-
-def search(queries: DataFrame, sections: DataFrame, k: int = 5, longest: int | None = None) -> DataFrame:
+def search(queries: DataFrame, index: search_index.Index, k: int = 5, longest: int | None = None) -> DataFrame:
     """First k sections per (query, kind); pairs without a hit take those of the original wording.
 
     `queries` holds query_id, query, original and kind, one row per wanted kind.  Both wordings are
-    scored in one pass over the sections.  `longest` cuts wordings to that many characters, as an online
+    looked up in one pass over the index.  `longest` cuts wordings to that many characters, as an online
     call would; a batch takes them whole.
     """
     cut = lambda wording: (F.col(wording) if longest is None else F.left(wording, F.lit(longest))).alias("query")
@@ -74,8 +44,7 @@ def search(queries: DataFrame, sections: DataFrame, k: int = 5, longest: int | N
         original.select("query_id", F.lit(True).alias("fallback"), cut("original"))
     )
     wanted = queries.select("query_id", F.col("kind").alias("source_kind"))
-    hits = score(texts.distinct(), sections).join(wanted, ["query_id", "source_kind"], "left_semi")
-    best = top_per_key(hits, ["query_id", "fallback", "source_kind"], [F.desc("score"), F.col("section_id")], k)
+    best = search_index.top_k(texts.distinct(), index, k).join(wanted, ["query_id", "source_kind"], "left_semi")
     used = F.min("fallback").over(Window.partitionBy("query_id", "source_kind"))
     return best.withColumn("_used", used).where(F.col("fallback") == F.col("_used")).drop("_used")
 

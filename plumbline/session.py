@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,16 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in `shared_dir` that goes when the application ends."""
+    path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(folder)
+    store.deleteOnExit(folder)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the reliable checkpoint folder so that iterations stay short and
     a lost executor never forces earlier rounds to run again."""
