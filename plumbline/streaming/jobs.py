@@ -1,10 +1,9 @@
-"""Streaming jobs: quality alerts, votes, rate limits, each run to the end of what has arrived."""
+"""Streaming jobs: quality alerts, snapshots, rate limits, quotas, each run to the end of what has arrived."""
 
 from __future__ import annotations
 
 import json
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
-from plumbline.functions import rules
 from plumbline.operators.ranking import top_per_key
-from plumbline.operators.turn_stats import p95_rank, order_statistic, quality_counts, quality_tier
-from plumbline.session import shared_dir
+from plumbline.operators.turn_stats import quality_counts, quality_tier
+from plumbline.session import scratch_dir
 
 # fixed values: alert conditions and the request limit
 DEADLINE_ALERT, ERROR_ALERT, SLOW_MS = 2, 5, 30_000
+LATE_REASONS = ("deadline", "timeout")
 RATE_LIMIT, RATE_SECONDS = 20, 60
 
 
@@ -32,7 +31,7 @@ def run(df: DataFrame, mode: str, name: str) -> DataFrame:
 
     A batch writes its own folder, so a batch repeated after a failure replaces its rows.
     """
-    root = f"{shared_dir(df.sparkSession)}/plumbline/{name}-{uuid.uuid4().hex}"
+    root = scratch_dir(df.sparkSession, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/rows/batch={batch_id}")
@@ -56,80 +55,87 @@ def quality_windows(turns: DataFrame, size: str = "2 hours", slide: str = "1 min
     return counted.select(F.col("w.start").alias("window_start"), "scoped", "bad", quality_tier(F.col("scoped"), F.col("bad")).alias("level"))
 
 
+def _rolling(rows: DataFrame, rule: str, minutes: int, raised) -> DataFrame:
+    """Instants at which a rolling window of the last minutes comes to raise an alert (and did not just before).
+
+    Counts are added up per instant first.  The time line is cut into buckets as long as the window; every bucket also
+    gets the rows of the one before it, so its windows are whole and a burst across a border counts as one.
+    """
+    width = minutes * 60_000_000
+    instants = rows.groupBy(F.unix_micros("created_at").alias("_us")).agg(F.count("*").alias("n"), F.count(F.when(F.col("elapsed_ms") > SLOW_MS, 1)).alias("slow"))
+    bucket = F.floor(F.col("_us") / width)
+    held = instants.select("*", F.explode(F.array(F.struct(bucket.alias("bucket"), F.lit(True).alias("own")), F.struct((bucket + 1).alias("bucket"), F.lit(False).alias("own")))).alias("b"))
+    frame = lambda last: Window.partitionBy("b.bucket").orderBy("_us").rangeBetween(1 - width, last)
+    now = {c: F.sum(c).over(frame(0)) for c in ("n", "slow")}
+    before = {c: F.coalesce(F.sum(c).over(frame(-1)), F.lit(0)) for c in ("n", "slow")}
+    counted = held.select("_us", F.col("b.own").alias("own"), now["n"].alias("n"), raised(now["n"], now["slow"]).alias("_now"), raised(before["n"], before["slow"]).alias("_before"))
+    return counted.where("own AND _now AND NOT _before").select(F.lit(rule).alias("rule"), F.timestamp_micros("_us").alias("raised_at"), "n")
+
+
 def quality_alerts(turns: DataFrame) -> DataFrame:
-    """Windows of a turn table that raise an alert: deadlines, server errors, slow answers."""
-    window = lambda size: F.window("created_at", size)["start"].alias("window_start")
+    """Alerts over turns (created_at, outcome, fallback_reason, elapsed_ms, job_failed) at the moment they are raised.
 
-    def counted(rule: str, rows: DataFrame, size: str, least: int) -> DataFrame:
-        return rows.groupBy(window(size)).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.lit(rule).alias("rule"), "window_start", "n")
+    Two deadlines or time-outs in 15 minutes, five server errors in 5, a p95 of more than 30 seconds in 10, and a failed
+    job with none in the hour before.
+    """
+    at_least = lambda least: lambda n, slow: n >= least
+    # the p95 is the row of rank floor(0.95 n), so it is slow if fewer fast rows than that are there
+    slow_p95 = lambda n, slow: (n > 0) & (n - slow < F.greatest(F.floor(n * 0.95), F.lit(1)))
+    return (
+        _rolling(turns.where(F.col("fallback_reason").isin(*LATE_REASONS)), "deadline", 15, at_least(DEADLINE_ALERT))
+        .unionByName(_rolling(turns.where("outcome = 'error'"), "server_error", 5, at_least(ERROR_ALERT)))
+        .unionByName(_rolling(turns, "slow", 10, slow_p95))
+        .unionByName(_rolling(turns.where("job_failed"), "job_failed", 60, at_least(1)))
+    )
 
-    deadlines = counted("deadline", turns.where("fallback_reason = 'deadline'"), "15 minutes", DEADLINE_ALERT)
-    errors = counted("server_error", turns.where("outcome = 'error'"), "5 minutes", ERROR_ALERT)
-    slow = order_statistic(turns.withColumn("window_start", F.window("created_at", "10 minutes")["start"]), "elapsed_ms", ["window_start"], p95_rank())
-    slow = slow.where(F.col("elapsed_ms") > SLOW_MS).select(F.lit("slow").alias("rule"), "window_start", F.col("elapsed_ms").cast("long").alias("n"))
-    return deadlines.unionByName(errors).unionByName(slow)
 
+# ── snapshots kept by a stream ──────────────────────────────────────────────────────────────────────
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Batches whose snapshot stands whole under the root."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    store = folder.getFileSystem(conf)
+    found = store.listStatus(folder) if store.exists(folder) else []
+    whole = [f.getPath() for f in found if store.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return sorted(int(p.getName().removeprefix("batch=")) for p in whole)
 
-# ── votes ────────────────────────────────────────────────────────────────────────────────────────
-VERDICT = "tip_id int, confirm long, dispute long, flags long, status string, contested boolean, burst_risk boolean, flag_review boolean"
 
+def snapshot(spark: SparkSession, root: str) -> DataFrame | None:
+    """The latest whole snapshot under a root."""
+    versions = _versions(spark, root)
+    return spark.read.parquet(f"{root}/batch={versions[-1]}") if versions else None
 
-def _judge(tip: dict, age_hours: float) -> None:
-    """Apply the verdict rules to a tip's running tallies."""
-    confirm = [net for action, net in tip["ballots"].values() if action == "confirm"]
-    dispute = [net for action, net in tip["ballots"].values() if action == "dispute"]
-    total, flags = len(confirm) + len(dispute), len(tip["flags"])
-    if flags >= rules.FLAGS_TO_HIDE and tip["status"] in ("verifying", "student_approved", "approved"):
-        if len(set(tip["flags"].values())) >= rules.FLAG_NETS_TO_HIDE:
-            tip["status"] = "hidden"
-            return
-        tip["flag_review"] = True
-    share = lambda nets, whole: max(nets.count(n) for n in set(nets)) / whole if nets else 0.0
-    majority = total >= rules.MIN_VOTES and len(dispute) / total > rules.CONTEST_RATIO
-    diverse = len(set(dispute)) >= rules.FLAG_NETS_TO_HIDE and share(dispute, len(dispute)) <= rules.MAX_NET_SHARE
-    tip["contested"] = majority and diverse
-    tip["burst_risk"] = tip["burst_risk"] or (majority and not diverse)
-    if tip["status"] != "verifying" or tip["contested"] or tip["burst_risk"] or flags or age_hours < rules.MIN_PUBLIC_HOURS:
-        return
-    if total < rules.MIN_VOTES or len(confirm) / total < rules.MIN_CONFIRM_RATIO:
-        return
-    if share(confirm + dispute, total) > rules.MAX_NET_SHARE:
-        tip["burst_risk"] = True
-    else:
-        tip["status"] = "student_approved"
-
-
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    tip = json.loads(state.get[0]) if state.exists else {
-        "ballots": {}, "flags": {}, "status": "verifying", "contested": False, "burst_risk": False, "flag_review": False,
-    }
-    events = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for row in events.itertuples(index=False):
-        token = str(row.token)
-        if row.action == "flag":
-            if token in tip["flags"]:
-                continue
-            tip["flags"][token] = int(row.net)
-        elif tip["ballots"].get(token, [None])[0] == row.action:
-            continue
-        else:
-            tip["ballots"][token] = [row.action, int(row.net)]
-        _judge(tip, (row.ts - row.public_from).total_seconds() / 3600)
-    state.update((json.dumps(tip),))
-    sides = [b[0] for b in tip["ballots"].values()]
-    yield pd.DataFrame([{
-        "tip_id": key[0], "confirm": sides.count("confirm"), "dispute": sides.count("dispute"), "flags": len(tip["flags"]),
-        "status": tip["status"], "contested": tip["contested"], "burst_risk": tip["burst_risk"], "flag_review": tip["flag_review"],
-    }])
-
-
-def vote_stream(votes: DataFrame) -> DataFrame:
-    """Votes folded in order per tip; hiding, burst risk and approval stay once reached.
-
-    Needs tip_id, token, net, action, ts, event_id and public_from.  The state of a tip is one entry
-    per voter; a micro-batch is what bounds the rows of a tip that are ordered at once.
+
+def merge_batch(root: str, first: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], keep: int = 2) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch step that writes snapshot `batch=<id>` as the merge of the batch into the snapshot before it.
+
+    A batch that comes again finds its own snapshot or a later one and changes nothing; one that broke off left no _SUCCESS
+    and is written anew.  Snapshots older than the last `keep` are removed.
     """
-    return votes.groupBy("tip_id").applyInPandasWithState(_fold, VERDICT, "tip string", "update", GroupStateTimeout.NoTimeout)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        versions = _versions(spark, root)
+        if versions and versions[-1] >= batch_id:
+            return
+        before = spark.read.parquet(f"{root}/batch={versions[-1]}") if versions else first
+        merge(before, batch).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for old in versions[: len(versions) + 1 - keep] if keep else []:
+            path = jvm.org.apache.hadoop.fs.Path(f"{root}/batch={old}")
+            path.getFileSystem(conf).delete(path, True)
+
+    return step
+
+
+def merge_stream(seen: DataFrame, first: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], root: str) -> DataFrame:
+    """Run a stream of rows into a snapshot to the end of what has arrived, and read the snapshot."""
+    query = (
+        seen.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(merge_batch(f"{root}/rows", first, merge)).start()
+    )
+    query.awaitTermination()
+    made = snapshot(seen.sparkSession, f"{root}/rows")
+    return first if made is None else made
 
 
 # ── rate limit ───────────────────────────────────────────────────────────────────────────────────
