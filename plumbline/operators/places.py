@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions import rules
 from plumbline.functions.text import phone_format, phone_number
+from plumbline.operators.ranking import carried
 
 # fixed values: words that tell units, people and facilities apart
 UNIT_SUFFIX = ("팀", "실", "센터", "소", "과", "관", "단", "원", "처", "부", "국", "회", "학부", "본부", "대학원", "사")
@@ -26,8 +27,6 @@ UNIT_MARK = r"^\s*([￭¤▣■◆●])\s*"
 FLOOR_ROOM = r"(?:\s*(?:지하\s*)?\d{1,2}\s*층)?(?:\s*\d{2,4}\s*호(?:실)?)?"
 BUILDING_SUFFIX = ("관", "도서관", "생활관")
 MAIN_BUILDING = "본관"
-#: Characters after a name in which floor and room are looked for.
-ROOM_CHARS = 64
 LABEL_SHARE, HEAD_BAND, ROW_GAP, MIN_HEADS, MAX_LABEL = 0.8, 5, 2, 3, 20
 
 
@@ -98,14 +97,9 @@ def phonebook_entries(lines: DataFrame) -> DataFrame:
         F.when(c("unit").isNotNull(), "unit").when(header, "header").when(assistant, "assistant").when(person, "person").when(facility, "facility")
     )
     rows = rows.withColumn("kind", kind).where(c("kind").isNotNull())
-    run = Window.partitionBy("book_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("book_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     opens_parent = F.when(c("kind") == "header", stripped).when((c("kind") == "unit") & c("mark").isin("¤", "▣"), c("unit"))
-    rows = rows.select(
-        "*",
-        F.last("unit", ignorenulls=True).over(run).alias("current"),
-        F.last(opens_parent, ignorenulls=True).over(before).alias("parent"),
-    )
+    rows = carried(rows.withColumn("opens", opens_parent), ["book_id"], "line_no", ["unit", "opens"])
+    rows = rows.select("*", F.coalesce("unit", "before_unit").alias("current"), c("before_opens").alias("parent"))
     name = F.when(c("kind") == "unit", c("unit")).when(c("kind") == "facility", c("word")).otherwise(c("current"))
     rows = rows.withColumn("name", name).where(c("name").isNotNull() & (c("kind") != "header"))
     entry = c("kind").isin("unit", "facility")
@@ -151,8 +145,8 @@ def place_phrases(texts: DataFrame, key: str, text: str, buildings: DataFrame, n
     marked = texts.where(F.col(text).contains(last)).select(key, text, F.explode(ends).alias("_end"))
     cut = F.array(*[F.struct((F.col("_end") - size + 1).alias("start"), F.lit(size).alias("size")) for size in sizes])
     cut = marked.select(key, text, F.explode(F.filter(cut, lambda c: c["start"] > 0)).alias("c"))
-    cut = cut.select(key, "c.*", F.substring(F.col(text), F.col("c.start"), F.col("c.size")).alias("_name"), F.substring(F.col(text), F.col("c.start") + F.col("c.size"), F.lit(ROOM_CHARS)).alias("_after"))
-    met = cut.join(named, "_name").withColumn("_phrase", F.concat("_name", F.regexp_extract("_after", "^(" + FLOOR_ROOM + ")", 1)))
+    cut = cut.select(key, "c.*", F.substring(F.col(text), F.col("c.start"), F.col("c.size")).alias("_name"), F.regexp_extract(F.substr(text, F.col("c.start") + F.col("c.size")), "^(" + FLOOR_ROOM + ")", 1).alias("_after"))
+    met = cut.join(named, "_name").withColumn("_phrase", F.concat("_name", "_after"))
     first = met.groupBy(key).agg(F.min_by("_phrase", F.struct("start", (-F.col("size")).alias("size"))).alias("phrase"))
     return texts.select(key).join(first, key, "left").withColumn("phrase", F.coalesce("phrase", F.lit("")))
 
@@ -160,11 +154,9 @@ def place_phrases(texts: DataFrame, key: str, text: str, buildings: DataFrame, n
 def unit_blocks(lines: DataFrame, units: DataFrame, pattern: str) -> DataFrame:
     """"위치" and "전화" lines give their next line's value to the unit last named before them."""
     rows = lines.where(~F.col("line").contains("○")).join(units.select(F.col("unit").alias("line"), F.lit(True).alias("is_unit")), "line", "left")
-    by_page = Window.partitionBy("page_id").orderBy("line_no")
     follow = lines.select("page_id", (F.col("line_no") - 1).alias("line_no"), F.col("line").alias("following"))
-    placed = rows.join(follow, ["page_id", "line_no"], "left").select(
-        "*", F.last(F.when(F.col("is_unit"), F.col("line")), ignorenulls=True).over(by_page.rowsBetween(Window.unboundedPreceding, 0)).alias("unit")
-    )
+    placed = carried(rows.join(follow, ["page_id", "line_no"], "left").withColumn("named", F.when(F.col("is_unit"), F.col("line"))), ["page_id"], "line_no", ["named"])
+    placed = placed.withColumn("unit", F.coalesce("named", "before_named"))
     value = F.trim(F.regexp_replace(F.coalesce("following", F.lit("")), "^[: ]+", ""))
     placed = placed.where(F.col("unit").isNotNull() & F.col("is_unit").isNull()).withColumn("value", value)
     place = F.nullif(F.regexp_extract("value", f"({pattern})", 1), F.lit(""))
@@ -205,32 +197,35 @@ def pair_lines(lines: DataFrame, units: DataFrame, pattern: str) -> DataFrame:
 
 
 def menu_grid(fragments: DataFrame, heads_pattern: str = r"^(\d{1,2})월\s*(\d{1,2})일") -> DataFrame:
-    """Positioned fragments (page_id, x, y, text) of a weekly sheet to its cells.
+    """Positioned fragments (page_id, pos, x, y, text) of a weekly sheet to its cells.
 
-    Day heads lie within five units of the top one; columns part at the midpoints between heads;
-    texts left of the first head are row labels; rows closer than two units are one row, and a row
-    takes the label nearest to it.
+    `pos` is the order of the fragments in the sheet.  There have to be three day heads; those within five units of the top one
+    count, and columns part at the midpoints between them; texts left of the first head are row labels; a height within two
+    units of a row is part of it, and a row takes the label nearest to it.
     """
     c = F.col
-    heads = fragments.where(c("text").rlike(heads_pattern)).groupBy("page_id", "x", "text").agg(F.max("y").alias("y"))
+    heads = fragments.where(c("text").rlike(heads_pattern)).groupBy("page_id", "x", "y", "text").agg(F.count("*").alias("n"))
     top = Window.partitionBy("page_id")
-    heads = heads.withColumn("head_y", F.max("y").over(top)).where(F.abs(c("y") - c("head_y")) < HEAD_BAND)
+    heads = heads.withColumn("head_y", F.max("y").over(top)).withColumn("n", F.sum("n").over(top)).where((c("n") >= MIN_HEADS) & (F.abs(c("y") - c("head_y")) < HEAD_BAND))
+    heads = heads.groupBy("page_id", "x", "text").agg(F.max("head_y").alias("head_y"))
     by_x = Window.partitionBy("page_id").orderBy("x")
     heads = heads.select(
-        "page_id", "x", "head_y", F.regexp_extract("text", heads_pattern, 0).alias("day"), F.count("*").over(top).alias("n"),
+        "page_id", "x", "head_y", F.regexp_extract("text", heads_pattern, 0).alias("day"),
         F.min("x").over(top).alias("x0"),
         F.coalesce((F.lag("x").over(by_x) + c("x")) / 2, F.lit(float("-inf"))).alias("low"),
         F.coalesce((F.lead("x").over(by_x) + c("x")) / 2, F.lit(float("inf"))).alias("high"),
-    ).where(c("n") >= MIN_HEADS)
+    )
     frame = heads.select("page_id", "head_y", (c("x0") * LABEL_SHARE).alias("label_x")).distinct()
     body = fragments.join(frame, "page_id").where(c("y") < c("head_y") - 3)
     labels = body.where((c("x") < c("label_x")) & (c("text") != "구분") & (F.length("text") <= MAX_LABEL)).select("page_id", c("y").alias("label_y"), c("text").alias("label")).distinct()
     cells = body.where((c("x") >= c("label_x")) & ~c("text").isin(*rules.PLACEHOLDERS) & ~c("text").startswith("*") & ~c("text").startswith("<"))
-    # Distinct heights of a sheet are few, so rows are told apart over them and not over the fragments.
-    heights = cells.select("page_id", "y").distinct()
-    by_y = Window.partitionBy("page_id").orderBy("y")
-    starts = F.when(c("y") - F.lag("y").over(by_y) <= ROW_GAP, 0).otherwise(1)
-    heights = heights.withColumn("_s", starts).withColumn("row", F.sum("_s").over(by_y)).withColumn("row_y", F.min("y").over(Window.partitionBy("page_id", "row")))
+    # Distinct heights of a sheet are few, so rows are told apart over them and not over the fragments: a height within two
+    # units of an earlier row (in the order of the sheet) belongs to the first such row, else it opens one under its rounded height.
+    first_seen = cells.groupBy("page_id", "y").agg(F.min("pos").alias("pos"))
+    listed = first_seen.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", "y"))).alias("ys"))
+    known = lambda rows, y: F.try_element_at(F.filter(rows, lambda r: F.abs(r["row_y"] - y) <= ROW_GAP), F.lit(1))["row_y"]
+    step = lambda rows, h: F.concat(rows, F.array(F.struct(h["y"].alias("y"), F.coalesce(known(rows, h["y"]), F.bround(h["y"])).alias("row_y"))))
+    heights = listed.select("page_id", F.explode(F.aggregate("ys", F.array().cast("array<struct<y:double,row_y:double>>"), step)).alias("h")).select("page_id", "h.*")
     nearest = (
         heights.select("page_id", "row_y").distinct().join(labels, "page_id", "left")
         .groupBy("page_id", "row_y").agg(F.min_by("label", F.struct(F.abs(c("label_y") - c("row_y")), "label_y")).alias("label"))

@@ -36,6 +36,27 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) ->
     return df.withColumn("place", rank).where(F.col("place") <= n)
 
 
+def carried(rows: DataFrame, keys: list[str], order: str, values: list[str], block: int = 1_000, levels: int = 2) -> DataFrame:
+    """Add `before_<value>`: the last value that is not null strictly before each row of its key.
+
+    `order` is a whole number, unique per key.  Rows are cut into blocks of that many orders; the last values of every
+    block come from an aggregate, are carried over the blocks in the same way (blocks of blocks), and only
+    then inside the blocks.  No window holds more than a block, but the topmost, which has a row per block**levels orders.
+    """
+    by = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    if not levels:
+        return rows.withColumns({f"before_{v}": F.last(v, ignorenulls=True).over(by) for v in values})
+    part = f"_block{levels}"
+    placed = rows.withColumn(part, F.floor(F.col(order) / block))
+    last = [F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(v) for v in values]
+    tails = carried(placed.groupBy(*keys, part).agg(*last), keys, part, values, block, levels - 1)
+    tails = tails.select(*keys, part, *[F.col(f"before_{v}").alias(f"_far_{v}") for v in values])
+    inside = Window.partitionBy(*keys, part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    near = placed.withColumns({f"_near_{v}": F.last(v, ignorenulls=True).over(inside) for v in values}).join(tails, [*keys, part])
+    near = near.withColumns({f"before_{v}": F.coalesce(f"_near_{v}", f"_far_{v}") for v in values})
+    return near.drop(part, *[f"_near_{v}" for v in values], *[f"_far_{v}" for v in values])
+
+
 def with_previous(df: DataFrame, keys: list[str], order: list[str], bucket: Column, n: int, payload: Column) -> DataFrame:
     """Add `previous`, the payloads of the n rows before each row of its key, oldest first.
 

@@ -29,7 +29,35 @@ def phonebook_lines(spark, d):
     )
 
 
-@query("phonebook_entries")
+view("phone_lines", """
+SELECT *, ['가람', '나래', '다솜', '라온', '마루', '바다'][s_suppkey % 6 + 1] || (s_suppkey % 50) AS block, '055-249-' || lpad((s_suppkey % 9000 + 1000)::VARCHAR, 4, '0') AS n FROM supplier
+""")
+view("phone_kinds", """
+SELECT s_nationkey AS book_id, s_suppkey * 10 AS line_no, 'header' AS kind, NULL AS unit, NULL AS facility, block || '산학협력단' AS opens, NULL AS phone, NULL AS fax FROM phone_lines WHERE s_suppkey % 10 = 0
+UNION ALL SELECT s_nationkey, s_suppkey * 10 + 1, 'unit', block || '지원팀', NULL, NULL, n, '055-249-1111' FROM phone_lines
+UNION ALL SELECT s_nationkey, s_suppkey * 10 + 2, 'person', NULL, NULL, NULL, '055-249-2345', NULL FROM phone_lines
+UNION ALL SELECT s_nationkey, s_suppkey * 10 + 3, 'unit', block || '상담실', NULL, NULL, NULL, NULL FROM phone_lines
+UNION ALL SELECT s_nationkey, s_suppkey * 10 + 4, CASE s_suppkey % 3 WHEN 0 THEN 'assistant' ELSE 'person' END, NULL, NULL, NULL, CASE s_suppkey % 3 WHEN 0 THEN '055-249-4188' ELSE '055-249-6371' END, NULL FROM phone_lines WHERE s_suppkey % 3 < 2
+UNION ALL SELECT s_nationkey, s_suppkey * 10 + 5, 'facility', NULL, block || '행복도서관', NULL, '055-249-5938', NULL FROM phone_lines
+UNION ALL SELECT s_nationkey, s_suppkey * 10 + 6, 'unit', block || '연구소', NULL, block || '연구소', '055-249-8462', NULL FROM phone_lines
+""", ("phone_lines",))
+
+
+@query("phonebook_entries", """
+WITH placed AS (
+ SELECT *, last_value(unit IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS current, last_value(opens IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above
+ FROM phone_kinds WINDOW w AS (PARTITION BY book_id ORDER BY line_no)
+), named AS (
+ SELECT *, coalesce(unit, facility, current) AS name, kind IN ('unit', 'facility') AS entry, CASE kind WHEN 'facility' THEN coalesce(current, above) ELSE above END AS parent FROM placed WHERE kind <> 'header'
+), found AS (
+ SELECT book_id, name, arg_min(kind, line_no) FILTER (entry) AS kind, arg_min(coalesce(parent, ''), line_no) FILTER (entry) AS parent, arg_min(coalesce(phone, ''), line_no) FILTER (entry) AS own, arg_min(coalesce(fax, ''), line_no) FILTER (entry) AS fax,
+  arg_min(phone, line_no) FILTER (kind = 'assistant') AS by_assistant, arg_min(phone, line_no) FILTER (kind = 'person') AS by_person
+ FROM named WHERE name IS NOT NULL GROUP BY 1, 2
+)
+SELECT book_id, name, nullif(parent, '') AS parent, CASE WHEN own <> '' THEN own ELSE coalesce(by_assistant, by_person) END AS phone, nullif(fax, '') AS fax,
+ CASE WHEN kind = 'facility' THEN 'facility_line' WHEN own <> '' THEN 'unit_line' WHEN by_assistant IS NOT NULL THEN 'assistant_line' WHEN by_person IS NOT NULL THEN 'first_listed' ELSE 'unit_line' END AS basis, coalesce(by_assistant, '') AS phones
+FROM found WHERE kind IS NOT NULL
+""", "phone_kinds")
 def phonebook_entries(spark, d):
     return pl.phonebook_entries(phonebook_lines(spark, d)).withColumn("phones", F.array_join("phones", ","))
 
@@ -110,16 +138,16 @@ def menu_fragments(spark, d):
     """Fragments of one sheet per supplier: day heads, row labels and dishes."""
     li = inputs.table(spark, d, "lineitem").join(inputs.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     page, day = F.col("l_suppkey").alias("page_id"), F.col("l_linenumber")
-    dishes = li.select(page, (day * 100 + F.col("l_partkey") % 7).cast("double").alias("x"), (F.floor("l_quantity") * 12 + F.col("l_partkey") % 2).cast("double").alias("y"), F.col("p_name").alias("text"))
-    heads = li.select(page, (day * 100 + 3).cast("double").alias("x"), F.lit(700.0).alias("y"), F.concat(F.lit("3월 "), day.cast("string"), F.lit("일")).alias("text")).distinct()
+    dishes = li.select(page, (day * 100 + F.col("l_partkey") % 7).cast("double").alias("x"), (F.floor("l_quantity") * 12 + F.col("l_partkey") % 2).cast("double").alias("y"), F.col("p_name").alias("text"), (F.col("l_orderkey") * 10 + day).alias("pos"))
+    heads = li.select(page, (day * 100 + 3).cast("double").alias("x"), F.lit(700.0).alias("y"), F.concat(F.lit("3월 "), day.cast("string"), F.lit("일")).alias("text")).distinct().withColumn("pos", F.lit(0).cast("long"))
     rows = F.array(*[F.struct(F.lit(20.0).alias("x"), F.lit(y).alias("y"), F.lit(t).alias("text")) for y, t in ((120.0, "석식"), (305.0, "중식"), (500.0, "조식"))])
-    labels = li.select(page).distinct().select("page_id", F.explode(rows).alias("f")).select("page_id", "f.*")
+    labels = li.select(page).distinct().select("page_id", F.explode(rows).alias("f")).select("page_id", "f.*").withColumn("pos", F.lit(0).cast("long"))
     return dishes.unionByName(heads).unionByName(labels)
 
 
 @query("menu_grid", """
 SELECT l_suppkey AS page_id, '3월 ' || l_linenumber || '일' AS day, CASE WHEN ry - 120 <= 305 - ry THEN '석식' WHEN ry < 305 OR ry - 305 <= 500 - ry THEN '중식' ELSE '조식' END AS label, ry AS row_y, x, p_name AS text
-FROM (SELECT *, cast(l_linenumber * 100 + l_partkey % 7 AS DOUBLE) AS x, min(cast(q * 12 + l_partkey % 2 AS DOUBLE)) OVER (PARTITION BY l_suppkey, q) AS ry FROM (SELECT *, cast(floor(l_quantity) AS INTEGER) AS q FROM lineitem JOIN part ON p_partkey = l_partkey))
+FROM (SELECT *, cast(l_linenumber * 100 + l_partkey % 7 AS DOUBLE) AS x, first_value(cast(q * 12 + l_partkey % 2 AS DOUBLE)) OVER (PARTITION BY l_suppkey, q ORDER BY l_orderkey, l_linenumber) AS ry FROM (SELECT *, cast(floor(l_quantity) AS INTEGER) AS q FROM lineitem JOIN part ON p_partkey = l_partkey))
 """)
 def menu_grid(spark, d):
     return pl.menu_grid(menu_fragments(spark, d))
