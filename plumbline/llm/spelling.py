@@ -3,7 +3,7 @@
 Two words one edit apart agree on two of three thirds of the shorter one (counted from the front before the
 edit and from the back behind it).  So words meet by length of the shorter word, the pair of thirds and its letters;
 a word of n letters meets words of n - 1, n and n + 1.  Within such a group an index holds, for every position and
-letter, the set of the words that have it there, as bits.  A word is looked up with word-parallel recurrences:
+letter, the set of the words that have it there, as the bits of one number.  A word is looked up with word-parallel recurrences:
 the set of words without an error so far and the set with exactly one (a replaced letter at the same place, an
 inserted one with the place shifted by one) are carried along its letters.  A deleted letter is the other word's inserted one.
 
@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,41 +64,40 @@ def _keys(word: Column) -> Column:
 
 
 class Index:
-    """Bit-sliced position index of words of one length."""
+    """Bit-sliced position index of words of one length; a set of words is one whole number, word i its bit i."""
 
     def __init__(self, words: list[str]) -> None:
-        self.size, self.count = len(words[0]), len(words)
-        codes = np.array([list(map(ord, w)) for w in words], np.int32)
-        self.lanes = -(-self.count // 64)
-        self.at: list[dict[int, np.ndarray]] = []
-        for i in range(self.size):
-            letters, held = np.unique(codes[:, i], return_inverse=True)
-            bits = np.zeros((len(letters), self.lanes * 64), np.uint8)
-            bits[held, np.arange(self.count)] = 1
-            lanes = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-            self.at.append(dict(zip(letters.tolist(), lanes, strict=True)))
-        self.none = np.zeros(self.lanes, np.uint64)
-        every = np.zeros(self.lanes * 64, np.uint8)
-        every[: self.count] = 1
-        self.every = np.packbits(every, bitorder="little").view(np.uint64)
-
-    def near(self, word: str) -> np.ndarray:
+        self.size, self.every = len(words[0]), (1 << len(words)) - 1
+        self.at: list[dict[str, int]] = [{} for _ in range(self.size)]
+        for i, word in enumerate(words):
+            bit = 1 << i
+            for held, letter in zip(self.at, word, strict=True):
+                held[letter] = held.get(letter, 0) | bit
+
+    def near(self, word: str) -> list[int]:
         """Numbers of the words that are one replaced letter away (same length) or have one inserted letter more."""
-        codes = list(map(ord, word))
-        exact, at, none = self.every, self.at, self.none
+        exact = self.every
         if self.size == len(word):
-            one = none
-            for i, c in enumerate(codes):
-                here = at[i].get(c, none)
+            one = 0
+            for held, letter in zip(self.at, word, strict=True):
+                here = held.get(letter, 0)
                 one = (one & here) | (exact & ~here)
-                exact = exact & here
+                exact &= here
+                if not one and not exact:
+                    break
         else:
             one = exact  # the letter more stands in front
-            for i, c in enumerate(codes):
-                exact = exact & at[i].get(c, none)
-                one = (one & at[i + 1].get(c, none)) | exact  # it stood before, or stands right here
-        bits = np.unpackbits(one.view(np.uint8), bitorder="little")
-        return np.flatnonzero(bits)
+            for held, shifted, letter in zip(self.at, self.at[1:], word, strict=False):
+                exact &= held.get(letter, 0)
+                one = (one & shifted.get(letter, 0)) | exact  # it stood before, or stands right here
+                if not one:
+                    break
+        found = []
+        while one:
+            bit = one & -one
+            found.append(bit.bit_length() - 1)
+            one ^= bit
+        return found
 
 
 def _met_before(a: str, b: str, kind: int) -> bool:
@@ -130,7 +128,7 @@ def _solve(size: int, kind: int, words: list[str], n: list[int], looked: list[bo
             index = Index([words[i] for i in block])
             for q in queries:
                 word = words[q]
-                for j in index.near(word).tolist():
+                for j in index.near(word):
                     other = block[j]
                     if (side is short and words[other] <= word) or _met_before(word, words[other], kind):
                         continue
