@@ -2,43 +2,79 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import rules
 
 
-# blocks of compatibility forms that occur in extracted text: superscripts, letterlike, numbers, circled, squared units, ligatures, widths
-_COMPAT_BLOCKS = ((0xAA, 0xBE), (0x2070, 0x209C), (0x2100, 0x214F), (0x2150, 0x218B), (0x2460, 0x24FF), (0x3200, 0x33FF), (0xFB00, 0xFB06), (0xFF01, 0xFF5E))
+def _inert_ranges(least: int = 48) -> list[tuple[int, int]]:
+    """Long runs of code points that NFKC leaves alone whatever stands beside them: the first few, then the longest."""
+    second = set()
+    for c in range(sys.maxunicode + 1):
+        parts = unicodedata.decomposition(chr(c))
+        if parts and not parts.startswith("<") and " " in parts:
+            second.add(int(parts.split()[1], 16))
+    second.update(range(0x1161, 0x1176), range(0x11A8, 0x11C3))  # vowels and finals of decomposed Hangul
+    runs, start = [], None
+    for c in range(0x10000):
+        ch = chr(c)
+        inert = not 0xD800 <= c <= 0xDFFF and c not in second and not unicodedata.combining(ch) and unicodedata.is_normalized("NFKC", ch)
+        if inert and start is None:
+            start = c
+        if not inert and start is not None:
+            runs.append((start, c - 1))
+            start = None
+    long = [r for r in runs if r[1] - r[0] + 1 >= least]
+    return list(dict.fromkeys(long[:4] + sorted(long, key=lambda r: r[0] - r[1])[:6]))
 
 
-def _compat_forms() -> dict[str, str]:
-    forms = {chr(c): unicodedata.normalize("NFKC", chr(c)) for low, high in _COMPAT_BLOCKS for c in range(low, high + 1)}
-    return {a: b for a, b in forms.items() if a != b}
+#: A character outside the common inert runs; texts without any are in normal form.
+_UNCOMMON = "[^" + "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in _inert_ranges()) + "]"
 
 
-_SINGLE = {a: b for a, b in _compat_forms().items() if len(b) == 1}
-_SPELLED = {a: b for a, b in _compat_forms().items() if len(b) > 1}
-_ANY_COMPAT = "[" + "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in _COMPAT_BLOCKS) + "]"
+@F.pandas_udf(T.StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+# declared so that the plan computes a folded text once, in front of the expressions and lambdas that use it
+_nfkc = _nfkc.asNondeterministic()
 
 
 def fold_compat(text) -> Column:
-    """Compatibility forms in their plain spelling: full-width characters, circled digits, squared units, ligatures.
+    """The text in compatibility normal form (NFKC), exactly.
 
-    Rows without any are only looked at.  A form that spells several characters is looked up letter by letter.
+    ASCII texts, and texts of characters from the common runs that no neighbour changes (Hangul syllables, Han, letters), are in
+    that form already; only the others are handed to Arrow, the rest of the batch travels as nulls.
     """
     column = F.col(text) if isinstance(text, str) else text
-    single = F.translate(column, "".join(_SINGLE), "".join(_SINGLE.values()))
-    table = F.create_map(*[F.lit(x) for pair in _SPELLED.items() for x in pair])
-    spelled = F.array_join(F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    return F.when(column.rlike(_ANY_COMPAT), spelled).otherwise(column)
+    other = (F.length(column) != F.octet_length(column)) & column.rlike(_UNCOMMON)
+    return F.coalesce(_nfkc(F.when(other, column)), column)
+
+
+def letters_digits(folded: Column) -> Column:
+    return F.lower(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", ""))
 
 
 def norm_compact(text) -> Column:
     """Letters and digits only, lower case (the form quotes are compared in), compatibility forms folded."""
-    return F.lower(F.regexp_replace(fold_compat(text), r"[^\p{L}\p{N}]+", ""))
+    return letters_digits(fold_compat(text))
+
+
+#: Stands between texts that are folded together; no form composes over it.
+_BREAK = "\x1f"
+
+
+def norm_compact_all(texts: Column) -> Column:
+    """`norm_compact` of every text of an array, folded in one go."""
+    folded = F.split(fold_compat(F.array_join(texts, _BREAK)), _BREAK)
+    return F.when(F.size(texts) == 0, F.array().cast("array<string>")).otherwise(F.transform(folded, letters_digits))
 
 
 def norm_spaces(text) -> Column:

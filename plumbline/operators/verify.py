@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import rules
 from plumbline.functions.text import (
-    date_variants, narrow_flip, no_spaces, norm_compact, polarity, report_values, risky_mismatch, table_variants,
+    date_variants, letters_digits, narrow_flip, no_spaces, norm_compact, norm_compact_all, polarity, report_values, risky_mismatch, table_variants,
     unit_numbers, units_of,
 )
 
@@ -39,8 +39,7 @@ def with_quote_check(rows: DataFrame) -> DataFrame:
     Quotes and cites pair up by position; when their counts differ, every quote has to be in the
     union of the cited texts.  `_texts` holds the normalised cited texts.
     """
-    normal = lambda c: F.transform(c, lambda x: norm_compact(x))
-    rows = rows.withColumn("_texts", normal("texts")).withColumn("_quotes", normal("quotes"))
+    rows = rows.withColumn("_texts", norm_compact_all(F.col("texts"))).withColumn("_quotes", norm_compact_all(F.col("quotes")))
     paired = F.size("quotes") == F.size("texts")
     rows = rows.withColumn("_union", F.when(~paired, F.array_join("_texts", "")))
 
@@ -59,7 +58,7 @@ def with_number_check(rows: DataFrame, grade: Column | None = None) -> DataFrame
     spellings of their dates and table values; an expansion adds text, so it never loses a match.
     `grade` is a stated school year, allowed as a number.
     """
-    rows = rows.withColumn("_numbers", F.transform(unit_numbers(F.col("text")), lambda n: norm_compact(n)))
+    rows = rows.withColumn("_numbers", F.transform(unit_numbers(F.col("text")), letters_digits))
     plain = F.forall("_numbers", lambda n: F.exists("_texts", lambda t: F.contains(t, n)))
     if grade is not None:
         rows = rows.withColumn("_numbers", F.filter("_numbers", lambda n: n != F.concat(grade, F.lit("학년"))))

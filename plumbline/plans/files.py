@@ -41,7 +41,7 @@ def _office_bytes(texts: pd.Series, kinds: pd.Series) -> pd.Series:
         name, tag = ("word/document.xml", "w:p") if kind == "docx" else ("Contents/section0.xml", "hp:p")
         with zipfile.ZipFile(out, "w") as archive:
             body = "".join(f"<{tag}><t>{line}</t></{tag}>" for line in text.replace("<", " ").replace("&", " ").split("\n"))
-            archive.writestr(name, body)
+            archive.writestr(zipfile.ZipInfo(name), body)  # without the time of day
         return out.getvalue()
 
     return pd.Series([pack(t, k) for t, k in zip(texts, kinds, strict=True)])
@@ -61,11 +61,19 @@ def documents_as_files(spark, d):
 
 
 @query("binary_files", """
-SELECT doc_id, ['pdf', 'hwp', 'docx', 'hwpx', 'txt', 'md', '', ''][doc_id % 8 + 1] AS format, CASE WHEN doc_id % 8 IN (4, 5) THEN sha256(text) ELSE '' END AS hash FROM documents
+SELECT doc_id, ['pdf', 'hwp', 'docx', 'hwpx', 'txt', 'md', '', ''][doc_id % 8 + 1] AS format, CASE WHEN doc_id % 8 IN (4, 5) THEN sha256(text) WHEN doc_id % 8 = 0 THEN sha256(unhex('255044462D') || encode(text)) WHEN doc_id % 8 = 1 THEN sha256(unhex('"""+files.OLE_MAGIC+"""') || encode(text)) ELSE '' END AS hash FROM documents
 """)
 def binary_files(spark, d):
     rows = documents_as_files(spark, d).withColumn("format", F.coalesce(files.classify(F.col("name"), F.col("content")), F.lit("")))
-    return rows.select("doc_id", "format", F.when(F.col("doc_id") % 8 >= 4, F.when(F.col("format") != "", F.sha2("content", 256)).otherwise("")).otherwise("").alias("hash"))
+    packed = F.col("format").isin("docx", "hwpx")  # SQL cannot pack them; office_files has their hashes
+    return rows.select("doc_id", "format", F.when(packed | (F.col("format") == ""), "").otherwise(F.sha2("content", 256)).alias("hash"))
+
+
+@query("office_files")
+def office_files(spark, d):
+    """Packed documents with the hash of their bytes."""
+    rows = documents_as_files(spark, d).withColumn("format", files.classify(F.col("name"), F.col("content")))
+    return rows.where(F.col("format").isin("docx", "hwpx")).select("doc_id", "format", F.sha2("content", 256).alias("hash"))
 
 
 @query("office_text", """

@@ -57,14 +57,15 @@ _MENU = ("장학 안내", "교직원 채용", "졸업 요건", "총장실 소식
 @query("student_page_class", f"""
 SELECT page_id, CASE WHEN regexp_matches(t, {sql_text('|'.join(rules.EXCLUDE_WORDS))}) THEN 'excluded' WHEN regexp_matches(t, {sql_text('|'.join(rules.STUDENT_WORDS))}) THEN 'student' ELSE 'other' END AS class,
   array_to_string(list_slice(list_filter({sql_array(rules.STUDENT_WORDS)}, lambda w: contains(t, w)), 1, 5), ',') AS words
-FROM (SELECT page_id, {sql_array(_MENU)}[page_id % 6 + 1] || ' ' || url AS t FROM pages)
+FROM (SELECT page_id, {sql_array(_MENU)}[page_id % 6 + 1] || coalesce(' ' || nullif(left(trim(regexp_extract(html, '<title>([^<]*)', 1)), 80), ''), '') AS t FROM pages)
 """)
 def student_page_class(spark, d):
-    rows = inputs.wide(spark, d, "pages").select("page_id", inputs.pick(_MENU, F.col("page_id") % 6).alias("link"), "url")
-    joined = F.concat_ws(" ", "link", "url")
+    title = F.nullif(F.left(F.trim(F.regexp_extract("html", "<title>([^<]*)", 1)), F.lit(80)), F.lit(""))
+    rows = inputs.wide(spark, d, "pages").select("page_id", inputs.pick(_MENU, F.col("page_id") % 6).alias("link"), title.alias("title"))
+    joined = F.concat_ws(" ", "link", "title")
     return rows.select(
         "page_id",
-        ops.page_class(F.col("link"), F.col("url")).alias("class"),
+        ops.page_class(F.col("link"), F.col("title")).alias("class"),
         F.array_join(F.slice(ops.matched_words(joined), 1, 5), ",").alias("words"),
     )
 
