@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import pages as pg
 from plumbline.plans import inputs
 from plumbline.registry import query, view
-from plumbline.sources.html import html_tokens
+from plumbline.sources.html import DROP_TAGS, html_tokens, register_page_tokens
 
 HOST = "www.campus.example"
 _EXTRA = (
@@ -35,6 +35,29 @@ def page_sections(spark, d):
     return pg.page_sections(tokens(spark, d))
 
 
+@query("page_sections_sql")
+def page_sections_sql(spark, d):
+    """The same sections with the tokens from a table function of SQL."""
+    register_page_tokens(spark)
+    pages(spark, d).createOrReplaceTempView("page_markup")
+    return pg.page_sections(spark.sql("SELECT page_id, t.* FROM page_markup, LATERAL page_tokens(url, html) t"))
+
+
+_DROPPED = "|".join(f"<{t}[ >].*?</{t}>" for t in DROP_TAGS)
+
+
+@query("page_headings", f"""
+SELECT page_id, kind, count(*) AS n FROM (SELECT page_id, unnest(['heading', 'heading']) AS kind FROM pages
+ UNION ALL SELECT page_id, unnest(list_transform(regexp_extract_all(regexp_replace(html, '(?s){_DROPPED}', '', 'g'), '<h[1-3][ >]'), lambda h: 'heading')) FROM pages
+ UNION ALL SELECT page_id, 'title' FROM pages WHERE contains(html, '<title>')) GROUP BY ALL
+""")
+def page_headings(spark, d):
+    """Titles and headings of every page, counted in SQL over the table function."""
+    register_page_tokens(spark)
+    pages(spark, d).createOrReplaceTempView("page_markup")
+    return spark.sql("SELECT page_id, kind, count(*) AS n FROM page_markup, LATERAL page_tokens(url, html) t WHERE kind IN ('heading', 'title') GROUP BY page_id, kind")
+
+
 @query("section_links", f"""
 SELECT page_id, 2 AS n, place, text, url FROM (SELECT page_id, unnest([
   {{'place': 1, 'text': '첨부 ' || page_id, 'url': 'https://{HOST}/files/' || page_id || '.pdf'}}, {{'place': 2, 'text': '다시', 'url': 'https://{HOST}/files/' || page_id || '.pdf'}},

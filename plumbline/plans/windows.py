@@ -156,7 +156,14 @@ def week_segments(spark, d):
     return week_bars(spark, d).select("cal_id", F.col("week").cast("string").alias("week"), "c0", "c1", (F.col("c1") - F.col("c0") + 1).alias("days"))
 
 
-@query("interval_lanes")
+@query("interval_lanes", """
+WITH RECURSIVE bars AS (SELECT *, row_number() OVER (PARTITION BY week ORDER BY c0, start_date, last_day, title, cal_id) AS n FROM week_bars),
+placed AS (
+ SELECT cal_id, week, c0, c1, n, 0 AS lane, [c1] AS ends FROM bars WHERE n = 1
+ UNION ALL SELECT cal_id, week, c0, c1, n, lane, CASE WHEN lane = len(ends) THEN list_append(ends, c1) ELSE list_concat(list_append(ends[:lane], c1), ends[lane + 2:]) END FROM (
+  SELECT b.cal_id, b.week, b.c0, b.c1, b.n, p.ends, coalesce(list_position(list_transform(p.ends, lambda e: e < b.c0), true), len(p.ends) + 1) - 1 AS lane FROM placed p JOIN bars b ON b.week = p.week AND b.n = p.n + 1))
+SELECT cal_id, strftime(week, '%Y-%m-%d') AS week, c0, c1, cast(lane AS BIGINT) AS lane FROM placed
+""", "week_bars")
 def interval_lanes(spark, d):
     lanes = rk.interval_lanes(week_bars(spark, d), "week", "c0", "c1", ["start_date", "last_day", "title", "cal_id"])
     return lanes.select("cal_id", F.col("week").cast("string").alias("week"), "c0", "c1", "lane")

@@ -11,7 +11,8 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # fixed values: where the content of a page is looked for, and what is never content
 ROOT_TAGS = ("main", "article", "body")
@@ -109,8 +110,22 @@ class _Tokens(HTMLParser):
             self._add("text", text)
 
 
+_NAMES = ("pos", "inside", "kind", "text", "href", "tbl", "r", "c", "rs", "cs")
+HEADINGS = ("h1", "h2", "h3")
+
+
+def _page_rows(url: str | None, html: str | None, headings: tuple[str, ...], drop: tuple[str, ...]) -> list[list]:
+    """Token rows of one page, `inside` told by its best content element."""
+    parser = _Tokens(url or "", headings, drop)
+    parser.feed(html or "")
+    parser.close()
+    at = _NAMES.index("inside")
+    best = min((row[at] for row in parser.rows if row[at] >= 0), default=None)
+    return [[*row[:at], row[at] == best, *row[at + 1 :]] for row in parser.rows]
+
+
 def html_tokens(
-    pages: DataFrame, headings: tuple[str, ...] = ("h1", "h2", "h3"), drop: tuple[str, ...] = DROP_TAGS
+    pages: DataFrame, headings: tuple[str, ...] = HEADINGS, drop: tuple[str, ...] = DROP_TAGS
 ) -> DataFrame:
     """Tokens of every page of (page_id, url, html); nothing inside the `drop` elements.
 
@@ -118,16 +133,22 @@ def html_tokens(
     """
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["pos", "inside", "kind", "text", "href", "tbl", "r", "c", "rs", "cs"]
         for batch in batches:
-            rows: list[list] = []
-            for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"], strict=True):
-                parser = _Tokens(url or "", headings, drop)
-                parser.feed(html or "")
-                parser.close()
-                at = names.index("inside")
-                best = min((row[at] for row in parser.rows if row[at] >= 0), default=None)
-                rows += [[page_id, *row[:at], row[at] == best, *row[at + 1 :]] for row in parser.rows]
-            yield pd.DataFrame(rows, columns=["page_id", *names])
+            pages_of = zip(batch["page_id"], batch["url"], batch["html"], strict=True)
+            rows = [[page_id, *row] for page_id, url, html in pages_of for row in _page_rows(url, html, headings, drop)]
+            yield pd.DataFrame(rows, columns=["page_id", *_NAMES])
 
     return pages.select("page_id", "url", "html").mapInPandas(tokens, TOKEN_SCHEMA)
+
+
+class _PageTokens:
+    """Body of the table function `page_tokens(url, html)`."""
+
+    def eval(self, url: str, html: str) -> Iterator[tuple]:
+        for row in _page_rows(url, html, HEADINGS, DROP_TAGS):
+            yield tuple(row)
+
+
+def register_page_tokens(spark: SparkSession, name: str = "page_tokens") -> None:
+    """Make the tokens of a page a table function of SQL: `FROM pages, LATERAL page_tokens(url, html)`."""
+    spark.udtf.register(name, F.udtf(_PageTokens, returnType=TOKEN_SCHEMA.removeprefix("page_id long, ")))

@@ -11,7 +11,7 @@ D = "/root/testdata/sf0.001"
 BATCH = [n for n, q in CATALOG.items() if not q.build.__module__.endswith("streams") and n not in ("interval_lanes", "prune_spurs", "shortest_paths", "link_frontier", "nearest_node", "snap_to_segment", "routes", "crawl_order", "crawl_candidates")]
 PYTHON = {
     "keyed_hash", "normalize_lines_nfkc", "page_sections", "section_links", "attachment_links", "html_table_rows", "registry_rows",
-    "calendar_rows", "page_links", "office_files",
+    "calendar_rows", "page_links", "office_files", "page_sections_sql", "page_headings",
     # compatibility folding of the rows that need it
     "norm_text", "screen_text", "unanswered_counts", "text_claim", "verify_sentences", "verify_report", "quote_join", "adopted_not_cited",
     "quote_corpus_match", "binary_files", "office_text", "office_text_body", "decode_bytes", "apply_column_fn",
@@ -26,7 +26,7 @@ def plan(spark, name):
 def test_no_nested_loops_and_python_only_where_listed(spark, name):
     text = plan(spark, name)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    uses_python = any(k in text for k in ("ArrowEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroupsInPandas", "FlatMapGroupsInArrow", "BatchEvalPython"))
+    uses_python = any(k in text for k in ("ArrowEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroupsInPandas", "FlatMapGroupsInArrow", "BatchEvalPython", "PythonUDTF"))
     assert uses_python <= (name in PYTHON)
 
 
