@@ -118,15 +118,6 @@ WEEKDAYS = ("월요일", "화요일", "수요일", "목요일", "금요일", "
 # fixed values: follow-up questions --------------------------------------------------------------
 FOLLOW_UP_BLOCK = r"학번|주민|전화번호|연락처를 알려|비밀번호|계좌|주식|코인|날씨|연애"
 FOLLOW_UP_MAX, FOLLOW_UP_LEN = 3, 40
-TOPIC_DEFAULTS = (
-    (("휴학",), ("복학 신청은 언제 하나요?", "휴학하면 등록금은 어떻게 되나요?", "군휴학 서류는 뭐가 필요해요?")),
-    (("복학",), ("복학 후 수강신청은 언제 하나요?", "등록금 납부 기간은 언제인가요?", "휴학 연장은 어떻게 하나요?")),
-    (("장학",), ("성적우수장학금 기준이 뭐예요?", "국가장학금이랑 같이 받을 수 있나요?", "장학금 신청 기간은 언제예요?")),
-    (("수강", "재수강"), ("수강 정정 기간은 언제예요?", "재수강 기준이 어떻게 돼요?", "학기당 최대 신청 학점은요?")),
-    (("졸업",), ("조기졸업 기준은 뭐예요?", "졸업 학점은 몇 점이에요?", "졸업 연기는 어떻게 하나요?")),
-    (("식단", "메뉴", "학식"), ("내일 학생식당 메뉴 알려줘", "푸드코트 메뉴는 뭐예요?", "지난주 월요일 식단은요?")),
-    (("기숙사", "생활관"), ("기숙사 중도 퇴사는 어떻게 해요?", "생활관 입사 자격이 뭐예요?", "생활관비는 어떻게 내나요?")),
-)
 
 # fixed values: evaluation -------------------------------------------------------------------------
 TYPE_CRITERIA = {

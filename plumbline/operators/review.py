@@ -129,11 +129,14 @@ def outcome_route(rows: DataFrame) -> DataFrame:
     return rows.withColumn("outcome", outcome).withColumn("reason", F.when(c("outcome") == "fallback", reason).otherwise(""))
 
 
-def follow_up_pick(proposals: DataFrame, asked: DataFrame, turns: DataFrame, failed: DataFrame) -> DataFrame:
+Topics = tuple[tuple[tuple[str, ...], tuple[str, ...]], ...]
+
+
+def follow_up_pick(proposals: DataFrame, asked: DataFrame, turns: DataFrame, failed: DataFrame, topics: Topics) -> DataFrame:
     """Three follow-ups per turn: allowed proposals first, then the topic's defaults when fewer than two.
 
     `proposals` holds turn_id, pos, question; `asked` thread_id and question; `failed` questions known
-    not to be answered.
+    not to be answered; `topics` the words of each topic with its default questions, the first topic that fits counts.
     """
     c = F.col
     seen = asked.select("thread_id", follow_up_key(c("question")).alias("key")).distinct()
@@ -146,7 +149,7 @@ def follow_up_pick(proposals: DataFrame, asked: DataFrame, turns: DataFrame, fai
     threads = turns.select("turn_id", "thread_id")
     first = top_per_key(allowed(proposals.join(threads, "turn_id")), ["turn_id"], [c("pos")], rules.FOLLOW_UP_MAX).drop("place")
     counts = first.groupBy("turn_id").agg(F.count("*").alias("n"))
-    topic = F.coalesce(*[F.when(contains_any(c("hay"), keys), F.array(*[F.lit(q) for q in qs])) for keys, qs in rules.TOPIC_DEFAULTS])
+    topic = F.coalesce(*[F.when(contains_any(c("hay"), keys), F.array(*[F.lit(q) for q in qs])) for keys, qs in topics])
     short = turns.join(counts, "turn_id", "left").where(F.coalesce("n", F.lit(0)) < 2)
     defaults = short.select("turn_id", "thread_id", F.posexplode(topic).alias("pos", "question")).withColumn("pos", c("pos") + 1000)
     defaults = allowed(defaults.join(failed, "question", "left_anti")).join(first.select("turn_id", "key"), ["turn_id", "key"], "left_anti")

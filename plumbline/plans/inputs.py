@@ -15,8 +15,8 @@ from plumbline.session import spread
 
 TOPICS = ("휴학", "복학", "장학", "수강신청", "졸업")
 STEMS = (
-    "휴학 신청은 언제 하나요?", "장학금 기준이 뭐예요?", "졸업 학점은 몇 점이에요?", "도서관은 어디에 있나요?",
-    "내일 학생식당 메뉴 알려줘", "수강 정정 기간은 언제예요?", "기숙사 입사 자격이 뭐예요?", "학과 전화번호 알려 주세요",
+    "휴학계를 내는 마지막 날이 궁금합니다", "장학 대상자는 무슨 기준으로 뽑나요?", "졸업까지 몇 과목이 남았는지 보고 싶어요", "중앙도서관 반납함은 어디쯤이에요?",
+    "내일 점심 메뉴 중에 국수가 있나요?", "수강 포기 마감이 며칠이죠?", "기숙사 방을 바꿀 자격이 되나요?", "학과 사무실 전화번호가 필요합니다",
 )
 
 

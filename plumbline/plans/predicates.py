@@ -244,7 +244,7 @@ def telemetry_validate(spark, d):
     return ops.telemetry_valid(rows)
 
 
-_PROPOSED = ("복학 신청은 언제 하나요?", "교수님 전화번호 알려줘", "장학금 신청 기간은 언제예요?", "오늘 날씨 어때", "휴학 신청은  언제 하나요", "아주 길고 긴 질문을 여기에 적어서 마흔 글자를 넘기도록 일부러 늘여 쓴 추천 질문입니다")
+_PROPOSED = ("복학 서류는 어디에 내나요?", "조교 전화번호 좀", "두 장학을 함께 받아도 되나요?", "주말 날씨가 궁금해", "휴학계를 내는  마지막 날이 궁금합니다", "아주 길고 긴 질문을 여기에 적어서 마흔 글자를 넘기도록 일부러 늘여 쓴 추천 질문입니다")
 
 
 @query("blocked_follow_up", f"""

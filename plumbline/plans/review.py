@@ -127,15 +127,25 @@ def outcome_route(spark, d):
     return rv.outcome_route(rows).select("turn_id", "outcome", "reason")
 
 
+_TOPICS = (
+    (("휴학",), ("휴학을 한 해 더 늘릴 수 있나요?", "휴학 중에 도서관을 쓸 수 있나요?", "입대 휴학은 무엇을 내나요?")),
+    (("장학",), ("두 장학을 함께 받아도 되나요?", "장학 결과는 어디서 보나요?", "가계 곤란 장학이 있나요?")),
+    (("졸업",), ("졸업 사진은 언제 찍나요?", "한 학기 먼저 졸업할 수 있나요?", "졸업 유예 비용은 얼마예요?")),
+    (("메뉴",), ("저녁 메뉴도 보여 주세요", "채식 메뉴가 있나요?", "다음 주 식단이 올라왔나요?")),
+    (("기숙사",), ("기숙사 통금이 몇 시예요?", "방학에도 머물 수 있나요?", "세탁실은 몇 층이에요?")),
+)
+_OFFERED = _TOPICS[0][1]
+
+
 @query("follow_up_pick")
 def follow_up_pick(spark, d):
     turns = inputs.turns(spark, d)
     k = F.col("k")
-    offered = F.array(inputs.pick(rules.TOPIC_DEFAULTS[0][1], k % 3), F.when(k % 2 == 0, "교수님 전화번호 알려줘").otherwise("장학금  신청 기간은 언제예요?"), F.when(k % 4 == 0, F.lit("휴학 신청은 언제 하나요?")).otherwise(""))
+    offered = F.array(inputs.pick(_OFFERED, k % 3), F.when(k % 2 == 0, "조교 전화번호 좀").otherwise("장학  서류는 어디에 내나요?"), F.when(k % 4 == 0, F.lit(inputs.STEMS[0])).otherwise(""))
     proposals = turns.select("turn_id", F.posexplode(offered).alias("pos", "question"))
     asked = turns.select("thread_id", F.regexp_replace("query_masked", " [0-9]+$", "").alias("question"))
-    failed = spark.createDataFrame([("졸업 연기는 어떻게 하나요?",)], "question string")
-    return rv.follow_up_pick(proposals, asked, turns.select("turn_id", "thread_id", F.col("query_masked").alias("hay")), failed)
+    failed = spark.createDataFrame([("졸업 유예 비용은 얼마예요?",)], "question string")
+    return rv.follow_up_pick(proposals, asked, turns.select("turn_id", "thread_id", F.col("query_masked").alias("hay")), failed, _TOPICS)
 
 
 @query("faq_config_check", """
