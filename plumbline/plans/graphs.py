@@ -119,26 +119,30 @@ view("nodes", "SELECT c_custkey AS node_id, (c_custkey * 53 % 1009)::DOUBLE AS x
 
 # ── routes ──────────────────────────────────────────────────────────────────────────────────────────
 _SCALE = 0.5
+view("path_nodes", "SELECT s_suppkey AS node_id, (s_suppkey * 53 % 1009)::DOUBLE AS x, (s_suppkey * 97 % 1009)::DOUBLE AS y FROM supplier")
+view("path_places", "SELECT n_nationkey::BIGINT AS point_id, (n_nationkey * 137 % 1000)::DOUBLE AS px, (n_nationkey * 291 % 1000)::DOUBLE AS py FROM nation")
 view("paths", """
 SELECT *, sqrt((mx - ax) * (mx - ax) + (my - ay) * (my - ay)) AS len1, sqrt((bx - mx) * (bx - mx) + (by_ - my) * (by_ - my)) AS len2 FROM (
  SELECT b.node_id AS edge_id, a.node_id AS a, b.node_id AS b, a.x AS ax, a.y AS ay, (a.x + b.x) / 2 + b.node_id % 7 AS mx, (a.y + b.y) / 2 - b.node_id % 5 AS my, b.x AS bx, b.y AS by_
- FROM nodes b JOIN nodes a ON a.node_id = b.node_id // 3 WHERE b.node_id > 1
- UNION ALL SELECT 1000000000 + b.node_id, a.node_id, b.node_id, a.x, a.y, (a.x + b.x) / 2 + b.node_id % 7, (a.y + b.y) / 2 - b.node_id % 5, b.x, b.y FROM nodes b JOIN nodes a ON a.node_id = b.node_id - 1 WHERE b.node_id % 4 = 0)
-""", ("nodes",))
+ FROM path_nodes b JOIN path_nodes a ON a.node_id = b.node_id // 3 WHERE b.node_id > 1
+ UNION ALL SELECT 1000000000 + b.node_id, a.node_id, b.node_id, a.x, a.y, (a.x + b.x) / 2 + b.node_id % 7, (a.y + b.y) / 2 - b.node_id % 5, b.x, b.y FROM path_nodes b JOIN path_nodes a ON a.node_id = b.node_id - 1 WHERE b.node_id % 4 = 0)
+""", ("path_nodes",))
 view("snapped", """
 SELECT *, sqrt((px - qx) * (px - qx) + (py - qy) * (py - qy)) AS off, CASE part WHEN 1 THEN sqrt((qx - ax) * (qx - ax) + (qy - ay) * (qy - ay)) ELSE len1 + sqrt((qx - mx) * (qx - mx) + (qy - my) * (qy - my)) END AS to_a,
   CASE part WHEN 1 THEN sqrt((mx - qx) * (mx - qx) + (my - qy) * (my - qy)) + len2 ELSE sqrt((bx - qx) * (bx - qx) + (by_ - qy) * (by_ - qy)) END AS to_b
 FROM (SELECT *, x0 + t * (x1 - x0) AS qx, y0 + t * (y1 - y0) AS qy FROM (
  SELECT *, CASE WHEN x0 = x1 AND y0 = y1 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / ((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)))) END AS t
- FROM points, (SELECT *, 1 AS part, ax AS x0, ay AS y0, mx AS x1, my AS y1 FROM paths UNION ALL SELECT *, 2, mx, my, bx, by_ FROM paths)))
+ FROM path_places, (SELECT *, 1 AS part, ax AS x0, ay AS y0, mx AS x1, my AS y1 FROM paths UNION ALL SELECT *, 2, mx, my, bx, by_ FROM paths)))
 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY off, edge_id, part) = 1
-""", ("points", "paths"))
+""", ("path_places", "paths"))
 
 
 def paths(spark, d):
     """Ways between nodes: a tree and some short cuts, each with one bend."""
-    a = nodes(spark, d).select(F.col("node_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = nodes(spark, d).select(F.col("node_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    k = F.col("s_suppkey")
+    nodes = inputs.table(spark, d, "supplier").select(k.alias("node_id"), (k * 53 % 1009).cast("double").alias("x"), (k * 97 % 1009).cast("double").alias("y"))
+    a = nodes.select(F.col("node_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    b = nodes.select(F.col("node_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
     tree = b.where("b > 1").withColumns({"a": F.floor(F.col("b") / 3), "edge_id": F.col("b")})
     cuts = b.where("b % 4 = 0").withColumns({"a": F.col("b") - 1, "edge_id": F.col("b") + 1_000_000_000})
     rows = tree.unionByName(cuts).join(a, "a")
@@ -166,10 +170,11 @@ WITH RECURSIVE ends AS (
 SELECT start, goal, round(min((off + dist) * {_SCALE}), 3) AS meters, cast(greatest(1, ceil(min((off + dist) * {_SCALE}) / 67)) AS INTEGER) AS minutes, array_to_string(arg_min(walked, (dist, len(walked))), '>') AS path FROM done GROUP BY 1, 2
 """, ("snapped",))
 def routes(spark, d):
-    """Walks from every place to the next one."""
-    wanted = points(spark, d)
+    """Walks from every nation's place to the next one over ways between the suppliers' places."""
+    k = F.col("n_nationkey").cast("long")
+    wanted = inputs.table(spark, d, "nation").select(k.alias("point_id"), (k * 137 % 1000).cast("double").alias("px"), (k * 291 % 1000).cast("double").alias("py"))
     pairs = wanted.select(F.col("point_id").alias("start"), (F.col("point_id") + 1).alias("goal")).join(wanted.select(F.col("point_id").alias("goal")), "goal", "left_semi")
-    found = gr.routes(pairs.withColumn("pair_id", F.col("start")), wanted, paths(spark, d), _SCALE)
+    found = gr.routes(pairs.withColumn("pair_id", F.col("start")), wanted, paths(spark, d), _SCALE, cell=256.0)
     return found.select("start", "goal", F.round("meters", 3).alias("meters"), "minutes", F.array_join(F.col("nodes").cast("array<string>"), ">").alias("path"))
 
 
