@@ -1,5 +1,8 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import random
+from collections import Counter
+
 import brute
 import public_tokenizers
 import pytest
@@ -178,6 +181,49 @@ def test_minhash_large_groups(spark):
     assert got == brute.near_groups(rows, 4)
 
 
+def family(texts, planted, seed=3):
+    """Texts of one template with nine words of their own each (mean similarity 0.75), and edited copies of the first of them."""
+    r, new = random.Random(seed), iter(range(10**6))
+
+    def edit(words, k):
+        words = list(words)
+        for place in r.sample(range(len(words)), k):
+            words[place] = f"n{next(new)}"
+        return words
+
+    own = [edit([f"t{i}" for i in range(600)], 9) for _ in range(texts)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(own)] + [(10_000 + i, " ".join(edit(own[i], 12))) for i in range(planted)]
+    return rows
+
+
+def test_minhash_family(spark):
+    rows = family(240, 120)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute.near_groups(rows, 5)
+    linked = [i for i in range(120) if want[i] == want[10_000 + i]]
+    assert len(linked) > 100 and all(got[i] == got[10_000 + i] for i in linked)
+    assert all(want[i] == want[g] for i, g in got.items())
+
+
+def test_prefix_pairs_lose_no_pair_with_a_rare_shingle(spark):
+    rows = [*family(100, 60, 8), (20_000, ""), (20_001, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = minhash._full_sets(docs, "text", 5).where("length(hashes) > 0")
+    names = {bytes(r["class"]): r.doc_id for r in minhash.shingle_classes(docs, "doc_id", "text", 5).where("class is not null").collect()}
+    roots = sets.select("class", F.col("class").alias("root"))
+    got = {tuple(sorted((names[bytes(r.a)], names[bytes(r.b)]))) for r in minhash.prefix_pairs(sets, roots, 80).collect()}
+    own = {i: brute.shingles(t, 5) for i, t in rows}
+    held = Counter(s for o in own.values() for s in o)
+    for x, i in enumerate(sorted(own)):
+        for j in sorted(own)[x + 1 :]:
+            common = own[i] & own[j]
+            if 100 * len(common) >= 80 * len(own[i] | own[j]) and any(held[s] <= minhash.LIGHT for s in common):
+                assert (i, j) in got
+    assert len(got) < 2_000
+    one = roots.withColumn("root", F.lit(b"same"))
+    assert minhash.prefix_pairs(sets, one, 80).count() == 0 == minhash.prefix_pairs(sets.limit(0), roots, 80).count()
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1400)] + [(5000, 5000)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "u long, v long")).collect()}
