@@ -154,7 +154,8 @@ def place_phrases(texts: DataFrame, key: str, text: str, buildings: DataFrame, n
 def unit_blocks(lines: DataFrame, units: DataFrame, pattern: str) -> DataFrame:
     """"위치" and "전화" lines give their next line's value to the unit last named before them."""
     rows = lines.where(~F.col("line").contains("○")).join(units.select(F.col("unit").alias("line"), F.lit(True).alias("is_unit")), "line", "left")
-    follow = lines.select("page_id", (F.col("line_no") - 1).alias("line_no"), F.col("line").alias("following"))
+    # as many rows as there are lines, whatever the size of the file they come from: never one table in the driver
+    follow = lines.select("page_id", (F.col("line_no") - 1).alias("line_no"), F.col("line").alias("following")).hint("merge")
     placed = carried(rows.join(follow, ["page_id", "line_no"], "left").withColumn("named", F.when(F.col("is_unit"), F.col("line"))), ["page_id"], "line_no", ["named"])
     placed = placed.withColumn("unit", F.coalesce("named", "before_named"))
     value = F.trim(F.regexp_replace(F.coalesce("following", F.lit("")), "^[: ]+", ""))

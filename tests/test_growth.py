@@ -21,3 +21,11 @@ def test_many_needles_are_not_sent_to_the_driver(spark):
     assert "SortMergeJoin" in plan(many) and "BroadcastHashJoin" not in plan(many)
     assert many.count() == 10
     assert "SortMergeJoin" not in plan(lk.contained(texts, "text", needles(10), "n"))
+
+
+def test_lines_of_a_directory_are_not_broadcast(spark):
+    from plumbline.operators import places as pl
+    lines = spark.createDataFrame([(1, 1, "A팀"), (1, 2, "위치"), (1, 3, ": 본관 2층")], "page_id long, line_no long, line string")
+    found = pl.unit_blocks(lines, spark.createDataFrame([("A팀",)], "unit string"), "본관 2층")
+    assert "SortMergeJoin [page_id" in plan(found)
+    assert [tuple(r) for r in found.collect()] == [(1, "A팀", "본관 2층", None)]
