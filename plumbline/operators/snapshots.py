@@ -8,7 +8,8 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from plumbline.functions import rules
-from plumbline.operators.ranking import top_per_key
+from plumbline.operators.lookup import asof_join
+from plumbline.operators.ranking import carried, top_per_key
 
 # fixed values: collection windows, tries and lifetimes of loaded results in minutes
 CALENDAR_DAYS, READ_PER_RUN, RUN_BLOCK_HOURS, REFRESH_WEEKS = 90, 10, 2, 2
@@ -151,15 +152,25 @@ def fresh_results(loads: DataFrame, now: Column) -> DataFrame:
 def overlapping_runs(runs: DataFrame) -> DataFrame:
     """Runs blocked by another that was queued or running and updated less than two hours before.
 
-    Runs meet on the two-hour slots they can block, so no run meets all others.
+    Only the latest such run is told, or the one before it where the latest is the run itself.  So every moment of an
+    update keeps two runs, its own or one of the moment before, and every moment of a start looks up the last update; no run
+    meets the others, however many fall into two hours.
     """
-    slot = lambda c: F.floor(F.unix_timestamp(c) / F.lit(RUN_BLOCK_HOURS * 3600))
-    live = runs.where(F.col("status").isin("queued", "running"))
-    other = live.select(F.col("run_id").alias("blocker"), F.col("updated_at").alias("_at"), F.explode(F.array(slot("updated_at"), slot("updated_at") + 1)).alias("_slot"))
-    pairs = runs.withColumn("_slot", slot("started_at")).join(other, "_slot")
-    gap = F.col("started_at") - F.col("_at")
-    near = (gap >= F.expr("INTERVAL 0 SECONDS")) & (gap < F.expr(f"INTERVAL {RUN_BLOCK_HOURS} HOURS")) & (F.col("run_id") != F.col("blocker"))
-    return pairs.where(near).groupBy("run_id").agg(F.max_by("blocker", F.struct("_at", "blocker")).alias("blocker"))
+    c = F.col
+    live = runs.where(c("status").isin("queued", "running")).select(c("updated_at").alias("at"), c("run_id").alias("id"))
+    # the two largest ids of a moment by two maxima, so that a moment with many runs stays small
+    first = live.groupBy("at").agg(F.max("id").alias("id"))
+    second = live.join(first.withColumnRenamed("id", "_first"), "at").where(c("id") != c("_first")).groupBy("at").agg(F.max("id").alias("_second"))
+    marks = first.join(second, "at", "left").select("at", F.unix_micros(c("at").cast("timestamp")).alias("us"), "id", F.struct("at", "id").alias("last"), "_second")
+    marks = carried(marks, [], "us", ["last"], block=3_600_000_000)
+    before = F.when(c("_second").isNotNull(), F.struct("at", c("_second").alias("id"))).otherwise(c("before_last"))
+    marks = marks.select(F.lit(0).alias("_all"), c("at").alias("_when"), F.struct(c("last"), before.alias("before")).alias("pair"))
+    asked = runs.select(F.lit(0).alias("_all"), c("started_at").alias("_when")).distinct()
+    found = asof_join(asked, marks, "_all", "_when", "hour", c("pair")).where("latest is not null").select(c("_when").alias("started_at"), "latest")
+    rows = runs.select("run_id", "started_at").join(found, "started_at")
+    best = F.when(c("latest.last.id") != c("run_id"), c("latest.last")).otherwise(c("latest.before"))
+    rows = rows.select("run_id", "started_at", best.alias("b")).where(c("started_at") - c("b.at") < F.expr(f"INTERVAL {RUN_BLOCK_HOURS} HOURS"))
+    return rows.groupBy("run_id").agg(F.max("b").alias("b")).select("run_id", c("b.id").alias("blocker"))
 
 
 def menu_refresh(weeks: DataFrame, stored: DataFrame, read: DataFrame) -> DataFrame:

@@ -29,3 +29,18 @@ def test_lines_of_a_directory_are_not_broadcast(spark):
     found = pl.unit_blocks(lines, spark.createDataFrame([("A팀",)], "unit string"), "본관 2층")
     assert "SortMergeJoin [page_id" in plan(found)
     assert [tuple(r) for r in found.collect()] == [(1, "A팀", "본관 2층", None)]
+
+
+def test_blocking_runs_do_not_meet_in_pairs(spark):
+    from plumbline.operators import snapshots as sn
+    rng = random.Random(7)
+    rows = [(i, rng.choice(("queued", "done")), T0 + dt.timedelta(minutes=rng.randrange(0, 900, 15))) for i in range(400)]
+    rows = [(i, s, at, at + dt.timedelta(minutes=rng.choice((-15, 0, 10)))) for i, s, at in rows]
+    found = sn.overlapping_runs(spark.createDataFrame(rows, "run_id long, status string, started_at timestamp, updated_at timestamp"))
+    assert "_slot" not in plan(found)
+    want = {}
+    for i, _, start, _ in rows:
+        before = [(up, j) for j, s, _, up in rows if s == "queued" and j != i and dt.timedelta(0) <= start - up < dt.timedelta(hours=2)]
+        if before:
+            want[i] = max(before)[1]
+    assert {r.run_id: r.blocker for r in found.collect()} == want
