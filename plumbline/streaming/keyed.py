@@ -175,33 +175,54 @@ LIFETIME = "class string, row_id long, expire_at timestamp, state string"
 
 
 class Lifetimes(StatefulProcessor):
-    """Rows of one class that expire within one slot: held until their own moment, then dropped from the state."""
+    """Rows of one class that expire within one slot: held until their own moment, then dropped from the state.
+
+    The rows of a batch are added to the slot's list at once, and a slot has one timer, at the first moment one of its rows
+    ends; it then moves on to the next.  A row that comes again counts once.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getMapState("rows", "row_id long", "expire long")
+        self.rows = handle.getListState("rows", "row_id long, expire long")
+        self.due = handle.getValueState("due", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
+        now, held = timerValues.getCurrentWatermarkInMs(), []
         for part in rows:
-            for row_id, expire_at in zip(part["row_id"].tolist(), part["expire_at"], strict=True):
-                if _ms(expire_at) >= now:
-                    self.rows.updateValue((row_id,), (expire_at.value // 1000,))
-                    self.handle.registerTimer(_ms(expire_at))
-            past = part["expire_at"].map(_ms) < now
+            expire = part["expire_at"].astype("datetime64[us]").astype("int64")
+            past = expire // 1000 < now
+            held += zip(part["row_id"][~past].tolist(), expire[~past].tolist(), strict=True)
             yield part.assign(**{"class": key[0]}, state=past.map({True: "expired", False: "kept"}))[["class", "row_id", "expire_at", "state"]]
+        if held:
+            self.rows.appendList(held)
+            self._wait(min(e for _, e in held) // 1000, earlier=True)
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        gone = [(row_id, expire) for (row_id,), (expire,) in self.rows.iterator() if expire // 1000 <= due]
-        for row_id, _ in gone:
-            self.rows.removeKey((row_id,))
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        held = dict(self.rows.get())
+        gone = {r: e for r, e in held.items() if e // 1000 <= passed}
+        left = [(r, e) for r, e in held.items() if r not in gone]
+        if left:
+            self.rows.put(left)
+            self._wait(min(e for _, e in left) // 1000)
+        else:
+            self.rows.clear()
+            self.due.clear()
         if gone:
-            yield pd.DataFrame({"class": key[0], "row_id": [r for r, _ in gone], "expire_at": pd.to_datetime([e for _, e in gone], unit="us"), "state": "expired"})
+            yield pd.DataFrame({"class": key[0], "row_id": list(gone), "expire_at": pd.to_datetime(list(gone.values()), unit="us"), "state": "expired"})
 
     def close(self) -> None:
         pass
 
+    def _wait(self, at: int, earlier: bool = False) -> None:
+        if earlier and self.due.exists():
+            due = self.due.get()[0]
+            if due <= at:
+                return
+            self.handle.deleteTimer(due)
+        self.due.update((at,))
+        self.handle.registerTimer(at)
+
 
 def lifetimes(rows: DataFrame, slot: str = "1 minute", late: str = "0 seconds") -> DataFrame:
     """(class, row_id, expire_at, state): `kept` when a row arrives, `expired` when event time passes the end of its class's lifetime.
