@@ -241,59 +241,82 @@ SCAN = "version long, url string, kind string, attempt int, due_at timestamp, fa
 
 
 class Scans(StatefulProcessor):
-    """One (version, url): asked for once, again some time after a failure, given up after the last try."""
+    """The urls of one version: asked for once, again some time after a failure, given up after the last try.
+
+    A version's urls are read and written once per batch, and the version has one timer, at the first retry that is due.
+    """
 
     def __init__(self, wait_ms: int) -> None:
         self.wait_ms = wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("scan", "status string, failed int, due long")
+        self.urls = handle.getListState("scans", "url string, status string, failed int, due long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        status, failed, due = self.state.get() if self.state.exists() else ("new", 0, 0)
-        out = []
-        for event in events.itertuples(index=False):
+        held = self._held()
+        before, out = self._next(held), []
+        for url, at, ok in zip(events["url"].tolist(), events["at"], events["ok"].tolist(), strict=True):
+            status, failed, due = held.get(url, ("new", 0, 0))
             if status in ("done", "given_up"):
-                break
-            if event.ok is None or pd.isna(event.ok):  # seen, not yet tried
+                continue
+            if ok is None or pd.isna(ok):  # seen, not yet tried
                 if status == "new":
                     status = "asked"
-                    out.append((*key, "ask", 1, event.at, failed))
-                continue
-            if event.ok:
+                    out.append((key[0], url, "ask", 1, at, failed))
+            elif ok:
                 status = "done"
-                out.append((*key, status, failed + 1, event.at, failed))
-                continue
-            failed += 1
-            status = "waiting" if failed < rules.SCAN_MAX_ATTEMPTS else "given_up"
-            out.append((*key, status, failed, event.at, failed))
-            if status == "waiting":
-                due = _ms(event.at) + self.wait_ms
-                self.handle.registerTimer(due)
-        self.state.update((status, failed, due))
+                out.append((key[0], url, status, failed + 1, at, failed))
+            else:
+                failed += 1
+                status = "waiting" if failed < rules.SCAN_MAX_ATTEMPTS else "given_up"
+                out.append((key[0], url, status, failed, at, failed))
+                due = _ms(at) + self.wait_ms if status == "waiting" else due
+            held[url] = (status, failed, due)
+        if before is not None and before != self._next(held):
+            self.handle.deleteTimer(before)
+            before = None
+        self._keep(held, before)
         if out:
             yield self._rows(out)
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, failed, due = self.state.get()
-        if status == "waiting" and due == expiredTimerInfo.getExpiryTimeInMs():  # not one of an earlier failure
-            self.state.update(("asked", failed, due))
-            yield self._rows([(*key, "ask", failed + 1, pd.Timestamp(due, unit="ms"), failed)])
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        held, out = self._held(), []
+        for url, (status, failed, due) in held.items():
+            if status == "waiting" and due <= passed:
+                held[url] = ("asked", failed, due)
+                out.append((key[0], url, "ask", failed + 1, pd.Timestamp(due, unit="ms"), failed))
+        if out:
+            self._keep(held)
+            yield self._rows(out)
 
     def close(self) -> None:
         pass
 
+    def _held(self) -> dict[str, tuple]:
+        return {url: tuple(rest) for url, *rest in self.urls.get()} if self.urls.exists() else {}
+
+    def _next(self, held: dict[str, tuple]) -> int | None:
+        return min((due for status, _, due in held.values() if status == "waiting"), default=None)
+
+    def _keep(self, held: dict[str, tuple], known: int | None = None) -> None:
+        self.urls.put([(url, *rest) for url, rest in held.items()])
+        at = self._next(held)
+        if at is not None and at != known:
+            self.handle.registerTimer(at)
+
     def _rows(self, out: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(out, columns=["version", "url", "kind", "attempt", "due_at", "failed"])
 
 
-def scans(events: DataFrame, wait_minutes: int = 30, late: str = "10 minutes") -> DataFrame:
+def scans(events: DataFrame, wait_minutes: int = 30, late: str = "10 minutes", parts: int = 1) -> DataFrame:
     """What becomes of every (version, url): `ask` with the number of the try, then `waiting`, `done` or `given_up` with its failures.
 
     Needs version, url, at, event_id and ok: null when a version is seen, else whether a try succeeded.  A failure is
     tried again after `wait_minutes` of event time, at most three tries are made, and whatever comes after the end is ignored.
+    State is keyed by version; where a version has very many urls, `parts` deals them to so many keys.
     """
-    timed = events.select("version", "url", "at", "event_id", "ok").withWatermark("at", late)
-    return _keyed(timed, ["version", "url"], Scans(wait_minutes * 60_000), SCAN, "append")
+    timed = events.select("version", F.pmod(F.xxhash64("url"), F.lit(parts)).alias("part"), "url", "at", "event_id", "ok").withWatermark("at", late)
+    return _keyed(timed, ["version", "part"], Scans(wait_minutes * 60_000), SCAN, "append")

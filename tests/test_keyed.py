@@ -71,3 +71,16 @@ def test_a_slot_of_rows_has_one_timer_and_one_write():
     assert sorted(gone.row_id) == list(range(100)) and handle.timers[-1] == 3_100
     gone = pd.concat(held.handleExpiredTimer(("thread", None), Times(9_000), Times(3_100)))
     assert sorted(gone.row_id) == list(range(100, 500)) and not held.rows.exists()
+
+
+def test_a_version_with_many_urls_is_written_once():
+    scans, handle = keyed.Scans(60_000), Handle()
+    scans.init(handle)
+    tries = lambda ok, at: pd.DataFrame({"url": [f"u{i}" for i in range(300)], "at": pd.to_datetime(at, unit="ms"), "event_id": range(300), "ok": ok})
+    told = pd.concat(scans.handleInputRows((1, 0), iter([tries(False, 1_000)]), Times(0)))
+    assert set(told.kind) == {"waiting"} and len(told) == 300 and handle.calls == 2 and handle.timers == [61_000]
+    asked = pd.concat(scans.handleExpiredTimer((1, 0), Times(62_000), Times(61_000)))
+    assert set(asked.kind) == {"ask"} and set(asked.attempt) == {2} and len(asked) == 300 and handle.calls == 3
+    told = pd.concat(scans.handleInputRows((1, 0), iter([tries(True, 70_000)]), Times(62_000)))
+    assert set(told.kind) == {"done"} and set(told.attempt) == {2}
+    assert not list(scans.handleInputRows((1, 0), iter([tries(False, 80_000)]), Times(70_000)))
