@@ -38,6 +38,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
     Ends when a round improves nothing.  Edges are (src, dst, weight), walked in the given direction.
     """
+    edges = cut_lineage(edges)  # every round reads them: what they are made from is read once
     best = cut_lineage(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("dist"), F.col("node").alias("prev")))
     changed = best
     while not changed.isEmpty():

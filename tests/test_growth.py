@@ -44,3 +44,17 @@ def test_blocking_runs_do_not_meet_in_pairs(spark):
         if before:
             want[i] = max(before)[1]
     assert {r.run_id: r.blocker for r in found.collect()} == want
+
+
+def test_edges_of_shortest_paths_are_made_once(spark):
+    from plumbline.operators import graph as gr
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    chain = spark.range(8).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("weight")).coalesce(1)
+    best = gr.shortest_paths(chain.mapInPandas(count, chain.schema), spark.range(1).select(F.col("id").alias("node")))
+    assert {r.node: r.dist for r in best.collect()} == {i: float(i) for i in range(9)} and made.value == 8
