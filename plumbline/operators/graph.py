@@ -108,13 +108,20 @@ def prune_spurs(edges: DataFrame, min_length: float = MIN_SPUR) -> DataFrame:
         kept = cut_lineage(kept.join(spurs.select("a", "b", "length"), ["a", "b", "length"], "left_anti"))
 
 
-def nearest(points: DataFrame, shapes: DataFrame, low: tuple[str, str], high: tuple[str, str], distance: Column, shape_id: str, cell: float) -> DataFrame:
+def nearest(
+    points: DataFrame, shapes: DataFrame, low: tuple[str, str], high: tuple[str, str], distance: Column, shape_id: str, cell: float
+) -> DataFrame:
     """Nearest shape of every (point_id, px, py) with its distance, ties to the smaller id.
 
     Shapes lie in the box from `low` to `high` (column names).  Points meet the shapes of the cells
     around their own; a best distance within one cell is final, and the rest go on with cells twice
-    the size.
+    the size.  Points at one place are one question, and of shapes in one place only the smallest id can be an answer.
     """
+    form = [c for c in shapes.columns if c != shape_id]
+    shapes = cut_lineage(shapes.groupBy(*form).agg(F.min(shape_id).alias(shape_id)))
+    asking = points
+    points = cut_lineage(points.groupBy("px", "py").agg(F.min("point_id").alias("point_id")))
+    back = lambda done: asking.select("point_id", "px", "py").join(points.join(done, "point_id").drop("point_id"), ["px", "py"]).drop("px", "py")
     extent = points.agg(F.max(F.greatest(F.abs("px"), F.abs("py"))).alias("m")).unionByName(
         shapes.agg(F.max(F.greatest(*[F.abs(c) for c in (*low, *high)])).alias("m"))
     ).agg(F.max("m")).first()[0]
@@ -132,10 +139,10 @@ def nearest(points: DataFrame, shapes: DataFrame, low: tuple[str, str], high: tu
         final = cut_lineage(final)
         done = final if done is None else done.unionByName(final)
         if whole:
-            return done
+            return back(done)
         left = cut_lineage(left.join(final.select("point_id"), "point_id", "left_anti"))
         if left.isEmpty():
-            return done
+            return back(done)
         cell *= 2
 
 
