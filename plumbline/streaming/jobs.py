@@ -58,18 +58,20 @@ def quality_windows(turns: DataFrame, size: str = "2 hours", slide: str = "1 min
 def _rolling(rows: DataFrame, rule: str, minutes: int, raised) -> DataFrame:
     """Instants at which a rolling window of the last minutes comes to raise an alert (and did not just before).
 
-    Counts are added up per instant first.  The time line is cut into buckets as long as the window; every bucket also
-    gets the rows of the one before it, so its windows are whole and a burst across a border counts as one.
+    Counts are added up per instant first.  The time line is cut into buckets as long as the window.  A bucket begins with all
+    counts of the one before it, and each of them leaves when it is as old as the window, so a running sum is the window's
+    count: a row is read three times, however many rows a window has.
     """
     width = minutes * 60_000_000
     instants = rows.groupBy(F.unix_micros("created_at").alias("_us")).agg(F.count("*").alias("n"), F.count(F.when(F.col("elapsed_ms") > SLOW_MS, 1)).alias("slow"))
-    bucket = F.floor(F.col("_us") / width)
-    held = instants.select("*", F.explode(F.array(F.struct(bucket.alias("bucket"), F.lit(True).alias("own")), F.struct((bucket + 1).alias("bucket"), F.lit(False).alias("own")))).alias("b"))
-    frame = lambda last: Window.partitionBy("b.bucket").orderBy("_us").rangeBetween(1 - width, last)
-    now = {c: F.sum(c).over(frame(0)) for c in ("n", "slow")}
-    before = {c: F.coalesce(F.sum(c).over(frame(-1)), F.lit(0)) for c in ("n", "slow")}
-    counted = held.select("_us", F.col("b.own").alias("own"), now["n"].alias("n"), raised(now["n"], now["slow"]).alias("_now"), raised(before["n"], before["slow"]).alias("_before"))
-    return counted.where("own AND _now AND NOT _before").select(F.lit(rule).alias("rule"), F.timestamp_micros("_us").alias("raised_at"), "n")
+    bucket = F.floor(F.col("_us") / width).cast("long")
+    step = lambda b, at, sign: F.struct(b.alias("bucket"), at.alias("at"), F.lit(sign).alias("sign"), (b == bucket).alias("own"))
+    steps = F.array(step(bucket, F.col("_us"), 1), step(bucket + 1, bucket * width, 1), step(bucket + 1, F.col("_us") + width, -1))
+    held = instants.select("*", F.explode(steps).alias("b")).withColumns({c: F.col(c) * F.col("b.sign") for c in ("n", "slow")})
+    run = Window.partitionBy("b.bucket").orderBy("b.at").rangeBetween(Window.unboundedPreceding, 0)
+    counted = held.select("_us", F.col("b.own").alias("own"), "n", "slow", F.sum("n").over(run).alias("_n"), F.sum("slow").over(run).alias("_slow"))
+    counted = counted.where("own").withColumns({"_now": raised(F.col("_n"), F.col("_slow")), "_before": raised(F.col("_n") - F.col("n"), F.col("_slow") - F.col("slow"))})
+    return counted.where("_now AND NOT _before").select(F.lit(rule).alias("rule"), F.timestamp_micros("_us").alias("raised_at"), F.col("_n").alias("n"))
 
 
 def quality_alerts(turns: DataFrame) -> DataFrame:
