@@ -156,12 +156,19 @@ def report_route(text: Column, question: Column, kind: Column, domain: str) -> C
 
 def quote_present(page: Column, quote: Column) -> Column:
     """At least two thirds of up to six 30-character pieces of the quote are still on the page."""
-    p, q = no_spaces(page), no_spaces(quote)
-    count = F.ceil(F.length(q) / F.lit(DRIFT_CHUNK)).cast("int")
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(q, (i - 1) * DRIFT_CHUNK + 1, F.lit(DRIFT_CHUNK)))
-    pieces = F.slice(F.filter(pieces, lambda x: F.length(x) >= DRIFT_MIN), 1, DRIFT_CHUNKS)
-    hits = F.size(F.filter(pieces, lambda x: F.contains(p, x)))
-    return F.when(q == "", True).when(F.size(pieces) == 0, F.contains(p, q)).otherwise(hits * 3 >= F.size(pieces) * 2)
+    squashed = F.array(F.struct(no_spaces(page).alias("p"), no_spaces(quote).alias("q")))
+
+    def told(s: Column) -> Column:
+        p, q = s["p"], s["q"]
+        # only the last piece is shorter than the others, so the pieces that count are among the first six
+        count = F.least(F.ceil(F.length(q) / F.lit(DRIFT_CHUNK)).cast("int"), F.lit(DRIFT_CHUNKS))
+        pieces = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(q, (i - 1) * DRIFT_CHUNK + 1, F.lit(DRIFT_CHUNK)))
+        pieces = F.filter(pieces, lambda x: F.length(x) >= DRIFT_MIN)
+        hits = F.size(F.filter(pieces, lambda x: F.contains(p, x)))
+        return F.when(q == "", True).when(F.size(pieces) == 0, F.contains(p, q)).otherwise(hits * 3 >= F.size(pieces) * 2)
+
+    # as the variable of a lambda both texts are squashed once and not for every piece
+    return F.element_at(F.transform(squashed, told), 1)
 
 
 def source_drift(quotes: DataFrame, pages: DataFrame) -> DataFrame:

@@ -93,3 +93,13 @@ def test_rolling_alerts_read_a_row_a_fixed_number_of_times(spark):
     raised = lambda s: len(s) >= 17 and 2 * sum(e > jobs.SLOW_MS for e in s) > len(s)
     want = sorted((at, len(span(at, True))) for at in {t for t, _ in rows} if raised(span(at, True)) and not raised(span(at, False)))
     assert want and sorted((r.raised_at, r.n) for r in found.collect()) == want
+
+
+def test_a_long_quote_is_squashed_once(spark):
+    from plumbline.operators import verify as vf
+    squash = plan(spark.createDataFrame([("a b", "a  b")], "page string, quote string").select(vf.quote_present(F.col("page"), F.col("quote")).alias("x"))).count("regexp_replace(")
+    assert squash == 2
+    text = "".join(chr(0xAC00 + i) for i in range(4000))
+    rows = [(text, text, True), (text[200:], text, False), (text[45:], text, True), (None, text, False), ("x", "", True), ("abc d", "c d", True), (text[:100], text[:95], True), (text[40:], text[:65], False)]
+    found = spark.createDataFrame(rows, "page string, quote string, want boolean").select(vf.quote_present(F.col("page"), F.col("quote")).alias("x"), "want").collect()
+    assert [r.x for r in found] == [r.want for r in found]
