@@ -113,3 +113,21 @@ def test_equal_tips_and_questions_are_judged_once(spark):
     # the texts meet, not the rows: three of tips and one of questions
     scans = [s.split("]")[0] for s in plan(found).split("Scan ExistingRDD")]
     assert any("ids" in s for s in scans[1:])
+
+
+def test_tokens_leave_in_small_frames(spark, monkeypatch):
+    from plumbline.sources import html
+    pages = spark.range(50).select(F.col("id").alias("page_id"), F.lit("https://x.example/").alias("url"), F.lit("<body><p>a</p><p>b</p></body>").alias("html")).coalesce(1)
+    sizes = []
+
+    class Catch:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):  # noqa: N802
+            frame = pages.toPandas()
+            sizes.extend(len(f) for f in run(iter([frame])))
+
+    monkeypatch.setattr(html, "FRAME_ROWS", 10)
+    html.html_tokens(Catch())
+    assert max(sizes) <= 10 and sum(sizes) == 100 == html.html_tokens(pages).count()
