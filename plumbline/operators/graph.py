@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.ranking import sequence_number
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, stored
 
 # fixed values: walking speed and the shortest edge a dead end may have
 METERS_PER_MINUTE, MIN_SPUR = 67.0, 10.0
@@ -38,8 +38,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
     Ends when a round improves nothing.  Edges are (src, dst, weight), walked in the given direction.
     """
-    edges = cut_lineage(edges)  # every round reads them: what they are made from is read once
-    best = cut_lineage(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("dist"), F.col("node").alias("prev")))
+    edges = stored(edges)  # every round reads them: what they are made from is read once
+    best = stored(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("dist"), F.col("node").alias("prev")))
     changed = best
     while not changed.isEmpty():
         moves = changed.join(edges, F.col("node") == F.col("src")).select(
@@ -47,10 +47,10 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
         )
         offered = moves.groupBy("source", "node").agg(F.min(F.struct("dist", "prev")).alias("m")).select("source", "node", "m.dist", "m.prev")
         known = best.select("source", "node", F.col("dist").alias("_known"))
-        changed = cut_lineage(
+        changed = stored(
             offered.join(known, ["source", "node"], "left").where(F.col("_known").isNull() | (F.col("dist") < F.col("_known"))).drop("_known")
         )
-        best = cut_lineage(best.join(changed, ["source", "node"], "left_anti").unionByName(changed))
+        best = stored(best.join(changed, ["source", "node"], "left_anti").unionByName(changed))
     return best
 
 
@@ -205,13 +205,13 @@ def routes(pairs: DataFrame, points: DataFrame, edges: DataFrame, scale: float,
     far; the nodes of a walk are found by doubling steps back.  `scale` is meters per unit.  A pair without a walk has no row.
     """
     used = pairs.select(F.explode(F.array("start", "goal")).alias("point_id")).distinct()
-    placed = cut_lineage(snap(points.join(used, "point_id", "left_semi"), edges, cell))
+    placed = stored(snap(points.join(used, "point_id", "left_semi"), edges, cell))
     end = lambda name, side: placed.select(F.col("point_id").alias(name), *[F.col(c).alias(f"{side}_{c}") for c in ("px", "py", "edge_id", "a", "b", "distance", "head", "tail", "to_a", "to_b")])
-    ends = cut_lineage(pairs.join(end("start", "s"), "start").join(end("goal", "g"), "goal"))
+    ends = stored(pairs.join(end("start", "s"), "start").join(end("goal", "g"), "goal"))
     c = F.col
     length = line_length(c("line"))
     ways = edges.select("edge_id", c("a").alias("src"), c("b").alias("dst"), length.alias("weight"))
-    ways = cut_lineage(ways.unionByName(ways.select("edge_id", c("dst").alias("src"), c("src").alias("dst"), "weight")))
+    ways = stored(ways.unionByName(ways.select("edge_id", c("dst").alias("src"), c("src").alias("dst"), "weight")))
     goal = ends.select("pair_id", "s_edge_id", "g_edge_id", "g_a", "g_b", "g_to_a", "g_to_b")
     step = lambda node, dist, when=None: F.when(F.lit(True) if when is None else when, F.struct(node.cast("long").alias("node"), dist.alias("dist")))
     begins = F.array(
@@ -219,7 +219,7 @@ def routes(pairs: DataFrame, points: DataFrame, edges: DataFrame, scale: float,
     )
     begun = ends.select("pair_id", F.explode(F.filter(begins, lambda s: s.isNotNull())).alias("s")).groupBy("pair_id", c("s.node").alias("node")).agg(F.min("s.dist").alias("dist"))
     nothing = F.lit(None).cast("long")
-    best = cut_lineage(begun.select("pair_id", "node", "dist", F.lit(True).alias("fresh"), nothing.alias("prev"), nothing.alias("via")))
+    best = stored(begun.select("pair_id", "node", "dist", F.lit(True).alias("fresh"), nothing.alias("prev"), nothing.alias("via")))
     while True:
         limit = best.where(c("node") == END).select("pair_id", c("dist").alias("_limit"))
         moving = best.where(c("fresh") & (c("node") != END)).join(limit, "pair_id", "left").where(c("_limit").isNull() | (c("dist") < c("_limit")))
@@ -233,7 +233,7 @@ def routes(pairs: DataFrame, points: DataFrame, edges: DataFrame, scale: float,
         arrived = moving.where(F.size(at_goal) > 0).select("pair_id", F.lit(END).cast("long").alias("node"), (c("dist") + F.array_min(at_goal)).alias("dist"), F.lit(True).alias("fresh"), c("_from").alias("prev"), nothing.alias("via"))
         # what was known before wins where it is as short, and is no longer fresh
         offered = best.withColumn("fresh", F.lit(False)).unionByName(walked).unionByName(arrived)
-        best = cut_lineage(offered.groupBy("pair_id", "node").agg(F.min(F.struct("dist", "fresh", "prev", "via")).alias("m")).select("pair_id", "node", "m.*"))
+        best = stored(offered.groupBy("pair_id", "node").agg(F.min(F.struct("dist", "fresh", "prev", "via")).alias("m")).select("pair_id", "node", "m.*"))
     return _walks(best, ends, edges, scale)
 
 
@@ -242,13 +242,13 @@ def _walks(best: DataFrame, ends: DataFrame, edges: DataFrame, scale: float) ->
     c = F.col
     jumps, hop = [], best.where("prev is not null").select("pair_id", "node", c("prev").alias("back"))
     while not hop.isEmpty():
-        hop = cut_lineage(hop)
+        hop = stored(hop)
         jumps.append(hop)
         hop = hop.join(hop.select("pair_id", c("node").alias("back"), c("back").alias("_next")), ["pair_id", "back"]).select("pair_id", "node", c("_next").alias("back"))
     passed = best.where(c("node") == END).select("pair_id", "node", F.lit(0).alias("behind"))
     for k in range(len(jumps) - 1, -1, -1):
         earlier = passed.join(jumps[k], ["pair_id", "node"]).select("pair_id", c("back").alias("node"), (c("behind") + (1 << k)).alias("behind"))
-        passed = cut_lineage(passed.unionByName(earlier))
+        passed = stored(passed.unionByName(earlier))
     steps = passed.join(best.select("pair_id", "node", "dist", "prev", "via"), ["pair_id", "node"])
     turned = lambda line, forward: F.when(forward, line).otherwise(F.reverse(line))
     rows = steps.join(ends.select("pair_id", "s_edge_id", "s_a", "s_head", "s_tail", "g_edge_id", "g_a", "g_to_a", "g_to_b", "g_head", "g_tail"), "pair_id")

@@ -131,3 +131,14 @@ def test_tokens_leave_in_small_frames(spark, monkeypatch):
     monkeypatch.setattr(html, "FRAME_ROWS", 10)
     html.html_tokens(Catch())
     assert max(sizes) <= 10 and sum(sizes) == 100 == html.html_tokens(pages).count()
+
+
+def test_rounds_of_a_walk_do_not_multiply_sizes(spark):
+    from plumbline.operators import graph as gr
+    line = lambda a, b: [(float(a), 0.0), (float(b), 0.0)]
+    edges = spark.createDataFrame([(i, i, i + 1, line(10 * i, 10 * i + 10)) for i in range(12)], "edge_id long, a long, b long, line array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([(1, 5.0, 0.0), (2, 115.0, 0.0)], "point_id long, px double, py double")
+    pairs = spark.createDataFrame([(1, 1, 2)], "pair_id long, start long, goal long")
+    walks = gr.routes(pairs, points, edges, 1.0, 64.0)
+    assert walks._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 2_000
+    assert [(r.meters, r.nodes) for r in walks.collect()] == [(110.0, list(range(1, 12)))]
