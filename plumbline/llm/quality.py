@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import hashing
@@ -19,8 +19,6 @@ from plumbline.llm.common import schema_with, slices
 
 #: Buckets of the n-gram hash: the size of the model, whatever the corpus.
 BUCKETS = 1 << 16
-#: Trusted documents used, at most (those with the smallest hashes of their ids), so their ids may be broadcast.
-TRUSTED = 20_000
 #: One trusted document in so many sets the threshold instead of the counts; the share of those it may refuse.
 HELD_OUT, REFUSED = 4, 0.002
 PRIOR = 1.0
@@ -52,25 +50,30 @@ def _scores(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
 
 
 def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Ids of documents whose labels all say good and not toxic, `TRUSTED` at most, with `part` fit or held."""
+    """Ids of all documents whose labels all say good and not toxic; `held` marks those that set the threshold."""
     good = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
-    good = good.where("q = 1 and t = 0").select(key, F.xxhash64(key).alias("_h")).orderBy("_h", key).limit(TRUSTED)
-    return good.select(F.col(key), (F.pmod("_h", F.lit(HELD_OUT)) == 0).alias("held"))
+    return good.where("q = 1 and t = 0").select(F.col(key), (F.pmod(F.xxhash64(key), F.lit(HELD_OUT)) == 0).alias("held"))
+
+
+def _trusted(docs: DataFrame, labels: DataFrame, key: str, text: str, held: Column) -> DataFrame:
+    """Texts of the trusted documents of one part.  The part is told by the id, so only the texts of that part are shuffled; the ids
+    are as many as the labels, so they are not broadcast."""
+    return docs.select(key, text).join(trusted_ids(labels, key).where(F.col("held") == held).hint("merge"), key).select(text)
 
 
 def count(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndarray:
     """Counts per bucket, over the corpus and over the trusted documents of the fit part."""
-    marked = docs.select(key, text).join(F.broadcast(trusted_ids(labels, key)), key, "left")
-    marked = marked.select(text, F.coalesce(~F.col("held"), F.lit(False)).alias("target"))
+    target = _trusted(docs, labels, key, text, F.lit(False)).withColumn("target", F.lit(True))
+    marked = docs.select(text, F.lit(False).alias("target")).unionByName(target)
 
     def run(batches):
         whole, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for part in slices(batches, text):
             owner, bucket = _buckets(part.column(0).to_pylist())
-            whole += np.bincount(bucket, minlength=BUCKETS)
             chosen = part.column(1).to_numpy(zero_copy_only=False)
+            whole += np.bincount(bucket[~chosen[owner]], minlength=BUCKETS)
             target += np.bincount(bucket[chosen[owner]], minlength=BUCKETS)
-        used = np.flatnonzero(whole)
+        used = np.flatnonzero(whole + target)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(whole[used]), pa.array(target[used])], ["bucket", "whole", "target"])
 
     counted = marked.mapInArrow(run, "bucket long, whole long, target long").groupBy("bucket").agg(F.sum("whole").alias("whole"), F.sum("target").alias("target"))
@@ -87,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return Model(np.zeros(BUCKETS), -np.inf)
     weights = np.log((target + PRIOR) / (target.sum() + PRIOR * BUCKETS)) - np.log((whole + PRIOR) / (whole.sum() + PRIOR * BUCKETS))
     shipped = docs.sparkSession.sparkContext.broadcast(weights)
-    held = docs.select(key, text).join(F.broadcast(trusted_ids(labels, key).where("held")), key).select(text)
+    held = _trusted(docs, labels, key, text, F.lit(True))
 
     def run(batches):
         for part in slices(batches, text):

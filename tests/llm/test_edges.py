@@ -230,6 +230,14 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(201), 0), **dict.fromkeys(range(1000, 1400), 1000)}
 
 
+def test_every_trusted_document_is_used(spark):
+    labels = spark.range(20_500).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert quality.trusted_ids(labels).count() == 20_500
+    docs = labels.select("doc_id", F.lit("word").alias("text"))
+    whole, target = quality.count(docs, labels)
+    assert whole.sum() == 20_500 and target.sum() == quality.trusted_ids(labels).where("not held").count()
+
+
 def test_quality(spark, docs, clashing):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 0), (3, None, None), (1, 1, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit(docs, labels)
