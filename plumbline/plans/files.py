@@ -36,7 +36,9 @@ def feed_items(spark, d):
 def _office_bytes(texts: pd.Series, kinds: pd.Series) -> pd.Series:
     """Document texts as docx or hwpx bytes, for the document queries."""
 
-    def pack(text: str, kind: str) -> bytes:
+    def pack(text: str | None, kind: str) -> bytes | None:
+        if text is None:
+            return None
         out = io.BytesIO()
         name, tag = ("word/document.xml", "w:p") if kind == "docx" else ("Contents/section0.xml", "hp:p")
         with zipfile.ZipFile(out, "w") as archive:
@@ -47,14 +49,19 @@ def _office_bytes(texts: pd.Series, kinds: pd.Series) -> pd.Series:
     return pd.Series([pack(t, k) for t, k in zip(texts, kinds, strict=True)])
 
 
+# a filter on what follows from the bytes must not pack them a second time
+_office_bytes = _office_bytes.asNondeterministic()
+
+
 def documents_as_files(spark, d):
     """The document table as files of eight kinds, good and bad."""
     k = F.col("doc_id") % 8
     name = inputs.pick(("a.pdf", "b.hwp", "c.docx", "d.hwpx", "e.txt", "f.md", "g.txt", "h.docx"), k)
     text = F.col("text")
+    packed = _office_bytes(F.when(k.isin(2, 3), text), F.when(k == 2, "docx").otherwise("hwpx"))  # the other texts do not go to Python
     content = (
         F.when(k == 0, F.concat(F.unhex(F.lit("255044462D")), F.encode(text, "UTF-8"))).when(k == 1, F.concat(F.unhex(F.lit(files.OLE_MAGIC)), F.encode(text, "UTF-8")))
-        .when(k == 2, _office_bytes(text, F.lit("docx"))).when(k == 3, _office_bytes(text, F.lit("hwpx"))).when(k == 6, F.concat(F.encode(text, "UTF-8"), F.unhex(F.lit("00"))))
+        .when(k.isin(2, 3), packed).when(k == 6, F.concat(F.encode(text, "UTF-8"), F.unhex(F.lit("00"))))
         .otherwise(F.encode(text, "UTF-8"))
     )
     return inputs.wide(spark, d, "documents").select("doc_id", name.alias("name"), content.alias("content"))

@@ -85,7 +85,8 @@ def classify(name: Column, content: Column) -> Column:
     """Format of a document by its extension and first bytes, NULL when refused."""
     extension = F.lower(F.regexp_extract(name, r"(\.[A-Za-z0-9]+)$", 1))
     head = F.hex(F.substring(content, 1, 8))
-    members = F.coalesce(zip_names(content), F.array().cast("array<string>"))
+    # only bytes that may be a packed document go to Python
+    members = F.coalesce(zip_names(F.when(extension.isin(".docx", ".hwpx") & (F.octet_length(content) <= MAX_BYTES), content)), F.array().cast("array<string>"))
     word = F.array_contains(members, "word/document.xml")
     hancom = F.array_contains(members, "Contents/content.hpf") | F.exists(members, lambda m: m.startswith("Contents/section"))
     # a text file is valid utf-8 without a NUL
@@ -115,11 +116,15 @@ def office_xml(contents: pd.Series, formats: pd.Series) -> pd.Series:
     return pd.Series([xml(d, f) for d, f in zip(contents, formats, strict=True)])
 
 
+# a filter on the format or the status must not open the archives a second time, in Python workers of their own
+zip_names, office_xml = zip_names.asNondeterministic(), office_xml.asNondeterministic()
+
+
 def office_text(files: DataFrame) -> DataFrame:
     """Text of (name, content) documents with `status` ok or rejected; under 50 characters is rejected."""
     rows = files.withColumn("format", classify(F.col("name"), F.col("content")))
     plain = F.when(F.col("format").isin("txt", "md"), F.decode(F.col("content"), "UTF-8"))
-    bare = F.regexp_replace(office_xml("content", "format"), r"<[^>]*>", "")
+    bare = F.regexp_replace(office_xml(F.when(F.col("format").isin("docx", "hwpx"), F.col("content")), "format"), r"<[^>]*>", "")
     lines = F.filter(F.transform(F.split(bare, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     text = F.coalesce(F.array_join(lines, "\n"), plain)
     text = F.regexp_replace(F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"[ \t]+(?=\n|$)", ""), r"\n{3,}", "\n\n")

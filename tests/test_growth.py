@@ -142,3 +142,12 @@ def test_rounds_of_a_walk_do_not_multiply_sizes(spark):
     walks = gr.routes(pairs, points, edges, 1.0, 64.0)
     assert walks._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 2_000
     assert [(r.meters, r.nodes) for r in walks.collect()] == [(110.0, list(range(1, 12)))]
+
+
+def test_documents_go_to_python_once_and_only_where_packed(spark):
+    from plumbline.plans import files
+    d = "/root/testdata/sf0.001"
+    assert plan(files.office_text_body(spark, d)).count("EvalPython [") == 3
+    assert plan(files.office_files(spark, d)).count("EvalPython [") == 2
+    ids = lambda df: {r.doc_id for r in df.collect()}
+    assert ids(files.office_text_body(spark, d)) == ids(files.office_text(spark, d).where("status = 'ok'"))
