@@ -7,7 +7,7 @@ holds few classes, and a region that stays crowded at full depth is read as a ch
 range-partitioned with the class as last key, so no region is one task; rows at the edges of partitions meet
 in a second pass.  Candidates are confirmed on full shingle sets, first the best one of every class, then
 those that still lie in different groups.  Classes with a crowded region in any order also meet
-each other in a prefix join on shingles that few of them hold.  Groups are connected components over confirmed links and classes.
+each other in an exact prefix join.  Groups are connected components over confirmed links and classes.
 """
 
 from __future__ import annotations
@@ -24,15 +24,16 @@ from pyspark.sql import functions as F
 from plumbline.llm import hashing
 from plumbline.llm.common import salted_join, slices
 from plumbline.llm.components import components, contract, labels
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, stored
 
 BINS = 128
 #: Sorted orders, signature values per order (two per long), classes a region may hold to be read in full.
 ORDERS, DEPTH, REGION = 12, 8, 9
 #: Bytes of a signature kept for estimates; a pair of larger sets whose estimate is far below the threshold is not confirmed.
 SKETCH, SURE_SIZE, MARGIN = 64, 256, 0.28
-#: Crowded sets that share a shingle held by at most this many of them meet by the prefix join, whatever the forest read.
-LIGHT = 64
+#: Crowded sets that share an early shingle of at most this many of them meet at it, whatever the forest read; the sets of other
+#: early shingles meet in blocks of about this many.  Buckets of shingles whose sums order the shingles of a set.
+LIGHT, BLOCK, BUCKETS = 16, 4096, 1 << 20
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -216,48 +217,175 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _tokens(sets: DataFrame) -> DataFrame:
-    """(token, class, n) for every shingle of every set."""
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return ((tokens >> np.uint64(12)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _buckets(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall into each of BUCKETS buckets; only the order in a set and shingles of one set hang on it."""
 
     def run(batches):
+        held = np.zeros(BUCKETS, np.int64)
         for part in batches:
-            held = part.column(part.schema.get_field_index("hashes"))
-            name = part.schema.get_field_index("class")
-            for i in range(part.num_rows):
-                own = np.frombuffer(held[i].as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own), pa.array([part.column(name)[i].as_py()] * len(own), pa.binary()), pa.array(np.full(len(own), len(own), np.int64))],
-                    ["token", "class", "n"],
-                )
+            if part.num_rows:
+                held += np.bincount(_bucket(np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint64)), minlength=BUCKETS)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], ["bucket", "held"])
+
+    found = sets.select("hashes").mapInArrow(run, "bucket int, held long").groupBy("bucket").agg(F.sum("held").alias("held")).toArrow()
+    out = np.zeros(BUCKETS, np.uint32)
+    out[found.column("bucket").to_numpy()] = np.minimum(found.column("held").to_numpy(), 0xFFFFFFFF)
+    return out
+
+
+def _need(both, percent: int):
+    """Shingles that two sets with `both` in all must share."""
+    return -(-both * percent // (100 + percent))
+
+
+def _prefixes(own: DataFrame, held: np.ndarray, percent: int) -> DataFrame:
+    """(token, id, rid, n, at): the early shingles of every set (id, rid, hashes), those in light buckets first."""
+    order = own.sparkSession.sparkContext.broadcast(held)
+    schema = "token long, id long, rid long, n int, at int"
+
+    def run(batches):
+        for part in batches:
+            out = [[] for _ in range(5)]
+            for i, raw in enumerate(part.column(2)):
+                tokens = np.frombuffer(raw.as_buffer(), np.uint64)
+                n, count = len(tokens), order.value[_bucket(tokens)]
+                early = n - _need(n + n * percent // 100, percent) + 1
+                at = np.lexsort((tokens, count))[:early]
+                # a shingle alone in its bucket meets nothing
+                first = int(np.searchsorted(count[at], 2))
+                for column, value in zip(out, (tokens[at[first:]].view(np.int64), part.column(0)[i].as_py(), part.column(1)[i].as_py(), n, np.arange(first, len(at))), strict=True):
+                    column.append(np.broadcast_to(value, len(at) - first))
+            if part.num_rows:
+                kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k)) for x, k in zip(out, kinds, strict=True)], ["token", "id", "rid", "n", "at"])
+
+    return own.select("id", "rid", "hashes").mapInArrow(run, schema)
+
+
+def _parity(tokens: np.ndarray) -> bytes:
+    """A bit per slot, set where an odd number of shingles fall: two sets differ in at least as many shingles as bits."""
+    width = max(256, 1 << int(2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _by_width(rows: pa.Table) -> dict[int, tuple]:
+    """id, rid, n and bits of rows in order of n, by the width of their bits."""
+    ids, rids, n = (rows.column(c).to_numpy() for c in ("id", "rid", "n"))
+    bits = rows.column("bits").to_pylist()
+    width, out = np.array([len(x) for x in bits], np.int64), {}
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        at = at[np.argsort(n[at], kind="stable")]
+        out[int(w)] = ids[at], rids[at], n[at].astype(np.int64), np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), -1)
+    return out
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return np.ascontiguousarray(bits.T)
+
+
+def _block_pairs(rows: pa.Table, percent: int) -> pa.Table:
+    """Pairs (a, b) of ids in two blocks (or one) with different rids whose bits do not rule the similarity out."""
+    block, first = rows.column("block").to_numpy(), rows.column("x")[0].as_py()
+    one = rows.column("x")[0] == rows.column("y")[0]
+    left = _by_width(rows.filter(pa.array(block == first)))
+    right = left if one else _by_width(rows.filter(pa.array(block != first)))
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for wide, (ids, rids, n, bits) in left.items():
+        for other, (ids2, rids2, n2, bits2) in right.items():
+            words = min(wide, other) // 8
+            mine, theirs = _folded(bits, words), _folded(bits2, words)
+            for i in range(0, len(ids), 256):
+                j = min(i + 256, len(ids))
+                lo = np.searchsorted(n2, -(-n[i] * percent // 100))
+                hi = np.searchsorted(n2, n[j - 1] * 100 // percent, "right")
+                for k in range(lo, hi, 4096):
+                    m = min(k + 4096, hi)
+                    apart = np.zeros((j - i, m - k), np.int32)
+                    for w in range(words):
+                        apart += np.bitwise_count(mine[w, i:j, None] ^ theirs[w, None, k:m])
+                    both = n[i:j, None] + n2[None, k:m]
+                    met = (apart <= both - 2 * _need(both, percent)) & (rids[i:j, None] != rids2[None, k:m])
+                    if one:
+                        met &= ids[i:j, None] < ids2[None, k:m]
+                    x, y = np.nonzero(met)
+                    found_a.append(ids[i + x])
+                    found_b.append(ids2[k + y])
+    return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+
+
+def _family_pairs(sets: DataFrame, ids: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ids in one family whose bits leave the similarity possible.
+
+    Sets (id, class, rid) are one family where frequent early shingles link them (edges u, v).  A family is dealt to blocks of about
+    BLOCK sets, and every two blocks meet in a task of their own; sets of its largest group (rid) do not meet each other.
+    """
+    c = F.col
+    members = components(edges).select(c("node").alias("id"), c("root").alias("family")).join(ids, "id")
+    per = members.groupBy("family", "rid").agg(F.count("*").alias("k"))
+    whole = per.groupBy("family").agg(F.sum("k").alias("k"), F.max(F.struct("k", "rid")).alias("main"))
+    blocks = lambda k: F.ceil(k / BLOCK)
+    whole = whole.select("family", c("main.rid").alias("main"), blocks(c("k") - c("main.k")).alias("rest"), blocks(c("main.k")).alias("most"))
+    main, deal = c("rid") == c("main"), F.xxhash64("id")
+    placed = salted_join(members, whole, ["family"], "id").select(
+        "class", "family", "id", "rid",
+        F.when(main, c("rest") + F.pmod(deal, "most")).otherwise(F.pmod(deal, "rest")).alias("block"),
+        F.sequence(F.lit(0).cast("long"), F.when(main, c("rest")).otherwise(c("rest") + c("most")) - 1).alias("others"),
+    )
+    names = ["family", "id", "rid", "block", "others"]
+
+    def run(batches):
+        for part in batches:
+            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(0)]
+            rest = [part.column(i) for i in range(1, part.num_columns)]
+            yield pa.RecordBatch.from_arrays(
+                [*rest, pa.array([len(x) for x in own], pa.int64()), pa.array([_parity(x) for x in own], pa.binary())], [*names, "n", "bits"]
+            )
 
-    return sets.select("class", "hashes").mapInArrow(run, "token long, class binary, n long")
+    rows = sets.select("class", "hashes").join(placed, "class").select("hashes", *names)
+    rows = rows.mapInArrow(run, "family long, id long, rid long, block long, others array<long>, n long, bits binary")
+    rows = rows.select("*", F.explode("others").alias("other")).drop("others")
+    rows = rows.select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "rid", "n", "bits")
+    return rows.groupBy("family", "x", "y").applyInArrow(lambda t: _block_pairs(t, percent), "a long, b long")
 
 
 def prefix_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of sets (class, hashes) with different roots (class, root) that share a shingle of at most LIGHT sets.
+    """Candidate pairs (a, b) of sets (class, hashes) with different roots (class, root): every pair of the similarity asked for is among them.
 
-    The shingles of a set are put in order of how many sets hold them, rare ones first.  Two sets of sizes m <= n with the
+    The shingles of a set are put in one order for all sets, those of light buckets first.  Two sets of sizes m <= n with the
     similarity asked for share at least percent * (m + n) / (100 + percent) shingles, so the first shared one lies
-    so early in both that as many can follow; later meetings are left out.  Where two sets of that similarity share any
-    shingle of at most LIGHT sets, the first shared one is such a shingle, so the pair is given for certain.  A shingle meets
-    at most LIGHT rows, so no key is hot.
+    so early in both that as many can follow.  Early shingles of at most LIGHT sets give their pairs.  Sets that share
+    an early shingle of more sets are one family, and its sets meet block by block (`_family_pairs`), each two once; so no
+    shingle is left out and no key is hot.  Shingles whose sets all have one root meet nothing.
     """
     c = F.col
-    tokens = _tokens(sets)
-    held = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    # shingles of a single set come first and meet nothing: they only move the others on
-    light = F.sort_array(F.collect_list(F.when(c("df") <= LIGHT, F.struct("df", "token"))))
-    ordered = tokens.join(held, "token").groupBy("class", "n").agg(light.alias("own"), (c("n") - F.count("*")).alias("alone"))
-    need = lambda both: F.ceil(both * percent / (100 + percent))
-    early = ordered.select("class", "n", "alone", F.posexplode("own").alias("at", "own"))
-    early = early.select("class", "n", (c("alone") + c("at")).alias("at"), c("own.token").alias("token"))
-    early = early.where(c("n") - c("at") >= need(c("n") + F.floor(c("n") * percent / 100))).join(roots, "class")
-    early = cut_lineage(early)
-    a, b = (early.select("token", *[c(x).alias(f"{x}_{s}") for x in ("class", "root", "n", "at")]) for s in "ab")
-    ordered_pair = (c("n_a") < c("n_b")) | ((c("n_a") == c("n_b")) & (c("class_a") < c("class_b")))
+    ids = cut_lineage(roots.select("class", "root").withColumn("id", F.monotonically_increasing_id()))
+    ids = salted_join(ids, ids.groupBy("root").agg(F.min("id").alias("rid")), ["root"], "class")
+    ids = cut_lineage(ids.select("class", "id", "rid"))
+    early = stored(_prefixes(sets.join(ids, "class"), _buckets(sets), percent))
+    held = early.groupBy("token").agg(F.count("*").alias("df"), F.min("rid").alias("low"), F.max("rid").alias("high"), F.min("id").alias("least"))
+    early = stored(early.join(held.where("low < high").drop("low", "high"), "token"))
+    a, b = (early.where(c("df") <= LIGHT).select("token", *[c(x).alias(f"{x}_{s}") for x in ("id", "rid", "n", "at")]) for s in "ab")
+    ordered_pair = (c("n_a") < c("n_b")) | ((c("n_a") == c("n_b")) & (c("id_a") < c("id_b")))
     follow = F.least(c("n_a") - c("at_a"), c("n_b") - c("at_b"))
-    met = a.join(b, "token").where(ordered_pair & (c("root_a") != c("root_b")) & (100 * c("n_a") >= percent * c("n_b")) & (follow >= need(c("n_a") + c("n_b"))))
-    return met.select(c("class_a").alias("a"), c("class_b").alias("b")).distinct()
+    need = F.ceil((c("n_a") + c("n_b")) * percent / (100 + percent))
+    met = a.join(b, "token").where(ordered_pair & (c("rid_a") != c("rid_b")) & (100 * c("n_a") >= percent * c("n_b")) & (follow >= need))
+    met = met.select(c("id_a").alias("a"), c("id_b").alias("b"))
+    edges = early.where((c("df") > LIGHT) & (c("id") != c("least"))).select(c("id").alias("u"), c("least").alias("v"))
+    if not edges.isEmpty():
+        met = met.unionByName(_family_pairs(sets, ids, edges, percent))
+    names = lambda s: ids.select(c("id").alias(s), c("class").alias(f"class_{s}"))
+    named = met.distinct().join(names("a"), "a").join(names("b"), "b")
+    return named.select(c("class_a").alias("a"), c("class_b").alias("b"))
 
 
 def _digest(held: np.ndarray) -> bytes:
@@ -311,9 +439,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     right = groups.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     apart = pairs.join(best, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left")
     apart = apart.where(F.coalesce(F.col("ra"), F.col("a")) != F.coalesce(F.col("rb"), F.col("b")))
-    # crowded classes: what the forest did not read meets on rare shingles
+    # crowded classes: what the forest did not read meets on early shingles
     roots = crowded.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    rare = prefix_pairs(sets.join(crowded, "class", "left_semi"), roots, percent)
+    rare = prefix_pairs(sets, roots, percent)
     second = cut_lineage(_confirmed(apart.select("a", "b").unionByName(rare).distinct(), sets, percent))
     linked = components(joined.unionByName(second.select(F.col("b").alias("u"), F.col("a").alias("v"))))
     grouped = classes.select("class", "_least").join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))

@@ -224,6 +224,30 @@ def test_prefix_pairs_lose_no_pair_with_a_rare_shingle(spark):
     assert minhash.prefix_pairs(sets, one, 80).count() == 0 == minhash.prefix_pairs(sets.limit(0), roots, 80).count()
 
 
+@pytest.mark.parametrize("block", [7, 4096])
+def test_prefix_pairs_lose_no_pair_of_frequent_shingles(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    r = random.Random(5)
+    lines = [" ".join(f"l{i}w{j}" for j in range(r.choice((8, 20)))) for i in range(14)]
+    picks = sorted({tuple(sorted(r.sample(range(14), r.choice((9, 10, 11))))) for _ in range(400)})
+    rows = [(k, " ".join(lines[i] for i in pick)) for k, pick in enumerate(picks)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = minhash._full_sets(docs, "text", 4)
+    classes = minhash.shingle_classes(docs, "doc_id", "text", 4)
+    names = {bytes(r["class"]): r.doc_id for r in classes.collect()}
+    own = {i: brute.shingles(t, 4) for i, t in rows}
+    held = Counter(s for o in own.values() for s in o)
+    like = {(i, j): own[i] & own[j] for i in own for j in own if i < j and 100 * len(own[i] & own[j]) >= 80 * len(own[i] | own[j])}
+    assert len(like) > 100 and sum(all(held[s] > 64 for s in common) for common in like.values()) > 10
+    for alone in (True, False):
+        # all in groups of their own, or most in one
+        group = F.when(F.lit(alone) | (F.col("doc_id") % 5 == 0), F.col("doc_id")).otherwise(-1).cast("string").cast("binary")
+        roots = classes.select("class", group.alias("root"))
+        got = {tuple(sorted((names[bytes(r.a)], names[bytes(r.b)]))) for r in minhash.prefix_pairs(sets, roots, 80).collect()}
+        assert got >= {(i, j) for i, j in like if alone or i % 5 == 0 or j % 5 == 0}
+        assert all(alone or i % 5 == 0 or j % 5 == 0 for i, j in got)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1400)] + [(5000, 5000)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "u long, v long")).collect()}
