@@ -33,7 +33,7 @@ ORDERS, DEPTH, REGION = 12, 8, 9
 SKETCH, SURE_SIZE, MARGIN = 64, 256, 0.28
 #: Crowded sets that share an early shingle of at most this many of them meet at it, whatever the forest read; the sets of other
 #: early shingles meet in blocks of about this many.  Buckets of shingles whose sums order the shingles of a set.
-LIGHT, BLOCK, BUCKETS = 16, 4096, 1 << 20
+LIGHT, BLOCK, BUCKETS = 16, 2048, 1 << 20
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -274,15 +274,14 @@ def _parity(tokens: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _by_width(rows: pa.Table) -> dict[int, tuple]:
-    """id, rid, n and bits of rows in order of n, by the width of their bits."""
-    ids, rids, n = (rows.column(c).to_numpy() for c in ("id", "rid", "n"))
-    bits = rows.column("bits").to_pylist()
-    width, out = np.array([len(x) for x in bits], np.int64), {}
+def _by_width(places: np.ndarray, sets: list[np.ndarray]) -> dict[int, tuple]:
+    """Places, sizes and bits of the sets at `places`, in order of size, by the width of their bits."""
+    bits = [_parity(sets[i]) for i in places]
+    n, width, out = np.array([len(sets[i]) for i in places]), np.array([len(x) for x in bits]), {}
     for w in np.unique(width):
         at = np.flatnonzero(width == w)
         at = at[np.argsort(n[at], kind="stable")]
-        out[int(w)] = ids[at], rids[at], n[at].astype(np.int64), np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), -1)
+        out[int(w)] = places[at], n[at], np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), -1)
     return out
 
 
@@ -293,38 +292,48 @@ def _folded(bits: np.ndarray, words: int) -> np.ndarray:
     return np.ascontiguousarray(bits.T)
 
 
-def _block_pairs(rows: pa.Table, percent: int) -> pa.Table:
-    """Pairs (a, b) of ids in two blocks (or one) with different rids whose bits do not rule the similarity out."""
-    block, first = rows.column("block").to_numpy(), rows.column("x")[0].as_py()
-    one = rows.column("x")[0] == rows.column("y")[0]
-    left = _by_width(rows.filter(pa.array(block == first)))
-    right = left if one else _by_width(rows.filter(pa.array(block != first)))
-    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for wide, (ids, rids, n, bits) in left.items():
-        for other, (ids2, rids2, n2, bits2) in right.items():
+def _block_links(rows: pa.Table, percent: int) -> pa.Table:
+    """Links (a, b) of ids in two blocks (or one) that join whatever is similar there; sets of one rid count as joined.
+
+    The bits rule out most pairs, the others are told by their sets, unless links given before join them.
+    """
+    x, y = rows.column("x")[0], rows.column("y")[0]
+    block, ids = rows.column("block").to_numpy(), rows.column("id").to_numpy()
+    sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in rows.column("hashes")]
+    group = rows.column("rid").to_numpy().copy()
+    left = _by_width(np.flatnonzero(block == x.as_py()), sets)
+    right = left if x == y else _by_width(np.flatnonzero(block == y.as_py()), sets)
+    found = []
+    for wide, (mine, n, bits) in left.items():
+        for other, (theirs, n2, bits2) in right.items():
             words = min(wide, other) // 8
-            mine, theirs = _folded(bits, words), _folded(bits2, words)
-            for i in range(0, len(ids), 256):
-                j = min(i + 256, len(ids))
-                lo = np.searchsorted(n2, -(-n[i] * percent // 100))
-                hi = np.searchsorted(n2, n[j - 1] * 100 // percent, "right")
-                for k in range(lo, hi, 4096):
-                    m = min(k + 4096, hi)
-                    apart = np.zeros((j - i, m - k), np.int32)
-                    for w in range(words):
-                        apart += np.bitwise_count(mine[w, i:j, None] ^ theirs[w, None, k:m])
-                    both = n[i:j, None] + n2[None, k:m]
-                    met = (apart <= both - 2 * _need(both, percent)) & (rids[i:j, None] != rids2[None, k:m])
-                    if one:
-                        met &= ids[i:j, None] < ids2[None, k:m]
-                    x, y = np.nonzero(met)
-                    found_a.append(ids[i + x])
-                    found_b.append(ids2[k + y])
-    return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
-
-
-def _family_pairs(sets: DataFrame, ids: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of ids in one family whose bits leave the similarity possible.
+            a, b = _folded(bits, words), _folded(bits2, words)
+            for i in range(0, len(mine), 128):
+                j = min(i + 128, len(mine))
+                low = np.searchsorted(n2, -(-n[i] * percent // 100))
+                high = np.searchsorted(n2, n[j - 1] * 100 // percent, "right")
+                if low >= high:
+                    continue
+                apart = np.zeros((j - i, high - low), np.int32)
+                for w in range(words):
+                    apart += np.bitwise_count(a[w, i:j, None] ^ b[w, None, low:high])
+                both = n[i:j, None] + n2[None, low:high]
+                may = apart <= both - 2 * _need(both, percent)
+                for row in np.flatnonzero(may.any(axis=1)):
+                    one = mine[i + row]
+                    at = np.flatnonzero(may[row])
+                    at = theirs[low + at[np.argsort(apart[row, at], kind="stable")]]
+                    while len(at := at[group[at] != group[one]]):
+                        common = len(np.intersect1d(sets[one], sets[at[0]], assume_unique=True))
+                        if 100 * common >= percent * (len(sets[one]) + len(sets[at[0]]) - common):
+                            found.append((ids[one], ids[at[0]]))
+                            group[group == group[at[0]]] = group[one]
+                        at = at[1:]
+    return pa.table({"a": pa.array([u for u, _ in found], pa.int64()), "b": pa.array([v for _, v in found], pa.int64())})
+
+
+def _family_links(sets: DataFrame, ids: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of ids that join all similar sets of a family whose rids differ.
 
     Sets (id, class, rid) are one family where frequent early shingles link them (edges u, v).  A family is dealt to blocks of about
     BLOCK sets, and every two blocks meet in a task of their own; sets of its largest group (rid) do not meet each other.
@@ -341,31 +350,19 @@ def _family_pairs(sets: DataFrame, ids: DataFrame, edges: DataFrame, percent: in
         F.when(main, c("rest") + F.pmod(deal, "most")).otherwise(F.pmod(deal, "rest")).alias("block"),
         F.sequence(F.lit(0).cast("long"), F.when(main, c("rest")).otherwise(c("rest") + c("most")) - 1).alias("others"),
     )
-    names = ["family", "id", "rid", "block", "others"]
-
-    def run(batches):
-        for part in batches:
-            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(0)]
-            rest = [part.column(i) for i in range(1, part.num_columns)]
-            yield pa.RecordBatch.from_arrays(
-                [*rest, pa.array([len(x) for x in own], pa.int64()), pa.array([_parity(x) for x in own], pa.binary())], [*names, "n", "bits"]
-            )
-
-    rows = sets.select("class", "hashes").join(placed, "class").select("hashes", *names)
-    rows = rows.mapInArrow(run, "family long, id long, rid long, block long, others array<long>, n long, bits binary")
-    rows = rows.select("*", F.explode("others").alias("other")).drop("others")
-    rows = rows.select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "rid", "n", "bits")
-    return rows.groupBy("family", "x", "y").applyInArrow(lambda t: _block_pairs(t, percent), "a long, b long")
+    rows = sets.select("class", "hashes").join(placed, "class").select("*", F.explode("others").alias("other"))
+    rows = rows.select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "rid", "hashes")
+    return rows.groupBy("family", "x", "y").applyInArrow(lambda t: _block_links(t, percent), "a long, b long")
 
 
 def prefix_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of sets (class, hashes) with different roots (class, root): every pair of the similarity asked for is among them.
+    """Candidate pairs (a, b) of sets (class, hashes) with different roots (class, root) that join every two sets of the similarity asked for.
 
     The shingles of a set are put in one order for all sets, those of light buckets first.  Two sets of sizes m <= n with the
     similarity asked for share at least percent * (m + n) / (100 + percent) shingles, so the first shared one lies
     so early in both that as many can follow.  Early shingles of at most LIGHT sets give their pairs.  Sets that share
-    an early shingle of more sets are one family, and its sets meet block by block (`_family_pairs`), each two once; so no
-    shingle is left out and no key is hot.  Shingles whose sets all have one root meet nothing.
+    an early shingle of more sets are one family, and its sets meet block by block, each two once, for links that join what is
+    similar (`_block_links`); so no shingle is left out, no key is hot, and links stay as few as sets in a block.  Shingles whose sets all have one root meet nothing.
     """
     c = F.col
     ids = cut_lineage(roots.select("class", "root").withColumn("id", F.monotonically_increasing_id()))
@@ -382,7 +379,7 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     met = met.select(c("id_a").alias("a"), c("id_b").alias("b"))
     edges = early.where((c("df") > LIGHT) & (c("id") != c("least"))).select(c("id").alias("u"), c("least").alias("v"))
     if not edges.isEmpty():
-        met = met.unionByName(_family_pairs(sets, ids, edges, percent))
+        met = met.unionByName(_family_links(sets, ids, edges, percent))
     names = lambda s: ids.select(c("id").alias(s), c("class").alias(f"class_{s}"))
     named = met.distinct().join(names("a"), "a").join(names("b"), "b")
     return named.select(c("class_a").alias("a"), c("class_b").alias("b"))
@@ -439,6 +436,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     right = groups.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     apart = pairs.join(best, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left")
     apart = apart.where(F.coalesce(F.col("ra"), F.col("a")) != F.coalesce(F.col("rb"), F.col("b")))
+    # two crowded classes need no candidate of the forest: the prefix join is exact
+    packed = lambda s: crowded.select(F.col("class").alias(s), F.lit(True).alias(f"packed_{s}"))
+    apart = apart.join(packed("a"), "a", "left").join(packed("b"), "b", "left").where("packed_a is null or packed_b is null")
     # crowded classes: what the forest did not read meets on early shingles
     roots = crowded.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     rare = prefix_pairs(sets, roots, percent)
