@@ -201,14 +201,17 @@ def with_verdicts(rows: DataFrame, verdicts: DataFrame, today: Column) -> DataFr
 
 
 def sanitize_calls(calls: DataFrame, failed: DataFrame, done: DataFrame, room: DataFrame) -> DataFrame:
-    """Proposed lookups (turn_id, pos, name, args) that may run: known, not failed, not repeated, two at most."""
+    """Proposed lookups (turn_id, pos, name, args) that may run: known, not failed, not repeated, two at most.
+
+    Calls of one pos go by name and text, so that every run keeps the same ones.
+    """
     c = F.col
     cut = F.transform_values("args", lambda k, v: F.left(v, F.lit(CALL_TEXT)))
     canonical = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c("args")))))
     rows = calls.where(c("name").isin(*ALLOWED_CALLS)).withColumn("args", cut).withColumn("call", canonical)
     rows = rows.join(failed, ["turn_id", "name"], "left_anti").join(done, ["turn_id", "name", "call"], "left_anti")
     first = rows.groupBy("turn_id", "name", "call").agg(F.min("pos").alias("pos"))
-    top = top_per_key(first, ["turn_id"], [c("pos")], 2)
+    top = top_per_key(first, ["turn_id"], [c("pos"), c("name"), c("call")], 2)
     return top.join(room, "turn_id").where(c("place") <= c("room")).select("turn_id", "place", "name", "call")
 
 
