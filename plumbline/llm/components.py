@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import salted_join
-from plumbline.session import cut_lineage
+from plumbline.session import stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -19,9 +19,10 @@ def contract(edges: DataFrame, rounds: int | None = None) -> DataFrame:
 
     Each round hangs the neighbours of a node onto the smallest of them, first the larger ones, then the
     smaller ones; the number of rounds grows with the logarithm of the longest chain.  Minima combine before
-    the shuffle and are joined back with salt, so a node with very many links is no single task.  Rounds are cut by checkpoints.
+    the shuffle and are joined back with salt, so a node with very many links is no single task.  Rounds are kept in files,
+    so that the planner's sizes do not multiply from round to round.
     """
-    edges = cut_lineage(
+    edges = stored(
         edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
     before, done = None, 0
@@ -34,7 +35,7 @@ def contract(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         # a node and its smaller neighbours move to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = salted_join(large, low, ["u"], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        edges = cut_lineage(small.distinct())
+        edges = stored(small.distinct())
         if rounds is None:
             now = _state(edges)
             if now == before:

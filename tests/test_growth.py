@@ -144,6 +144,14 @@ def test_rounds_of_a_walk_do_not_multiply_sizes(spark):
     assert [(r.meters, r.nodes) for r in walks.collect()] == [(110.0, list(range(1, 12)))]
 
 
+def test_rounds_of_components_do_not_multiply_sizes(spark):
+    from plumbline.llm.components import components
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    found = components(edges)
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 2_000
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(41)}
+
+
 def test_documents_go_to_python_once_and_only_where_packed(spark):
     from plumbline.plans import files
     d = "/root/testdata/sf0.001"
