@@ -24,6 +24,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from difflib import SequenceMatcher
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -102,6 +103,8 @@ def _names(attributes: dict[str, str]) -> list[str]:
 
 def _rank(tag: str, attributes: dict[str, str]) -> int:
     """3 for an article, 2 for a main element, 1 for a division named like one, else 0."""
+    if not attributes:
+        return 3 if tag == "article" else 2 * (tag == "main")
     role = attributes.get("role", "").lower()
     if tag == "article" or role == "article":
         return 3
@@ -117,17 +120,20 @@ def blocks(page: str) -> tuple[list[tuple[int, str]], list[str], list[int]]:
     """
     every: list[tuple[int, str, int, tuple[int, ...]]] = []  # rank, text, place, elements around it that drop it unless the main text is in them
     stream: list[str] = []
-    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # tag, whether it or one around it is dropped for good, rank, the elements as above
+    stack: list[tuple[str, bool, int, tuple[int, ...], str]] = []  # tag, whether it or one around it is dropped for good, rank, the elements as above, block tags down to it
+    opened: Counter[str] = Counter()  # tags on the stack
     forms: set[int] = set()
     marks: list[tuple[int, tuple[int, ...]]] = []  # rank of every main element, the elements as above around it
     held: list[str] = []
 
     def flush() -> None:
+        if not held:
+            return
         text = "".join(held)
         held.clear()
         text = " ".join((entities.unescape(text) if "&" in text else text).split())
         if text:
-            around = "/".join(t for t, _, _, _ in stack if t in BLOCK)
+            around = stack[-1][4] if stack else ""
             stream.append("t" + hashlib.blake2b(f"{around} {text}".encode(), digest_size=8).hexdigest())
             if not stack or not stack[-1][1]:
                 every.append((stack[-1][2] if stack else 0, text, len(stream) - 1, stack[-1][3] if stack else ()))
@@ -135,6 +141,7 @@ def blocks(page: str) -> tuple[list[tuple[int, str]], list[str], list[int]]:
     def close(tag: str) -> None:
         while stack:
             gone = stack.pop()[0]
+            opened[gone] -= 1
             if gone == tag:
                 break
 
@@ -144,7 +151,8 @@ def blocks(page: str) -> tuple[list[tuple[int, str]], list[str], list[int]]:
         if m is None:
             held.append(page[at:])
             break
-        held.append(page[at : m.start()])
+        if m.start() > at:
+            held.append(page[at : m.start()])
         at = m.end()
         token = m.group()
         if token.startswith("<![CDATA["):
@@ -154,7 +162,7 @@ def blocks(page: str) -> tuple[list[tuple[int, str]], list[str], list[int]]:
             continue
         tag = name.group(1).lower()
         if token[1] == "/":
-            if any(t == tag for t, _, _, _ in stack):
+            if opened[tag]:
                 if tag in BLOCK:
                     flush()
                     stream.append("/" + tag)
@@ -165,10 +173,10 @@ def blocks(page: str) -> tuple[list[tuple[int, str]], list[str], list[int]]:
             continue
         if tag in BLOCK or tag in DROPPED:
             flush()
-        if tag in CLOSES_P and any(t == "p" for t, _, _, _ in stack):
+        if tag in CLOSES_P and opened["p"]:
             close("p")
         if tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
-            for t, _, _, _ in reversed(stack):
+            for t, *_ in reversed(stack):
                 if t == tag or tag in ("dd", "dt") and t in ("dd", "dt"):
                     close(t)
                     break
@@ -180,7 +188,7 @@ def blocks(page: str) -> tuple[list[tuple[int, str]], list[str], list[int]]:
             stream.append(tag)
         if tag in VOID or token.endswith("/>") and tag not in BLOCK:
             continue
-        _, above, rank, doubtful = stack[-1] if stack else ("", False, 0, ())
+        _, above, rank, doubtful, around = stack[-1] if stack else ("", False, 0, (), "")
         verdict = _dropped(tag, attributes, rank > 0)
         dropped = above or verdict == 2
         if verdict == 1:
@@ -195,7 +203,10 @@ def blocks(page: str) -> tuple[list[tuple[int, str]], list[str], list[int]]:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             at = len(page) if end is None else page.find(">", end.start()) + 1 or len(page)
             continue
-        stack.append((tag, dropped, rank, doubtful))
+        if tag in BLOCK:
+            around = f"{around}/{tag}" if around else tag
+        stack.append((tag, dropped, rank, doubtful, around))
+        opened[tag] += 1
     flush()
     # what stands around the main text does not drop it: forms always, named elements around a main element, and
     # those around an article where it holds more text than is left without it
@@ -217,17 +228,49 @@ def fold(stream: list) -> tuple:
     for token in stream:
         items.append(token)
         plain.append("#" if token[0] == "t" and len(token) == 17 else token)
+        n, end = len(plain), plain[-1]
         for width in (1, 2, 3, 4, 5):
-            last = plain[-width:]
-            if len(plain) > width and isinstance(plain[-width - 1], tuple) and plain[-width - 1][1] == tuple(last):
-                del items[-width:], plain[-width:]
+            if n <= width:
                 break
-            if len(plain) >= 3 * width and last == plain[-2 * width : -width] == plain[-3 * width : -2 * width] and last != ["#"]:
-                items[-3 * width :] = plain[-3 * width :] = [("+", tuple(last))]
+            before = plain[-width - 1]
+            if isinstance(before, tuple) and len(before[1]) == width and before[1] == tuple(plain[-width:]):
+                del items[-width:], plain[-width:]
                 break
+            # most tokens are told by one comparison
+            if before == end and n >= 3 * width:
+                last = plain[-width:]
+                if last == plain[-2 * width : -width] == plain[-3 * width : -2 * width] and last != ["#"]:
+                    items[-3 * width :] = plain[-3 * width :] = [("+", tuple(last))]
+                    break
     return tuple(items)
 
 
+def _remembered(size: int):
+    """Keep the last results: the wrapper of a host soon stays and its pages have few forms.  A plain function, so that it travels to tasks."""
+
+    def wrap(step):
+        known: dict = {}
+
+        @wraps(step)
+        def look_up(*args):
+            found = known.get(args)
+            if found is None:
+                if len(known) >= size:
+                    known.clear()
+                found = known[args] = step(*args)
+            return found
+
+        return look_up
+
+    return wrap
+
+
+@_remembered(512)
+def _folded(stream: tuple) -> tuple:
+    return fold(stream)
+
+
+@_remembered(512)
 def align(a: tuple, b: tuple) -> tuple:
     """The wrapper of two wrappers: equal items stay, differing texts become slots, what only one has becomes optional."""
     if a == b:
@@ -257,6 +300,11 @@ def _bare(item):
     """What an item is matched by: all texts and slots are one kind, optional groups match by their plain content."""
     if isinstance(item, str):
         return "#" if item == "#" or item[0] == "t" and len(item) == 17 else item
+    return _bare_group(item)
+
+
+@_remembered(4096)
+def _bare_group(item: tuple) -> tuple:
     return (item[0], tuple(_bare(i) for i in item[1]))
 
 
@@ -306,7 +354,7 @@ def _between(items) -> tuple:
         item = "#" if _is_text(item) else item
         if not (plain and isinstance(item, tuple) and item[0] == "+" and plain[-1] == item):
             plain.append(item)
-    return fold(plain)
+    return _folded(tuple(plain))
 
 
 def unite(a: tuple, b: tuple) -> tuple:

@@ -352,3 +352,15 @@ def test_stages(spark, clashing, name, stage):
     assert stage(spark, empty(clashing), D).count() == 0
     if name == "near_duplicates":
         assert sorted(str(r.doc_id) for r in rows) == sorted(["1", "4", "5", "None", "6", "6", "7", "8", "9", "10"])
+
+
+def test_pages_of_one_form_are_folded_once(monkeypatch):
+    folded = []
+    fold = wrappers.fold
+    monkeypatch.setattr(wrappers, "fold", lambda stream: folded.append(1) or fold(stream))
+    streams = [tuple(wrappers.blocks(f"<body><article><h1>{n} a</h1><p>{n} b</p><p>{n} c</p></article></body>")[1]) for n in range(50)]
+    wrapper = streams[0]
+    for stream in streams[1:]:
+        wrapper = wrappers.unite(wrapper, stream)
+    assert wrapper == ("body", "article", "h1", "#", "/h1", "p", "#", "/p", "p", "#", "/p", "/article", "/body")
+    assert len(folded) <= 1
