@@ -159,3 +159,17 @@ def test_documents_go_to_python_once_and_only_where_packed(spark):
     assert plan(files.office_files(spark, d)).count("EvalPython [") == 2
     ids = lambda df: {r.doc_id for r in df.collect()}
     assert ids(files.office_text_body(spark, d)) == ids(files.office_text(spark, d).where("status = 'ok'"))
+
+
+def test_grams_leave_a_task_in_frames(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from plumbline.operators import retrieve
+    monkeypatch.setattr(retrieve, "FRAME", 100)
+    texts = ["x" * n for n in (0, 30, 30, 250, 5, 0, 60, 60, 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "norm"])
+    frames = list(retrieve._framed(iter([batch, batch.slice(0, 0)]), "doc_id", lambda text: np.arange(len(text), dtype=np.uint64)))
+    assert [f.num_rows for f in frames] == [310, 125, 3]
+    found = pa.Table.from_batches(frames).to_pydict()
+    assert list(zip(found["doc_id"], found["gram"], strict=True)) == [(i, g) for i, t in enumerate(texts) for g in range(len(t))]
