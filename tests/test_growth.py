@@ -173,3 +173,32 @@ def test_grams_leave_a_task_in_frames(monkeypatch):
     assert [f.num_rows for f in frames] == [310, 125, 3]
     found = pa.Table.from_batches(frames).to_pydict()
     assert list(zip(found["doc_id"], found["gram"], strict=True)) == [(i, g) for i, t in enumerate(texts) for g in range(len(t))]
+
+
+def test_search_scores_where_the_sections_are(spark, monkeypatch, tmp_path):
+    import math
+    import re
+
+    from plumbline.operators import search_index as si
+    rng = random.Random(11)
+    word = lambda: rng.choice(("a", "b", "c", "d")) if rng.random() < 0.7 else f"w{rng.randrange(60)}"
+    bodies = [" ".join(word() for _ in range(rng.choice((0, 1, 3, 9, 40)))) + (" all" if i % 90 else "") for i in range(360)]
+    bodies += bodies[:120]  # copies: scores that only the id tells apart
+    sections = [(f"s{i * 7919 % 1000}", ("rule", "guide")[i % 2], b) for i, b in enumerate(bodies)]
+    asked = [(q, " ".join(word() for _ in range(rng.randrange(1, 7))) + (" all" if q % 3 else " none")) for q in range(40)]
+    si.build(spark.createDataFrame([*sections, ("s9999", None, "a b w1")], "section_id string, source_kind string, body string").repartition(5), str(tmp_path))
+    scored, real = [], si._scored
+    monkeypatch.setattr(si, "_scored", lambda i, a: scored.append(real(i, a)) or scored[-1])
+    monkeypatch.setattr(si, "QUESTIONS", 13)
+    found = si.top_k(spark.createDataFrame(asked, "q long, query string"), si.read(spark, str(tmp_path)), 3, 20)
+    assert all("Exchange" not in plan(s) and "Join" not in plan(s) for s in scored) and len(scored) == 2
+    held = [re.findall("[a-z0-9]+", b) for _, _, b in sections] + [["a", "b", "w1"]]
+    df = {w: sum(w in h for h in held) for h in held for w in h}
+    mean = sum(map(len, held)) / len(held)
+    part = lambda w, h: math.log(1 + (len(held) - df[w] + 0.5) / (df[w] + 0.5)) * h.count(w) * 2.2 / (h.count(w) + 1.2 * (1 - 0.75 + 0.75 * len(h) / mean))
+    want = set()
+    for q, text in asked:
+        for kind in ("rule", "guide"):
+            hits = [(sum(math.floor(part(w, h) * 1e6 + 0.5) for w in set(text.split()) if w in h), s) for (s, k, _), h in zip(sections, held[:-1], strict=True) if k == kind and set(text.split()) & set(h)]
+            want |= {(q, kind, s, n, place) for place, (n, s) in enumerate(sorted(hits, key=lambda x: (-x[0], x[1]))[:3], 1)}
+    assert {(r.q, r.source_kind, r.section_id, r.score, r.place) for r in found.collect()} == want
