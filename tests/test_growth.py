@@ -202,3 +202,25 @@ def test_search_scores_where_the_sections_are(spark, monkeypatch, tmp_path):
             hits = [(sum(math.floor(part(w, h) * 1e6 + 0.5) for w in set(text.split()) if w in h), s) for (s, k, _), h in zip(sections, held[:-1], strict=True) if k == kind and set(text.split()) & set(h)]
             want |= {(q, kind, s, n, place) for place, (n, s) in enumerate(sorted(hits, key=lambda x: (-x[0], x[1]))[:3], 1)}
     assert {(r.q, r.source_kind, r.section_id, r.score, r.place) for r in found.collect()} == want
+
+
+def test_sections_are_looked_up_among_the_hits(spark):
+    from plumbline.plans import retrieval
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 100_000)
+    try:
+        found = retrieval.index_acceptance(spark, "/root/testdata/sf0.001")
+        lines = plan(found).split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    moved = 0
+    for at, line in enumerate(lines):
+        if "Exchange" in line and "REPARTITION" not in line:
+            below = [other for other in lines[at + 1 :] if depth(other) or not other[:1].isspace()]
+            below = below[: next((i for i, other in enumerate(below) if depth(other) <= depth(line) and other.strip(" :")), len(below))]
+            text = "\n".join(below)
+            if "Generate" in text:
+                moved += 1
+                assert "LeftSemi" in text or "partial_count" in text
+    assert moved and all(r.passed for r in found.collect())
