@@ -224,3 +224,14 @@ def test_sections_are_looked_up_among_the_hits(spark):
                 moved += 1
                 assert "LeftSemi" in text or "partial_count" in text
     assert moved and all(r.passed for r in found.collect())
+
+
+def test_a_short_deny_list_does_not_shuffle_sections(spark):
+    from plumbline.plans import retrieval
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 100_000)
+    try:
+        text = plan(retrieval.searchable(spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert text.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in text
