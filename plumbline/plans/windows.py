@@ -165,7 +165,7 @@ placed AS (
 SELECT cal_id, strftime(week, '%Y-%m-%d') AS week, c0, c1, cast(lane AS BIGINT) AS lane FROM placed
 """, "week_bars")
 def interval_lanes(spark, d):
-    lanes = rk.interval_lanes(week_bars(spark, d), "week", "c0", "c1", ["start_date", "last_day", "title", "cal_id"])
+    lanes = rk.interval_lanes(week_bars(spark, d), "week", "c0", "c1", ["start_date", "last_day", "title", "cal_id"], ["cal_id", "week", "c0", "c1"])
     return lanes.select("cal_id", F.col("week").cast("string").alias("week"), "c0", "c1", "lane")
 
 

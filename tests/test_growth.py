@@ -235,3 +235,23 @@ def test_a_short_deny_list_does_not_shuffle_sections(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert text.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in text
+
+
+def test_lanes_shuffle_and_sort_bars_once(spark):
+    from plumbline.operators import ranking
+    rng = random.Random(17)
+    bars = [(rng.choice((1, 1, 1, 2)), c0, rng.randint(c0, 6), i) for i, c0 in enumerate(rng.randint(0, 6) for _ in range(30_000))]
+    df = spark.createDataFrame(bars, "week int, c0 int, c1 int, id int").repartition(5)
+    found = ranking.interval_lanes(df, "week", "c0", "c1", ["id"], ["id", "week", "c0", "c1"])
+    text = plan(found)
+    assert text.count("Exchange hashpartitioning(week") == 1 and text.count("Sort [") == 1 and "Join" not in text and "checkpoint" not in text
+    want = {}
+    for week in (1, 2):
+        ends = []
+        for day in range(7):
+            free = [lane for lane, end in enumerate(ends) if end < day]
+            for _, _, c1, i in sorted((b for b in bars if b[:2] == (week, day)), key=lambda b: b[3]):
+                want[i] = free.pop(0) if free else len(ends)
+                ends[want[i] : want[i] + 1] = [c1]
+    assert {r.id: r.lane for r in found.collect()} == want
+    assert found.columns == ["id", "week", "c0", "c1", "lane"]
