@@ -216,25 +216,28 @@ def menu_grid(fragments: DataFrame, heads_pattern: str = r"^(\d{1,2})월\s*(\d{1
         F.coalesce((F.lag("x").over(by_x) + c("x")) / 2, F.lit(float("-inf"))).alias("low"),
         F.coalesce((F.lead("x").over(by_x) + c("x")) / 2, F.lit(float("inf"))).alias("high"),
     )
-    frame = heads.select("page_id", "head_y", (c("x0") * LABEL_SHARE).alias("label_x")).distinct()
-    body = fragments.join(frame, "page_id").where(c("y") < c("head_y") - 3)
-    labels = body.where((c("x") < c("label_x")) & (c("text") != "구분") & (F.length("text") <= MAX_LABEL)).select("page_id", c("y").alias("label_y"), c("text").alias("label")).distinct()
-    cells = body.where((c("x") >= c("label_x")) & ~c("text").isin(*rules.PLACEHOLDERS) & ~c("text").startswith("*") & ~c("text").startswith("<"))
+    # Fragments move once for their sheet and meet its head, rows and columns there.  Sizes are judged from files far smaller
+    # than the rows, so these joins are sorted and merged.
+    frame = heads.groupBy("page_id").agg(F.max("head_y").alias("head_y"), (F.min("x0") * LABEL_SHARE).alias("label_x"))
+    is_label = (c("x") < c("label_x")) & (c("text") != "구분") & (F.length("text") <= MAX_LABEL)
+    is_cell = (c("x") >= c("label_x")) & ~c("text").isin(*rules.PLACEHOLDERS) & ~c("text").startswith("*") & ~c("text").startswith("<")
+    body = fragments.join(frame.hint("merge"), "page_id").where(c("y") < c("head_y") - 3)
     # Distinct heights of a sheet are few, so rows are told apart over them and not over the fragments: a height within two
     # units of an earlier row (in the order of the sheet) belongs to the first such row, else it opens one under its rounded height.
-    first_seen = cells.groupBy("page_id", "y").agg(F.min("pos").alias("pos"))
-    listed = first_seen.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", "y"))).alias("ys"))
+    at = body.groupBy("page_id", "y", F.when(is_label, c("text")).alias("label")).agg(F.min(F.when(is_cell, c("pos"))).alias("pos"), F.bool_or(is_cell).alias("cells"))
+    listed = at.groupBy("page_id").agg(
+        F.sort_array(F.collect_list(F.when(c("cells"), F.struct("pos", "y")))).alias("ys"), F.collect_list(F.when(c("label").isNotNull(), F.struct("y", "label"))).alias("labels")
+    )
     known = lambda rows, y: F.try_element_at(F.filter(rows, lambda r: F.abs(r["row_y"] - y) <= ROW_GAP), F.lit(1))["row_y"]
     step = lambda rows, h: F.concat(rows, F.array(F.struct(h["y"].alias("y"), F.coalesce(known(rows, h["y"]), F.bround(h["y"])).alias("row_y"))))
-    heights = listed.select("page_id", F.explode(F.aggregate("ys", F.array().cast("array<struct<y:double,row_y:double>>"), step)).alias("h")).select("page_id", "h.*")
-    nearest = (
-        heights.select("page_id", "row_y").distinct().join(labels, "page_id", "left")
-        .groupBy("page_id", "row_y").agg(F.min_by("label", F.struct(F.abs(c("label_y") - c("row_y")), "label_y")).alias("label"))
-    )
-    placed = cells.join(heights.select("page_id", "y", "row_y"), ["page_id", "y"]).join(nearest, ["page_id", "row_y"])
-    columns = heads.select("page_id", "day", "low", "high")
+    heights = F.aggregate("ys", F.array().cast("array<struct<y:double,row_y:double>>"), step)
+    nearest = lambda y: F.array_min(F.transform("labels", lambda t: F.struct(F.abs(t["y"] - y), t["y"], t["label"].alias("label"))))["label"]
+    rows = F.transform("heights", lambda h: F.struct(h["y"], F.struct(h["row_y"].alias("row_y"), nearest(h["row_y"]).alias("label"))))
+    sheet = listed.select("page_id", "labels", heights.alias("heights")).select("page_id", F.map_from_entries(rows).alias("rows"))
+    placed = body.where(is_cell).select("page_id", "x", "y", "text").join(sheet.hint("merge"), "page_id").select("page_id", "x", "text", F.element_at("rows", c("y")).alias("row"))
+    columns = heads.select("page_id", "day", "low", "high").hint("merge")
     return placed.join(columns, "page_id").where((c("x") >= c("low")) & (c("x") < c("high"))).select(
-        "page_id", "day", F.coalesce("label", F.lit("식단")).alias("label"), "row_y", "x", "text"
+        "page_id", "day", F.coalesce("row.label", F.lit("식단")).alias("label"), "row.row_y", "x", "text"
     )
 
 

@@ -302,7 +302,7 @@ SELECT cafeteria, day, string_agg(name || ': ' || items, ' / ' ORDER BY name) AS
 """)
 def menu_days(spark, d):
     dishes = (
-        inputs.table(spark, d, "lineitem").join(inputs.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        inputs.dishes(spark, d)
         .select(
             F.col("l_returnflag").alias("cafeteria"), inputs.day_text("l_shipdate").alias("day"),
             F.concat(F.lit("S"), F.col("l_linenumber").cast("string")).alias("name"), F.col("p_name").alias("item"),

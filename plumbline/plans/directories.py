@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import places as pl
 from plumbline.plans import inputs
 from plumbline.registry import query, view
+from plumbline.session import stored
 
 BUILDINGS = ("본관", "새벽관", "노을관", "중앙도서관", "생활관")
 
@@ -135,9 +136,9 @@ def place_alternation(spark, d):
 
 
 def menu_fragments(spark, d):
-    """Fragments of one sheet per supplier: day heads, row labels and dishes."""
-    li = inputs.table(spark, d, "lineitem").join(inputs.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    """Fragments of one sheet per supplier: day heads, row labels and dishes, joined once and kept in files."""
     page, day = F.col("l_suppkey").alias("page_id"), F.col("l_linenumber")
+    li = stored(inputs.dishes(spark, d).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "p_name"))
     dishes = li.select(page, (day * 100 + F.col("l_partkey") % 7).cast("double").alias("x"), (F.floor("l_quantity") * 12 + F.col("l_partkey") % 2).cast("double").alias("y"), F.col("p_name").alias("text"), (F.col("l_orderkey") * 10 + day).alias("pos"))
     heads = li.select(page, (day * 100 + 3).cast("double").alias("x"), F.lit(700.0).alias("y"), F.concat(F.lit("3월 "), day.cast("string"), F.lit("일")).alias("text")).distinct().withColumn("pos", F.lit(0).cast("long"))
     rows = F.array(*[F.struct(F.lit(20.0).alias("x"), F.lit(y).alias("y"), F.lit(t).alias("text")) for y, t in ((120.0, "석식"), (305.0, "중식"), (500.0, "조식"))])
@@ -159,8 +160,7 @@ SELECT cafeteria, day, day || ' ' || cafeteria || ' 식단' || chr(10) || string
   SELECT DISTINCT l_returnflag AS cafeteria, strftime(l_shipdate, '%Y-%m-%d') AS day, l_linestatus AS name, p_name AS item FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY 1, 2, 3) GROUP BY 1, 2
 """)
 def menu_text(spark, d):
-    li = inputs.table(spark, d, "lineitem").join(inputs.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    dishes = li.select(F.col("l_returnflag").alias("cafeteria"), inputs.day_text("l_shipdate").alias("day"), F.col("l_linestatus").alias("name"), F.col("p_name").alias("item")).distinct()
+    dishes = inputs.dishes(spark, d).select(F.col("l_returnflag").alias("cafeteria"), inputs.day_text("l_shipdate").alias("day"), F.col("l_linestatus").alias("name"), F.col("p_name").alias("item")).distinct()
     sections = dishes.groupBy("cafeteria", "day", "name").agg(F.sort_array(F.collect_list("item")).alias("items"))
     days = sections.groupBy("cafeteria", "day").agg(F.sort_array(F.collect_list(F.struct("name", "items"))).alias("sections"))
     return days.select("cafeteria", "day", pl.menu_text(F.col("cafeteria"), F.col("day"), F.col("sections")).alias("text"))

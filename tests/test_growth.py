@@ -255,3 +255,20 @@ def test_lanes_shuffle_and_sort_bars_once(spark):
                 ends[want[i] : want[i] + 1] = [c1]
     assert {r.id: r.lane for r in found.collect()} == want
     assert found.columns == ["id", "week", "c0", "c1", "lane"]
+
+
+def test_menu_sheets_need_no_table_on_the_driver(spark):
+    from plumbline.operators import places as pl
+    from plumbline.plans import aggregates, directories
+    d = "/root/testdata/sf0.001"
+    grid = plan(directories.menu_grid(spark, d))
+    assert "Broadcast" not in grid and not any("Exchange" in line and "row_y" in line for line in grid.split("\n"))
+    for query in (directories.menu_text, aggregates.menu_days):
+        assert "Broadcast" not in plan(query(spark, d))
+    head = [(page, 0, 100.0 * i, 700.0, f"3월 {i}일") for page in (1, 2) for i in (1, 2, 3)]
+    labels = [(1, 0, 20.0, y, t) for y, t in ((500.0, "조식"), (300.0, "중식"), (300.0, "중식"), (100.0, "구분"))]
+    dishes = [(page, i, x, y, f"{x}/{y}") for page in (1, 2) for i, (x, y) in enumerate(((100.0, 400.0), (149.0, 401.0), (150.0, 90.0), (340.0, 600.0), (340.0, 698.0)))]
+    df = spark.createDataFrame([*head, *labels, *dishes, (1, 9, 100.0, 90.0, "♥"), (1, 9, 100.0, 90.0, "*x")], "page_id long, pos long, x double, y double, text string")
+    got = {(r.page_id, r.text, r.day, r.row_y, r.label) for r in pl.menu_grid(df).collect()}
+    cells = (("100.0/400.0", 1, 400.0, "중식"), ("149.0/401.0", 1, 400.0, "중식"), ("150.0/90.0", 2, 90.0, "중식"), ("340.0/600.0", 3, 600.0, "조식"))
+    assert got == {(page, t, f"3월 {n}일", y, label if page == 1 else "식단") for page in (1, 2) for t, n, y, label in cells}
