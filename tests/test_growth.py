@@ -272,3 +272,23 @@ def test_menu_sheets_need_no_table_on_the_driver(spark):
     got = {(r.page_id, r.text, r.day, r.row_y, r.label) for r in pl.menu_grid(df).collect()}
     cells = (("100.0/400.0", 1, 400.0, "중식"), ("149.0/401.0", 1, 400.0, "중식"), ("150.0/90.0", 2, 90.0, "중식"), ("340.0/600.0", 3, 600.0, "조식"))
     assert got == {(page, t, f"3월 {n}일", y, label if page == 1 else "식단") for page in (1, 2) for t, n, y, label in cells}
+
+
+def test_a_long_deny_list_moves_sections_once(spark, monkeypatch):
+    from plumbline.operators import retrieve
+    names = [None, "", "a", "b", "d1", "doc:d1:3", "doc:d2:0", "doc::1"]
+    rows = [(i, s, e, p) for i, (s, e, p) in enumerate((s, e, p) for s in names for e in names for p in (None, "", "d1", "d3"))]
+    df = spark.createDataFrame(rows, "i long, section_id string, evidence_id string, parent_id string")
+    ids = spark.createDataFrame([(x,) for x in ("a", "d2", "d3", "doc:d1:3", "a", None)], "id string")
+    few = {r.i for r in retrieve.denied(df, ids).collect()}
+    parent = lambda e, p: p or (e[4:].rsplit(":", 1)[0] if e and e.startswith("doc:") else None) or None
+    assert few == {i for i, s, e, p in rows if not {s, e, parent(e, p)} & {"a", "d2", "d3", "doc:d1:3"}}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    monkeypatch.setattr(retrieve, "FEW", 3)
+    try:
+        found = retrieve.denied(df, ids)
+        text = plan(found)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert text.count("SortMergeJoin") == 2 and {r.i for r in found.collect()} == few
